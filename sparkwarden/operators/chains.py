@@ -52,21 +52,22 @@ def chain_points(updates: DataFrame, incidents: DataFrame) -> DataFrame:
     return by_user.unionByName(at_start).unionByName(after).unionByName(at_ip).where("attacker <> ''")
 
 
-def with_chains(updates: DataFrame, incidents: DataFrame, chains: DataFrame, types: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(stage table, incidents with chain columns).
-
-    The stage table has one row per chain, attacker and stage: at most one per stage of the chain.
-    """
+def chain_stages(updates: DataFrame, incidents: DataFrame, types: DataFrame) -> DataFrame:
+    """One row per chain, attacker and stage, with the position it was first seen: at most one per stage of the chain."""
     c = F.col
-    kinds = F.broadcast(types)
     points = (chain_points(updates, incidents)
               .join(incidents.select("incident_key", "incident_type", "ord", "first_seen"), "incident_key")
-              .join(kinds, "incident_type")
+              .join(F.broadcast(types), "incident_type")
               .withColumn("pos", F.struct(c("pos.t").alias("t"), c("pos.seq").alias("seq"), c("ord").alias("ord"))))
-    stages = (points.groupBy("chain_type", "attacker", "stage")
-              .agg(F.min("pos").alias("pos"), F.min_by("first_seen", "pos").alias("first_seen"),
-                   F.count_distinct("incident_key").alias("incidents")))
+    return (points.groupBy("chain_type", "attacker", "stage")
+            .agg(F.min("pos").alias("pos"), F.min_by("first_seen", "pos").alias("first_seen"),
+                 F.count_distinct("incident_key").alias("incidents")))
+
 
+def with_chains(incidents: DataFrame, stages: DataFrame, chains: DataFrame, types: DataFrame) -> DataFrame:
+    """Incidents with chain columns: the stages their attacker had reached at their last update."""
+    c = F.col
+    kinds = F.broadcast(types)
     own = (incidents.withColumn("attacker", attacker(c("first_ip"), c("target_user"))).join(kinds, "incident_type", "left")
            .withColumn("last_update", F.struct(c("last_pos.t").alias("t"), c("last_pos.seq").alias("seq"), c("ord").alias("ord"))))
     reached = (own.where("attacker <> ''").select("incident_key", "chain_type", "attacker", "last_update")
@@ -77,14 +78,13 @@ def with_chains(updates: DataFrame, incidents: DataFrame, chains: DataFrame, typ
     nothing = F.array().cast("array<string>")
     completed = F.when(on, F.filter("stages", lambda s: F.array_contains("seen", s))).otherwise(nothing)
     missing = F.when(on, F.filter("stages", lambda s: ~F.array_contains("seen", s))).otherwise(nothing)
-    d = d.select(
-        *[x for x in incidents.columns],
+    return d.select(
+        *incidents.columns,
         F.when(on, chain_id(c("chain_type"), c("attacker"))).alias("attack_chain_id"),
         F.when(on, c("stage")).otherwise("").alias("attack_chain_stage"),
         F.when(on, F.bround(F.size(completed) / F.size("stages") * 100, 1)).otherwise(0.0).alias("attack_chain_progress"),
         completed.alias("attack_chain_stages_completed"), missing.alias("attack_chain_stages_missing"),
         F.when(on, c("objective")).otherwise("").alias("estimated_objective"))
-    return stages, d
 
 
 def chain_id(chain: Column, who: Column) -> Column:

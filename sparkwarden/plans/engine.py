@@ -9,15 +9,20 @@ from pyspark.sql import functions as F
 
 from sparkwarden.config import Config
 from sparkwarden.functions import scoring as S
-from sparkwarden.operators import chains, correlate, detect
+from sparkwarden.functions import texts as T
+from sparkwarden.operators import behaviour, chains, correlate, detect, evidence, graph, iocs, merge, search
 from sparkwarden.operators.parse import parse_lines
 from sparkwarden.plans.store import Store
+from sparkwarden.schema import ENTRY_COLUMNS
+
+c = F.col
 
 
 class Engine:
-    """Stages (written once): scanned, detected, updates, incidents. Everything else is a lazy view.
+    """Stages are written once; everything else is a lazy view over them.
 
-    lines(seq, value, source_file, modified) is any DataFrame of log lines, one per row.
+    lines(seq, value, source_file, modified) is any DataFrame of log lines, one per row. Tables whose size per incident
+    has no bound (sources, timeline, events, findings, indicators) are tables of their own, keyed by incident_key.
     """
 
     def __init__(self, spark: SparkSession, lines: DataFrame, config: Config | None = None, folder: str | None = None):
@@ -27,6 +32,11 @@ class Engine:
         self.config = config or Config()
         self.store = Store(spark, folder)
 
+    def _cut(self, name: str, df: DataFrame) -> DataFrame:
+        return self.store.table(name, lambda: df)
+
+    # Dimensions.
+
     @cached_property
     def rules(self) -> DataFrame:
         return detect.rules_table(self.spark)
@@ -35,8 +45,7 @@ class Engine:
     def chains(self) -> DataFrame:
         return chains.chains_table(self.spark)
 
-    def _cut(self, name: str, df: DataFrame) -> DataFrame:
-        return self.store.table(name, lambda: df)
+    # Lines to alerts.
 
     @property
     def scanned(self) -> DataFrame:
@@ -45,7 +54,6 @@ class Engine:
 
     @property
     def entries(self) -> DataFrame:
-        from sparkwarden.schema import ENTRY_COLUMNS
         return self.scanned.select(*ENTRY_COLUMNS)
 
     @property
@@ -57,32 +65,138 @@ class Engine:
     def alerts(self) -> DataFrame:
         return detect.alerts_of(self.detected, self.rules)
 
+    # Alerts to incidents.
+
     @property
     def updates(self) -> DataFrame:
         return self.store.table("updates", lambda: correlate.incident_updates(self.scanned, self.detected, self.config))
 
-    def _incident_tables(self) -> None:
-        base = self.store.table("incident_base", lambda: correlate.build_incidents(self.updates, self.config))
-        stages, chained = chains.with_chains(self.updates, base, self.chains, chains.types_table(self.spark))
-        self.store.table("chain_stages", lambda: stages)
-        if not self.store.has("incidents"):
-            admitted = correlate.admissions(self.updates)
-            d = (chained.withColumn("confidence", S.confidence()).withColumn("risk", S.risk())
-                 .withColumn("threat_score_breakdown", S.threat_breakdown()).withColumn("threat_score", S.threat_score())
-                 .join(admitted, "incident_key", "left"))
-            self.store.table("incidents", lambda: d)
+    @property
+    def sources(self) -> DataFrame:
+        return self.store.table("incident_sources", lambda: correlate.incident_ips(self.updates))
+
+    @property
+    def timeline(self) -> DataFrame:
+        return correlate.timeline(self.updates, self.config)
+
+    @property
+    def _base(self) -> DataFrame:
+        return self.store.table("incident_base", lambda: correlate.build_incidents(self.updates, self.config))
 
     @property
     def chain_stages(self) -> DataFrame:
-        self._incident_tables()
-        return self.store.table("chain_stages", None)
+        return self.store.table("chain_stages", lambda: chains.chain_stages(
+            self.updates, self._base, chains.types_table(self.spark)))
 
     @property
     def all_incidents(self) -> DataFrame:
-        """Every incident, also those the false-positive filter keeps out of the lists."""
-        self._incident_tables()
-        return self.store.table("incidents", None)
+        """Every incident with its scores, also those the false-positive filter keeps out of the lists."""
+        def build() -> DataFrame:
+            chained = chains.with_chains(self._base, self.chain_stages, self.chains, chains.types_table(self.spark))
+            return (chained.withColumn("confidence", S.confidence()).withColumn("risk", S.risk())
+                    .withColumn("threat_score_breakdown", S.threat_breakdown()).withColumn("threat_score", S.threat_score())
+                    .join(correlate.admissions(self.updates), "incident_key", "left"))
+        return self.store.table("incidents", build)
 
     @property
     def incidents(self) -> DataFrame:
-        return self.all_incidents.where(F.col("admitted_pos").isNotNull())
+        return self.all_incidents.where(c("admitted_pos").isNotNull())
+
+    # Merging, once at the end of a batch.
+
+    @property
+    def absorbed(self) -> DataFrame:
+        return self.store.table("absorbed", lambda: merge.merge_map(self.incidents, self.sources, self.config, self._cut))
+
+    @property
+    def listed(self) -> DataFrame:
+        """Listed incidents after merging, with is_merged."""
+        listed, sources = merge.merged_incidents(self.incidents, self._listed_sources, self.absorbed)
+        self.store.table("listed_sources", lambda: sources)
+        return self.store.table("listed", lambda: listed)
+
+    @property
+    def _listed_sources(self) -> DataFrame:
+        return self.sources.join(self.incidents.select("incident_key"), "incident_key", "left_semi")
+
+    @property
+    def listed_sources(self) -> DataFrame:
+        _ = self.listed
+        return self.store.table("listed_sources", None)
+
+    @property
+    def ranked(self) -> DataFrame:
+        return merge.rank_priority(self.listed)
+
+    @property
+    def every_after_merge(self) -> DataFrame:
+        """All incidents with the status they have after merging."""
+        closed = self.absorbed.select("incident_key", F.lit("CLOSED").alias("_s"))
+        return self.all_incidents.join(closed, "incident_key", "left").withColumn("status", F.coalesce("_s", "status")).drop("_s")
+
+    # Texts and findings.
+
+    def with_texts(self, incidents: DataFrame) -> DataFrame:
+        """Adds the text columns that one incident row decides."""
+        return (incidents.withColumn("reasoning", T.reasoning()).withColumn("recommendations", T.recommendations())
+                .withColumn("smart_recommendations", T.smart_recommendations()).withColumn("root_cause", T.root_cause())
+                .withColumn("executive_summary", T.executive_summary()).withColumn("technical_summary", T.technical_summary())
+                .withColumn("mitre_summary", T.mitre_summary()))
+
+    @property
+    def findings(self) -> DataFrame:
+        return self.store.table("findings", lambda: behaviour.findings(
+            self.scanned, self.detected, self.updates, self.all_incidents, self.sources))
+
+    @property
+    def narratives(self) -> DataFrame:
+        return search.attack_narrative(self.all_incidents, self.timeline)
+
+    @property
+    def assets(self) -> DataFrame:
+        return search.affected_assets(self.all_incidents, self.sources, correlate.update_text(self.config))
+
+    # Evidence, indicators, graph.
+
+    @property
+    def evidence_rows(self) -> DataFrame:
+        return evidence.incident_rows(self.updates)
+
+    @property
+    def observation_rows(self) -> DataFrame:
+        return evidence.observation_rows(self.detected, self.updates)
+
+    @property
+    def evidence(self) -> DataFrame:
+        return self.store.table("evidence", lambda: evidence.evidence(
+            self.updates, self.scanned, self.all_incidents, self.rules))
+
+    @property
+    def observations(self) -> DataFrame:
+        return self.store.table("observations", lambda: evidence.observations(
+            self.detected, self.updates, self.scanned, self.rules))
+
+    @property
+    def evidence_context(self) -> DataFrame:
+        return self.store.table("evidence_context", lambda: evidence.context_values(self.evidence_rows, self.scanned))
+
+    @property
+    def evidence_iocs(self) -> DataFrame:
+        return self.store.table("evidence_iocs", lambda: evidence.evidence_iocs(self.evidence_rows, self.scanned))
+
+    @property
+    def ioc_links(self) -> DataFrame:
+        return self.store.table("ioc_links", lambda: iocs.ioc_links(self.scanned, self.detected, self.updates))
+
+    @property
+    def relationships(self) -> DataFrame:
+        return self.store.table("ioc_relationships", lambda: iocs.relationships(
+            self.scanned, self.detected, self.updates, self.ioc_links))
+
+    @property
+    def graph_nodes(self) -> DataFrame:
+        return graph.nodes(self.detected, self.updates)
+
+    @property
+    def graph_edges(self) -> DataFrame:
+        return graph.edges(self.detected, self.updates)
