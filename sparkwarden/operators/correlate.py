@@ -43,7 +43,7 @@ def brute_force(detected: DataFrame, config: Config) -> DataFrame:
 def account_compromise(detected: DataFrame, config: Config) -> DataFrame:
     """The count a login reports is that of the source's last failure: found by its number, not by a window."""
     def fail_no(*rules: str) -> Column:
-        return F.filter("hits", lambda h: h["rule_id"].isin(*rules))[0]["fail_no"]
+        return F.get(F.filter("hits", lambda h: h["rule_id"].isin(*rules)), F.lit(0))["fail_no"]
     logins = detected.where(has_rule("R002")).withColumn("ip", _ip()).withColumn("fail_no", fail_no("R002"))
     failures = failure_scan(detected, config).select("ip", fail_no(*FAILURES).alias("fail_no"), "n")
     d = logins.join(failures, ["ip", "fail_no"], "left")

@@ -37,7 +37,7 @@ def with_line_rules(entries: DataFrame, line_rules=dims.LINE_RULES) -> DataFrame
     web = (F.col("event_type") == "Web Server") | F.arrays_overlap("line_rules", F.array(*map(F.lit, WEB_RULES)))
     # Request methods. The path of a request is its second word.
     words = F.split(F.regexp_replace("message", WHITESPACE_ENDS, ""), r"(?U)\s+")
-    second = F.when(words[0].isin("GET", "POST", "PUT", "DELETE", "HEAD"), words[1]).otherwise(words[0])
+    second = F.when(F.get(words, F.lit(0)).isin("GET", "POST", "PUT", "DELETE", "HEAD"), F.get(words, F.lit(1))).otherwise(F.get(words, F.lit(0)))
     path = F.when(F.size(words) >= 2, second).otherwise("")
     d = d.withColumn("web_flag", web)
     return d.withColumn("path", F.when(F.col("web_flag") | F.col("is_404"), path))

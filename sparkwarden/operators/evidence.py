@@ -26,7 +26,7 @@ def incident_rows(updates: DataFrame) -> DataFrame:
 def observation_rows(detected: DataFrame, updates: DataFrame) -> DataFrame:
     """Alerting entries that are in no incident, keyed by their first alert's rule and their source."""
     alone = detected.join(updates.select("seq"), "seq", "left_anti")
-    key = F.concat_ws(":", c("hits")[0]["rule_id"], F.coalesce("source_ip", F.lit("unknown")))
+    key = F.concat_ws(":", F.get("hits", F.lit(0))["rule_id"], F.coalesce("source_ip", F.lit("unknown")))
     return alone.withColumn("evidence_key", key).withColumnRenamed("severity", "entry_severity")
 
 
@@ -86,7 +86,7 @@ def _cond(name, matched, value) -> Column:
 
 def matched_conditions() -> Column:
     """Conditions of a record's first entry by its first alert. Names and texts are fixed values."""
-    hit = c("hits")[0]
+    hit = F.get("hits", F.lit(0))
     rule, n = hit["rule_id"], hit["event_count"]
     ip, user = F.coalesce("source_ip", F.lit("")), F.coalesce("username", F.lit(""))
     has_ip, has_user = ip != "", user != ""
@@ -140,7 +140,7 @@ def _records(rows: DataFrame, scanned: DataFrame, rules: DataFrame) -> DataFrame
     sources = (rows.where(c("source_ip") != "").select("evidence_key", "source_ip").distinct()
                .groupBy("evidence_key").agg(F.count("*").alias("unique_source_count")))
     first = with_texts(first_rows(rows, ["evidence_key"], ["t", "seq"], 1), scanned).select(
-        "evidence_key", c("hits")[0]["rule_id"].alias("rule_id"), matched_conditions().alias("matched_conditions"),
+        "evidence_key", F.get("hits", F.lit(0))["rule_id"].alias("rule_id"), matched_conditions().alias("matched_conditions"),
         F.col("source_ip").alias("first_ip"), F.col("username").alias("first_user"))
     names = F.broadcast(rules.select("rule_id", c("name").alias("rule_name"), c("severity").alias("rule_severity")))
     d = base.join(sources, "evidence_key", "left").join(first, "evidence_key").join(names, "rule_id", "left")

@@ -52,12 +52,16 @@ def neighbors(edges: DataFrame, node_id: str, edge_type: str | None = None) -> D
     return d if edge_type is None else d.where(c("type") == edge_type)
 
 
-def subgraph(spark: SparkSession, nodes: DataFrame, edges: DataFrame, node_id: str, depth: int = 2) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) within depth hops along edge direction; edges are all out-edges of the nodes reached."""
-    reached = spark.createDataFrame([(node_id,)], "id string")
+def subgraph_from(nodes: DataFrame, edges: DataFrame, start: DataFrame, depth: int = 2) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) within depth hops of start(id) along edge direction; edges are all out-edges of the nodes reached."""
+    reached = start.select("id")
     links = edges.select(c("source").alias("id"), c("target"))
     for _ in range(depth):
         step = links.join(reached, "id", "left_semi").select(c("target").alias("id"))
         reached = reached.unionByName(step).distinct()
     return (nodes.join(reached, "id", "left_semi"),
             edges.join(reached.select(c("id").alias("source")), "source", "left_semi").select("source", "target", "type"))
+
+
+def subgraph(spark: SparkSession, nodes: DataFrame, edges: DataFrame, node_id: str, depth: int = 2) -> tuple[DataFrame, DataFrame]:
+    return subgraph_from(nodes, edges, spark.createDataFrame([(node_id,)], "id string"), depth)

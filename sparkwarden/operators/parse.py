@@ -32,7 +32,7 @@ def split_fields(lines: DataFrame, fmt: str | None = None) -> DataFrame:
     else:
         d = d.withColumn("_m3", F.col("_m2"))
     d = d.withColumn("f", F.when(P.has_fields(F.col("_m3")), F.split(F.col("_m3"), "\n", -1)))
-    name = F.col("f")[0]
+    name = F.get("f", F.lit(0))
     if fmt == "syslog":
         name = F.when(name.isNotNull(), F.lit("syslog"))
     return d.withColumn("log_format", F.coalesce(name, F.lit("unknown"))).drop("_m1", "_m2", "_m3")
@@ -45,7 +45,10 @@ def detect_format(lines: DataFrame) -> DataFrame:
 def parse_lines(lines: DataFrame, config: Config, fmt: str | None = None) -> DataFrame:
     """lines(seq, value, source_file, modified) to entries."""
     d = split_fields(lines, fmt)
-    f = F.col("f")
+
+    def f(i: int) -> Column:
+        return F.get("f", F.lit(i))
+
     kind = F.col("log_format")
     bsd, access, error = kind.isin("auth", "syslog"), kind == "apache_access", kind == "apache_error"
     web = access | error
@@ -54,29 +57,29 @@ def parse_lines(lines: DataFrame, config: Config, fmt: str | None = None) -> Dat
         return (F.when(bsd, on_bsd).when(access, on_access).when(error, on_error).otherwise(otherwise))
 
     raw = F.col("value")
-    agent = F.coalesce(f[7], F.lit(""))
-    request = F.concat(f[4], F.lit(" "), f[5], F.lit(" → "), f[6].cast("int").cast("string"))
+    agent = F.coalesce(f(7), F.lit(""))
+    request = F.concat(f(4), F.lit(" "), f(5), F.lit(" → "), f(6).try_cast("int").cast("string"))
     shown = F.when(agent != "", F.concat(request, F.lit(" ["), F.substring(agent, 1, 60), F.lit("]"))).otherwise(request)
-    client = P.empty_to_null(F.split(f[3], ":")[0])
+    client = P.empty_to_null(F.get(F.split(f(3), ":"), F.lit(0)))
     fallback_ts = F.lit(config.fallback_ts).cast("timestamp") if config.fallback_ts else F.col("modified")
-    message = pick(f[5], shown, f[4], F.substring(raw, 1, 500))
-    time = F.coalesce(pick(P.bsd_time(f[1], config.year), P.access_time(f[3]), P.error_time(f[1]), F.lit(None)), fallback_ts)
+    message = pick(f(5), shown, f(4), F.substring(raw, 1, 500))
+    time = F.coalesce(pick(P.bsd_time(f(1), config.year), P.access_time(f(3)), P.error_time(f(1)), F.lit(None)), fallback_ts)
 
     # Fields used by other fields first, in a projection of their own.
     d = d.select(
         "seq", "source_file", "log_format", "f", raw.alias("raw_log"), time.alias("timestamp"), message.alias("message"),
-        pick(f[3], F.lit("apache"), F.lit("apache"), F.lit("")).alias("service"),
+        pick(f(3), F.lit("apache"), F.lit("apache"), F.lit("")).alias("service"),
     )
     text, service = F.col("message"), F.col("service")
     return d.select(
         "*",
         F.md5(F.concat_ws("#", F.col("source_file"), F.col("seq").cast("string"))).alias("event_id"),
-        F.when(bsd, f[2]).when(web, "webserver").otherwise("").alias("hostname"),
-        pick(P.first_ip(text), f[1], client, P.first_ip(F.col("raw_log"))).alias("source_ip"),
+        F.when(bsd, f(2)).when(web, "webserver").otherwise("").alias("hostname"),
+        pick(P.first_ip(text), f(1), client, P.first_ip(F.col("raw_log"))).alias("source_ip"),
         F.lit(None).cast("string").alias("destination_ip"),
-        F.when(bsd, P.username_of(text)).when(access & (f[2] != "-"), f[2]).alias("username"),
-        F.when(bsd, f[4]).when(web, "httpd").otherwise("").alias("process"),
+        F.when(bsd, P.username_of(text)).when(access & (f(2) != "-"), f(2)).alias("username"),
+        F.when(bsd, f(4)).when(web, "httpd").otherwise("").alias("process"),
         F.when(bsd, P.event_type_of(service, text)).when(web, "Web Server").otherwise("Unknown").alias("event_type"),
-        pick(P.message_severity(text), P.request_severity(f[6].cast("int"), f[5], agent), P.level_severity(f[2]),
+        pick(P.message_severity(text), P.request_severity(f(6).try_cast("int"), f(5), agent), P.level_severity(f(2)),
              F.lit("INFO")).alias("severity"),
     ).select(*ENTRY_COLUMNS)

@@ -156,6 +156,16 @@ class Engine:
     def assets(self) -> DataFrame:
         return search.affected_assets(self.all_incidents, self.sources, correlate.update_text(self.config))
 
+    @property
+    def insights(self) -> DataFrame:
+        """One row per incident with everything an investigation page shows that has a bound."""
+        d = self.with_texts(self.all_incidents).join(self.narratives, "incident_key", "left")
+        return d.join(self.ranked.select("incident_key", "priority"), "incident_key", "left").select(
+            "incident_key", "executive_summary", "technical_summary", "attack_narrative", "root_cause", "mitre_summary",
+            "smart_recommendations", "attack_chain_id", "attack_chain_stage", "attack_chain_progress",
+            "attack_chain_stages_completed", "attack_chain_stages_missing", "estimated_objective", "threat_score",
+            "threat_score_breakdown", "priority")
+
     # Evidence, indicators, graph.
 
     @property

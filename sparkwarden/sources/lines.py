@@ -20,21 +20,22 @@ def _to_lines(raw: DataFrame) -> DataFrame:
             .withColumn("value", trimmed(F.col("value"))).where(F.col("value") != ""))
 
 
-def read_lines(spark: SparkSession, path, modified_after: str | None = None) -> DataFrame:
+def read_lines(spark: SparkSession, path, modified_after: str | None = None, glob: str = LOG_GLOB) -> DataFrame:
     """Batch read of a log file, a folder or several. seq follows the order of lines within each file.
 
     seq depends on how the files are split, so it is fixed by writing the entries table once and reading it after that.
     """
-    reader = spark.read.format("text").option("pathGlobFilter", LOG_GLOB)
+    reader = spark.read.format("text").option("pathGlobFilter", glob)
     if modified_after:
         reader = reader.option("modifiedAfter", modified_after)
     lines = _to_lines(reader.load(path))
     return lines.select(F.monotonically_increasing_id().alias("seq"), "value", "source_file", "modified")
 
 
-def stream_lines(spark: SparkSession, folder: str, start_from: str | None = None, files_per_batch: int = 1000) -> DataFrame:
+def stream_lines(spark: SparkSession, folder: str, start_from: str | None = None, files_per_batch: int = 1000,
+                 glob: str = LOG_GLOB) -> DataFrame:
     """Every new closed file of a folder. The file source does not follow appended bytes: land rolled segments."""
-    raw = (spark.readStream.format("text").option("pathGlobFilter", LOG_GLOB)
+    raw = (spark.readStream.format("text").option("pathGlobFilter", glob)
            .option("maxFilesPerTrigger", files_per_batch).load(folder))
     lines = _to_lines(raw)
     return lines if start_from is None else lines.where(F.col("modified") >= F.lit(start_from).cast("timestamp"))
