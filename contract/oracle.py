@@ -116,7 +116,7 @@ CTES["rules"] = f"SELECT * FROM ({_values(dims.RULES)}) r(rule_id, ord, name, se
 
 CTES["line_hits"] = " UNION ALL ".join(
     f"SELECT seq, '{rule}' AS rule_id, 1::BIGINT AS n FROM entries WHERE regexp_matches(message, {_q('(?i)' + pattern)})"
-    for rule, pattern in dims.LINE_RULES)
+    for rule, pattern, _ in dims.LINE_RULES)
 
 CTES["auth"] = """
  SELECT *, row_number() OVER (PARTITION BY ip ORDER BY t, seq) AS rn FROM (
@@ -628,7 +628,7 @@ add("merge_candidates", """SELECT a.incident_key AS primary_key, b.incident_key
 add("merge_incidents", f"""SELECT incident_key, primary_key, is_merged, status, severity, events AS total_events, {ts('first_seen')} AS first_seen, {ts('last_seen')} AS last_seen, target_user,
  {bar('rules')} AS triggered_rules, {bar('mitre')} AS mitre_techniques, {bar('ips[1:5]')} AS source_ips, merged_count FROM listed""")
 add("merge_map", "SELECT incident_key, primary_key, merge_ord FROM absorbed")
-add("evidence_for_incident", "SELECT incident_key, 'EV-' || incident_key AS evidence_id, e.rule_name, risk FROM scored JOIN ev_records e ON e.k = incident_key WHERE listed")
+add("evidence_for_incident", "SELECT incident_key, 'EV-' || incident_key AS evidence_id, coalesce(e.rule_name, '') AS rule_name, risk FROM scored JOIN ev_records e ON e.k = incident_key WHERE listed")
 add("dashboard_stats", """SELECT (SELECT count(*) FROM entries) AS total_logs, (SELECT count(*) FROM entries WHERE severity = 'INFO') AS info_events,
  (SELECT count(*) FROM entries WHERE severity IN ('MEDIUM', 'LOW')) AS warning_events, (SELECT count(*) FROM entries WHERE severity = 'HIGH') AS high_events,
  (SELECT count(*) FROM entries WHERE severity = 'CRITICAL') AS critical_events, (SELECT count(*) FROM alerts) AS total_alerts, (SELECT count(*) FROM alerts) AS active_alerts,
@@ -801,4 +801,4 @@ add("stream_correlate", "SELECT incident_key, seq, n FROM updates")
 add("stream_counts", f"""SELECT {ts('m')} AS window_start, '1 minute' AS size, count(*) AS n FROM (SELECT date_trunc('minute', ts) AS m FROM entries) GROUP BY ALL
  UNION ALL SELECT {ts('m - to_minutes(b)')}, '5 minutes', count(*) FROM (SELECT date_trunc('minute', ts) AS m, unnest([0, 1, 2, 3, 4]) AS b FROM entries) GROUP BY ALL""")
 add("stream_rate", f"""SELECT k AS batch_id, sum(count(*)) OVER (ORDER BY k)::BIGINT AS lines, {ts('max(max(ts)) OVER (ORDER BY k)')} AS last_event_time FROM (
- SELECT e.ts, ((e.seq - lo) // step)::BIGINT AS k FROM entries e, (SELECT min(seq) AS lo, (max(seq) - min(seq)) // 3 + 1 AS step FROM lines)) GROUP BY k""")
+ SELECT e.ts, ((e.seq - lo) // step)::BIGINT AS k FROM entries e, (SELECT min(seq) AS lo, (max(seq) - min(seq)) // 2 + 1 AS step FROM lines)) GROUP BY k""")

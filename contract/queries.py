@@ -189,12 +189,12 @@ def _(e):
 @query("classify_event")
 def _(e):
     return (e.entries.where("log_format = 'auth'").select("service", "message")
-            .groupBy("service", P.event_type_of(c("service"), c("message")).alias("event_type")).agg(F.count("*").alias("n")))
+            .groupBy("service", P.event_type_of(F.lower("service"), F.lower("message")).alias("event_type")).agg(F.count("*").alias("n")))
 
 
 @query("syslog_severity")
 def _(e):
-    return e.entries.where("log_format = 'auth'").groupBy(P.message_severity(c("message")).alias("severity")).agg(
+    return e.entries.where("log_format = 'auth'").groupBy(P.message_severity(F.lower("message")).alias("severity")).agg(
         F.count("*").alias("n"))
 
 

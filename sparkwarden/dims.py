@@ -62,18 +62,24 @@ RULE_COLUMNS = "rule_id string, rule_ord int, name string, severity string, mitr
 RULE_ORD = {r[0]: r[1] for r in RULES}
 RULE_MITRE = {r[0]: r[4] for r in RULES}
 
-# Rules decided by one line alone, rule_id and pattern of the message (case-insensitive).
+# Rules decided by one line alone: rule_id, pattern of the message (case-insensitive), and words of which all
+# of at least one group must be in the message for the pattern to match. The words spare most lines the pattern.
 LINE_RULES = [
-    ("R003", r"invalid user"),
-    ("R004", r"failed password for root"),
-    ("R005", r"(sudo|su).*?(COMMAND|session opened)"),
-    ("R006", r"(union\s+select|or\s+1\s*=\s*1|drop\s+table|select\s+.*from|insert\s+into|delete\s+from|update\s+.*set|;\s*--|'--)"),
-    ("R007", r"\.\./|\.\.\\|etc/passwd|etc/shadow"),
-    ("R008", r"(sqlmap|nikto|nmap|masscan|dirbuster|gobuster|wfuzz|hydra|medusa)"),
-    ("R010", r"(UFW\s+BLOCK|iptables.*DROP|DENIED|firewall.*block)"),
-    ("R011", r"kernel:?.*(panic|oops|BUG|segfault|critical)"),
-    ("R012", r"(no space left|disk full|filesystem.*full)"),
-    ("R013", r"(segfault|core dump|failed.*start|exited.*error|terminated|abort)"),
+    ("R003", r"invalid user", [["invalid user"]]),
+    ("R004", r"failed password for root", [["failed password for root"]]),
+    ("R005", r"(sudo|su).*?(COMMAND|session opened)", [["su", "command"], ["su", "session opened"]]),
+    ("R006", r"(union\s+select|or\s+1\s*=\s*1|drop\s+table|select\s+.*from|insert\s+into|delete\s+from|update\s+.*set|;\s*--|'--)",
+     [["union", "select"], ["or", "1", "="], ["drop", "table"], ["select", "from"], ["insert", "into"], ["delete", "from"],
+      ["update", "set"], [";", "--"], ["'--"]]),
+    ("R007", r"\.\./|\.\.\\|etc/passwd|etc/shadow", [["../"], ["..\\"], ["etc/passwd"], ["etc/shadow"]]),
+    ("R008", r"(sqlmap|nikto|nmap|masscan|dirbuster|gobuster|wfuzz|hydra|medusa)",
+     [["sqlmap"], ["nikto"], ["nmap"], ["masscan"], ["dirbuster"], ["gobuster"], ["wfuzz"], ["hydra"], ["medusa"]]),
+    ("R010", r"(UFW\s+BLOCK|iptables.*DROP|DENIED|firewall.*block)",
+     [["ufw", "block"], ["iptables", "drop"], ["denied"], ["firewall", "block"]]),
+    ("R011", r"kernel:?.*(panic|oops|BUG|segfault|critical)", [["kernel"]]),
+    ("R012", r"(no space left|disk full|filesystem.*full)", [["no space left"], ["disk full"], ["filesystem", "full"]]),
+    ("R013", r"(segfault|core dump|failed.*start|exited.*error|terminated|abort)",
+     [["segfault"], ["core dump"], ["failed", "start"], ["exited", "error"], ["terminated"], ["abort"]]),
 ]
 FAILED_PASSWORD = r"failed password"
 ACCEPTED_PASSWORD = r"accepted password"

@@ -53,12 +53,26 @@ def first_ip(text: Column) -> Column:
     return empty_to_null(F.regexp_extract(text, FIRST_IP, 1))
 
 
-def username_of(text: Column) -> Column:
-    named = F.regexp_extract(text, USER_FOR, 1)
+def named_user(text: Column) -> Column:
+    return F.regexp_extract(text, USER_FOR, 1)
+
+
+def username_of(text: Column, named: Column | None = None) -> Column:
+    """named may be a column that already holds named_user(text)."""
+    named = named_user(text) if named is None else named
     usable = (named != "") & ~named.isin(NOT_USERS)
     return F.when(usable, named).otherwise(empty_to_null(F.regexp_extract(text, USER_BY, 1)))
 
 
+def folded(text: Column) -> Column:
+    """Lower case such that an ASCII word is found exactly where a case-insensitive Unicode match finds it.
+
+    Four letters outside ASCII match an ASCII letter when case is ignored: long s, dotless i, dotted I and the Kelvin sign.
+    """
+    plain = F.octet_length(text) == F.length(text)
+    return F.when(plain, F.lower(text)).otherwise(F.lower(F.translate(text, "\u017f\u0131\u0130\u212a", "siik")))
+
+
 def bsd_time(text: Column, year: int) -> Column:
     one_space = F.regexp_replace(text, r"(?U)\s+", " ")
     return F.try_to_timestamp(F.concat(F.lit(f"{year} "), one_space), F.lit("yyyy MMM d HH:mm:ss"))
@@ -93,9 +107,8 @@ def _first_case(cases: list[tuple[Column, str]], default: str) -> Column:
     return out.otherwise(default)
 
 
-def event_type_of(service: Column, message: Column) -> Column:
-    """Keywords of each event type, tested in this order."""
-    s, m = F.lower(service), F.lower(message)
+def event_type_of(s: Column, m: Column) -> Column:
+    """From lower-case service and message. Keywords of each event type, tested in this order."""
     return _first_case([
         (contains_any(s, ["sshd", "pam", "login", "su", "sudo"]), "Authentication"),
         (contains_any(s, ["ufw", "iptables", "firewalld"]), "Firewall"),
@@ -108,9 +121,8 @@ def event_type_of(service: Column, message: Column) -> Column:
     ], "System")
 
 
-def message_severity(message: Column) -> Column:
-    """Keywords of each severity, tested in this order."""
-    m = F.lower(message)
+def message_severity(m: Column) -> Column:
+    """From the lower-case message. Keywords of each severity, tested in this order."""
     return _first_case([
         (contains_any(m, ["panic", "oops", "critical", "emergency"]), "CRITICAL"),
         (contains_any(m, ["failed password", "authentication failure", "invalid user", "error", "not allowed"]), "MEDIUM"),
@@ -119,12 +131,11 @@ def message_severity(message: Column) -> Column:
     ], "LOW")
 
 
-def request_severity(status: Column, path: Column, agent: Column) -> Column:
-    """Tools, path words and status codes, tested in this order."""
-    p, a = F.lower(path), F.lower(agent)
+def request_severity(status: Column, p: Column, a: Column) -> Column:
+    """From lower-case path and agent. Tools, path words and status codes, tested in this order."""
     return _first_case([
         (contains_any(a, ["sqlmap", "nikto", "nmap", "masscan", "dirbuster"]), "HIGH"),
-        (F.contains(path, F.lit("../")) | F.contains(p, F.lit("etc/passwd")), "HIGH"),
+        (F.contains(p, F.lit("../")) | F.contains(p, F.lit("etc/passwd")), "HIGH"),
         (contains_any(p, ["union", "select", "drop", "1=1", "or+1"]), "CRITICAL"),
         (status >= 500, "HIGH"),
         (status.isin(401, 403), "MEDIUM"),

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_, or_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkwarden import dims
 from sparkwarden.config import Config
-from sparkwarden.functions.parsing import WHITESPACE_ENDS
+from sparkwarden.functions.parsing import WHITESPACE_ENDS, folded
 from sparkwarden.operators.ordered import SECOND, Running, Sliding, with_totals
 from sparkwarden.operators.resets import clearings, last_cleared
 from sparkwarden.schema import SLIM_COLUMNS
@@ -20,27 +23,36 @@ def rules_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(dims.RULES, dims.RULE_COLUMNS)
 
 
-def _matches(pattern: str) -> Column:
-    return F.col("message").rlike("(?iU)" + pattern)
+def _words(text: Column, groups: list[list[str]]) -> Column:
+    """All words of at least one group are in the text."""
+    return reduce(or_, [reduce(and_, [F.contains(text, F.lit(w)) for w in g]) for g in groups])
+
+
+def _matches(pattern: str, groups: list[list[str]] | None) -> Column:
+    by_pattern = F.col("message").rlike("(?iU)" + pattern)
+    return _words(F.col("_folded"), groups) & by_pattern if groups else by_pattern
 
 
 def with_line_rules(entries: DataFrame, line_rules=dims.LINE_RULES) -> DataFrame:
     """Adds what one line alone decides: line_rules (array of rule ids), is_failure, is_login, is_404, t and web_flag.
 
-    The rules are rows (rule_id, pattern); callers may pass their own.
+    The rules are rows (rule_id, pattern, word groups or None); callers may pass their own.
     """
-    hits = F.array_compact(F.array(*[F.when(_matches(p), F.lit(rule)) for rule, p in line_rules]))
-    d = entries.select(
-        "*", hits.alias("line_rules"), _matches(dims.FAILED_PASSWORD).alias("is_failure"),
-        _matches(dims.ACCEPTED_PASSWORD).alias("is_login"), F.col("message").rlike("(?U)" + dims.NOT_FOUND).alias("is_404"),
-        F.unix_micros("timestamp").alias("t"))
-    web = (F.col("event_type") == "Web Server") | F.arrays_overlap("line_rules", F.array(*map(F.lit, WEB_RULES)))
+    found = F.concat_ws("\n", *[F.when(_matches(p, words), F.lit(rule)) for rule, p, words in line_rules])
+    d = entries.withColumn("_folded", folded(F.col("message"))).select(
+        "*", found.alias("_found"), F.contains("_folded", F.lit(dims.FAILED_PASSWORD)).alias("is_failure"),
+        F.contains("_folded", F.lit(dims.ACCEPTED_PASSWORD)).alias("is_login"),
+        (F.contains("message", F.lit("→")) & F.col("message").rlike("(?U)" + dims.NOT_FOUND)).alias("is_404"),
+        F.unix_micros("timestamp").alias("t")).drop("_folded")
+    rules = F.when(F.col("_found") == "", F.array().cast("array<string>")).otherwise(F.split("_found", "\n"))
+    web = (F.col("event_type") == "Web Server") | _words(F.col("_found"), [[r] for r in WEB_RULES])
+    d = d.withColumn("line_rules", rules).withColumn("web_flag", web).drop("_found")
     # Request methods. The path of a request is its second word.
-    words = F.split(F.regexp_replace("message", WHITESPACE_ENDS, ""), r"(?U)\s+")
-    second = F.when(F.get(words, F.lit(0)).isin("GET", "POST", "PUT", "DELETE", "HEAD"), F.get(words, F.lit(1))).otherwise(F.get(words, F.lit(0)))
-    path = F.when(F.size(words) >= 2, second).otherwise("")
-    d = d.withColumn("web_flag", web)
-    return d.withColumn("path", F.when(F.col("web_flag") | F.col("is_404"), path))
+    d = d.withColumn("_words", F.when(F.col("web_flag") | F.col("is_404"), F.split(
+        F.regexp_replace("message", WHITESPACE_ENDS, ""), r"(?U)\s+", 3)))
+    first, second = F.get("_words", F.lit(0)), F.get("_words", F.lit(1))
+    path = F.when(first.isin("GET", "POST", "PUT", "DELETE", "HEAD"), second).otherwise(first)
+    return d.withColumn("path", F.when(F.size("_words") >= 2, path).when(F.col("_words").isNotNull(), "")).drop("_words")
 
 
 def _slim(scanned: DataFrame, *more: str) -> DataFrame:

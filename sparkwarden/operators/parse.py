@@ -70,16 +70,22 @@ def parse_lines(lines: DataFrame, config: Config, fmt: str | None = None) -> Dat
         "seq", "source_file", "log_format", "f", raw.alias("raw_log"), time.alias("timestamp"), message.alias("message"),
         pick(f(3), F.lit("apache"), F.lit("apache"), F.lit("")).alias("service"),
     )
-    text, service = F.col("message"), F.col("service")
+    text = F.col("message")
+    # Parts that several columns test, computed once per line.
+    d = d.select(
+        "*", F.lower(text).alias("_message"), F.lower("service").alias("_service"), F.lower(F.when(access, f(5))).alias("_path"),
+        F.lower(F.when(access, agent)).alias("_agent"), F.when(bsd, P.named_user(text)).alias("_named"),
+        F.when(~web, P.first_ip(F.when(bsd, text).otherwise(F.col("raw_log")))).alias("_ip"))
+    message, service = F.col("_message"), F.col("_service")
     return d.select(
         "*",
         F.md5(F.concat_ws("#", F.col("source_file"), F.col("seq").cast("string"))).alias("event_id"),
         F.when(bsd, f(2)).when(web, "webserver").otherwise("").alias("hostname"),
-        pick(P.first_ip(text), f(1), client, P.first_ip(F.col("raw_log"))).alias("source_ip"),
+        pick(F.col("_ip"), f(1), client, F.col("_ip")).alias("source_ip"),
         F.lit(None).cast("string").alias("destination_ip"),
-        F.when(bsd, P.username_of(text)).when(access & (f(2) != "-"), f(2)).alias("username"),
+        F.when(bsd, P.username_of(text, F.col("_named"))).when(access & (f(2) != "-"), f(2)).alias("username"),
         F.when(bsd, f(4)).when(web, "httpd").otherwise("").alias("process"),
-        F.when(bsd, P.event_type_of(service, text)).when(web, "Web Server").otherwise("Unknown").alias("event_type"),
-        pick(P.message_severity(text), P.request_severity(f(6).try_cast("int"), f(5), agent), P.level_severity(f(2)),
-             F.lit("INFO")).alias("severity"),
+        F.when(bsd, P.event_type_of(service, message)).when(web, "Web Server").otherwise("Unknown").alias("event_type"),
+        pick(P.message_severity(message), P.request_severity(f(6).try_cast("int"), F.col("_path"), F.col("_agent")),
+             P.level_severity(f(2)), F.lit("INFO")).alias("severity"),
     ).select(*ENTRY_COLUMNS)

@@ -27,6 +27,8 @@ class Engine:
 
     def __init__(self, spark: SparkSession, lines: DataFrame, config: Config | None = None, folder: str | None = None):
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+        # The JVM does not compile methods above 8000 bytes, which one generated method of the whole parse step would be.
+        spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
         self.spark = spark
         self.lines = lines
         self.config = config or Config()
@@ -50,7 +52,12 @@ class Engine:
     @property
     def scanned(self) -> DataFrame:
         """Entries with what each line alone decides."""
-        return self.store.table("scanned", lambda: detect.with_line_rules(parse_lines(self.lines, self.config)))
+        return self.store.table("scanned", lambda: detect.with_line_rules(parse_lines(self._spread(self.lines), self.config)))
+
+    def _spread(self, lines: DataFrame) -> DataFrame:
+        """Input in fewer splits than there are cores is spread before parsing; large input comes in enough splits."""
+        cores = self.spark.sparkContext.defaultParallelism
+        return lines.repartition(cores) if lines.rdd.getNumPartitions() < cores else lines
 
     @property
     def entries(self) -> DataFrame:

@@ -117,55 +117,68 @@ def rate(progress: list[dict]) -> list[dict]:
     return out
 
 
-SEGMENTS = 3
+SEGMENTS = 2
 
 
 class Replay:
-    """Runs the streams over an engine's lines, landed in closed segments one after the other."""
+    """Runs streams over an engine's lines, landed in closed segments one after the other; each run resumes its checkpoint."""
 
-    def __init__(self, engine):
+    def __init__(self, engine, name: str):
         self.engine, self.spark, self.config = engine, engine.spark, engine.config
-        self.folder = f"{engine.store.folder}/streams"
+        self.folder = f"{engine.store.folder}/streams/{name}"
         self.landing = f"{self.folder}/landing"
 
-    def _read(self, name: str, schema) -> DataFrame:
-        return self.spark.readStream.schema(schema).parquet(f"{self.folder}/{name}")
-
-    def run(self) -> None:
+    def run(self, step) -> Replay:
         low, high = self.engine.lines.agg(F.min("seq"), F.max("seq")).first()
-        step = (high - low) // SEGMENTS + 1
+        size = (high - low) // SEGMENTS + 1
         for i in range(SEGMENTS):
-            land(self.engine.lines.where(c("seq").between(low + i * step, low + (i + 1) * step - 1)), self.landing)
+            land(self.engine.lines.where(c("seq").between(low + i * size, low + (i + 1) * size - 1)), self.landing)
+            # Lines are parsed once, by a stream of their own; the others read its table.
             scanned = scan(landed_lines(self.spark, self.landing), self.config)
-            hits = detect_stream(scanned, self.config)
-            to_table(hits, "hits", self.folder)
-            stored = self._read("hits", hits.schema)
-            to_table(path_stream(scanned, stored), "paths", self.folder)
-            paths = self._read("paths", "ip string, t bigint, seq bigint, is_new bigint")
-            to_table(correlate_stream(stored, paths, self.config), "updates", self.folder)
-            to_table(minute_counts(scanned), "counts", self.folder, mode="update")
-            progress = scanned.groupBy("source_file").agg(F.count("*").alias("lines"), F.max("timestamp").alias("last_event_time"))
-            to_table(progress, "progress", self.folder, mode="update")
+            to_table(scanned, "scanned", self.folder)
+            step(self, self.stored("scanned", scanned.schema))
+        return self
+
+    def stored(self, name: str, schema) -> DataFrame:
+        return self.spark.readStream.schema(schema).parquet(f"{self.folder}/{name}")
+
+    def result(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.folder}/{name}")
+
+
+def _incident_chain(r: Replay, scanned: DataFrame) -> None:
+    hits = detect_stream(scanned, r.config)
+    to_table(hits, "hits", r.folder)
+    stored = r.stored("hits", hits.schema)
+    to_table(path_stream(scanned, stored), "paths", r.folder)
+    paths = r.stored("paths", "ip string, t bigint, seq bigint, is_new bigint")
+    to_table(correlate_stream(stored, paths, r.config), "updates", r.folder)
+
+
+def _volumes(r: Replay, scanned: DataFrame) -> None:
+    to_table(minute_counts(scanned), "counts", r.folder, mode="update")
+    progress = scanned.groupBy("source_file").agg(F.count("*").alias("lines"), F.max("timestamp").alias("last_event_time"))
+    to_table(progress, "progress", r.folder, mode="update")
 
 
-def _replayed(engine) -> Replay:
-    if not hasattr(engine, "_replay"):
-        engine._replay = Replay(engine)
-        engine._replay.run()
-    return engine._replay
+def _once(engine, name: str, step) -> Replay:
+    done = engine.__dict__.setdefault("_replays", {})
+    if name not in done:
+        done[name] = Replay(engine, name).run(step)
+    return done[name]
 
 
 def run_detect(engine) -> DataFrame:
-    return engine.spark.read.parquet(f"{_replayed(engine).folder}/hits")
+    return _once(engine, "incidents", _incident_chain).result("hits")
 
 
 def run_correlate(engine) -> DataFrame:
-    return engine.spark.read.parquet(f"{_replayed(engine).folder}/updates")
+    return _once(engine, "incidents", _incident_chain).result("updates")
 
 
 def run_counts(engine) -> DataFrame:
     """Counts per minute and per sliding five minutes: the last output of each window wins."""
-    d = engine.spark.read.parquet(f"{_replayed(engine).folder}/counts")
+    d = _once(engine, "volumes", _volumes).result("counts")
     last = d.groupBy("w", "size", "back").agg(F.max_by("n", "batch_id").alias("n"))
     start = c("w.start") - F.make_dt_interval(mins=c("back"))
     return last.groupBy(start.alias("window_start"), "size").agg(F.sum("n").alias("n"))
@@ -173,5 +186,5 @@ def run_counts(engine) -> DataFrame:
 
 def run_rate(engine) -> DataFrame:
     """Lines processed and last event time after each segment."""
-    d = engine.spark.read.parquet(f"{_replayed(engine).folder}/progress")
+    d = _once(engine, "volumes", _volumes).result("progress")
     return d.groupBy("batch_id").agg(F.sum("lines").alias("lines"), F.max("last_event_time").alias("last_event_time"))
