@@ -689,12 +689,12 @@ def _(e):
 
 @raw_query("extract_iocs_documents")
 def _(spark, sf_dir, e):
-    return I.extract_text_iocs(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text")
+    return I.extract_text_iocs(e.spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")), "doc_id", "text")
 
 
 @raw_query("extract_iocs_pages")
 def _(spark, sf_dir, e):
-    return I.extract_text_iocs(spark.read.parquet(f"{sf_dir}/pages.parquet"), "page_id", "html")
+    return I.extract_text_iocs(e.spread(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html")), "page_id", "html")
 
 
 @query("top_iocs")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkwarden.operators.ordered import Running, with_totals
+
 c = F.col
 
 
@@ -20,38 +22,52 @@ def apply_alert_actions(alerts: DataFrame, actions: DataFrame) -> tuple[DataFram
     return changed, unknown_action.unionByName(unknown_alert)
 
 
-def _next(status: Column, action: Column) -> Column:
-    """The allowed steps. Null where the step is not allowed."""
-    return (F.when(action == "reopen", "ACTIVE")
-            .when((action == "investigate") & (status == "ACTIVE"), "INVESTIGATING")
-            .when((action == "resolve") & (status == "INVESTIGATING"), "RESOLVED")
-            .when((action == "close") & (status == "RESOLVED"), "CLOSED"))
+# The step each action takes, from and to. Reopening is allowed in every status.
+STEPS = [("investigate", "ACTIVE", "INVESTIGATING"), ("resolve", "INVESTIGATING", "RESOLVED"), ("close", "RESOLVED", "CLOSED")]
 
 
 def apply_incident_actions(incidents: DataFrame, actions: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(incidents with their new status, rejected actions). actions(incident_id, action, ts, note), applied in time order.
 
-    Analysts' actions on one incident are few, so they are folded as one list per incident.
+    Each status allows exactly one step forward, so between two reopenings the accepted actions are the first
+    investigate, the first resolve after it and the first close after that: minima, with no list per incident.
     """
-    known_actions = ["investigate", "resolve", "close", "reopen"]
-    a = actions.withColumn("action", F.lower("action"))
-    usable = a.where(c("action").isin(known_actions)).withColumnRenamed("incident_id", "incident_key")
-    listed = usable.groupBy("incident_key").agg(F.sort_array(F.collect_list(F.struct("ts", "action", "note"))).alias("steps"))
-    steps_type = "array<struct<ts:timestamp,action:string,note:string,status:string>>"
-
-    def step(s: Column, x: Column) -> Column:
-        to = _next(s["status"], x["action"])
-        refused = F.array(F.struct(x["ts"].alias("ts"), x["action"].alias("action"), x["note"].alias("note"), s["status"].alias("status")))
-        return F.struct(F.coalesce(to, s["status"]).alias("status"),
-                        F.when(to.isNull(), F.concat(s["refused"], refused)).otherwise(s["refused"]).alias("refused"))
-    zero = F.struct(c("status").alias("status"), F.array().cast(steps_type).alias("refused"))
-    d = incidents.join(listed, "incident_key", "left")
-    folded = d.withColumn("_f", F.when(c("steps").isNotNull(), F.aggregate("steps", zero, step)))
-    changed = folded.withColumn("status", F.coalesce("_f.status", "status")).drop("steps", "_f")
-    refused = folded.select(c("incident_key").alias("incident_id"), F.explode("_f.refused").alias("x")).select(
-        "incident_id", "x.action", "x.ts", "x.note", F.concat(F.lit("not allowed in status "), "x.status").alias("reason"))
-    unknown_action = a.where(~c("action").isin(known_actions)).select(
-        "incident_id", "action", "ts", "note", F.lit("unknown action").alias("reason"))
-    unknown_incident = (usable.join(incidents.select("incident_key"), "incident_key", "left_anti")
+    known = [name for name, _, _ in STEPS] + ["reopen"]
+    a = actions.withColumn("action", F.lower("action")).withColumnRenamed("incident_id", "incident_key")
+    usable = a.where(c("action").isin(known)).join(incidents.select("incident_key", c("status").alias("start")), "incident_key")
+    order = with_totals(
+        usable.withColumn("t", F.unix_micros("ts")).withColumn("tie", F.xxhash64("action", "note")), ["incident_key"],
+        {"part": Running((c("action") == "reopen").cast("int")), "n": Running(F.lit(1))}, seq="tie")
+    key = ["incident_key", "part"]
+    # Where a part starts: reopened, or in the incident's own status.
+    begun = F.when(c("part") > 0, "ACTIVE").otherwise(c("start"))
+    parts = order.groupBy(*key).agg(F.first(begun).alias("status")).withColumn("at", F.lit(0).cast("bigint"))
+    accepted = order.where("action = 'reopen'").select("incident_key", "part", "n")
+    for name, from_, to in STEPS:
+        here = parts.where(c("status") == from_).select(*key, "at")
+        taken = (order.where(c("action") == name).join(here, key).where(c("n") > c("at"))
+                 .groupBy(*key).agg(F.min("n").alias("n")))
+        accepted = accepted.unionByName(taken)
+        moved = taken.withColumnRenamed("n", "_n")
+        parts = parts.join(moved, key, "left").select(
+            *key, F.when(c("_n").isNotNull(), to).otherwise(c("status")).alias("status"), F.coalesce("_n", "at").alias("at"))
+    last = parts.groupBy("incident_key").agg(F.max_by("status", "part").alias("_status"))
+    changed = (incidents.join(last, "incident_key", "left").withColumn("status", F.coalesce("_status", "status")).drop("_status"))
+
+    # A refused action reports the status at its time: the last step accepted before it, or where its part began.
+    to_status = F.when(c("action") == "reopen", "ACTIVE")
+    for name, _, to in STEPS:
+        to_status = to_status.when(c("action") == name, to)
+    ok = accepted.select("incident_key", "n", F.lit(True).alias("ok"))
+    marked = order.join(ok, ["incident_key", "n"], "left")
+    steps = (marked.where("ok").select("incident_key", "n", F.struct("n", to_status.alias("status")).alias("step")))
+    seen = marked.join(steps, ["incident_key", "n"], "left")
+    seen = with_totals(seen, ["incident_key"], {"now": Running(c("step"), "max")}, t="n", seq="n", slice_width=4096)
+    refused = seen.where("ok is null").select(
+        c("incident_key").alias("incident_id"), "action", "ts", "note",
+        F.concat(F.lit("not allowed in status "), F.coalesce("now.status", "start")).alias("reason"))
+    unknown_action = a.where(~c("action").isin(known)).select(
+        c("incident_key").alias("incident_id"), "action", "ts", "note", F.lit("unknown action").alias("reason"))
+    unknown_incident = (a.where(c("action").isin(known)).join(incidents.select("incident_key"), "incident_key", "left_anti")
                         .select(c("incident_key").alias("incident_id"), "action", "ts", "note", F.lit("unknown incident").alias("reason")))
     return changed, refused.unionByName(unknown_action).unionByName(unknown_incident)

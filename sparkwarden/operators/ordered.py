@@ -1,13 +1,15 @@
-"""Order-dependent totals that do not put a whole key on one task.
+"""Order-dependent totals that do not put a whole hot key on one task.
 
-A plain window by key sends every row of a key to one task, which fails when one source holds a third of the rows.
-Here rows are grouped in three steps, each fixed by the data alone (so a lost executor recomputes the same groups):
+A plain window by key sends every row of a key to one task. That is the cheapest plan (one shuffle) while keys are small,
+and fails when one source holds a third of the rows. So the largest key is counted first. Beyond PLAIN_ROWS, rows are
+grouped in three steps, each fixed by the data alone (a lost executor recomputes the same groups):
 
   cell   one key, one timestamp, one block of 2^20 seq values   -> window over at most 2^20 rows
   slice  the cells of one key in one span of time               -> window over one row per cell
   key    the slices of one key                                  -> window over one row per slice
 
-Rows are shuffled once, by cell. Only the cells (partially aggregated before their shuffle) go further.
+Rows are then still shuffled once, by cell. Only the cells (partially aggregated before their shuffle) go further.
+Both ways give the same totals.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from pyspark.sql import functions as F
 BLOCK_BITS = 20
 SECOND = 1_000_000
 SLICE_US = 60 * SECOND
+PLAIN_ROWS = 2_000_000
 
 
 @dataclass(frozen=True)
@@ -56,6 +59,33 @@ def with_totals(df: DataFrame, keys: list[str], totals: dict[str, Running | Slid
 
     Rows with equal (t, seq) count as one step, so all of them see each other.
     """
+    if largest_key(df, keys) <= PLAIN_ROWS:
+        return _by_key(df, keys, totals, t, seq)
+    return _by_cell(df, keys, totals, t, seq, slice_width)
+
+
+def largest_key(df: DataFrame, keys: list[str]) -> int:
+    """Rows of the largest key: one number, from a count that combines before its shuffle."""
+    return df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+
+
+def _by_key(df: DataFrame, keys: list[str], totals: dict[str, Running | Sliding], t: str, seq: str) -> DataFrame:
+    so_far = Window.partitionBy(*keys).orderBy(t, seq).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    same_t = Window.partitionBy(*keys, t).orderBy(seq).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    by_t = Window.partitionBy(*keys).orderBy(t)
+    out = df
+    for n, x in totals.items():
+        if isinstance(x, Running):
+            out = out.withColumn(n, _fold(x.how)(x.value).over(so_far))
+            if x.how == "sum":
+                out = out.withColumn(n, F.coalesce(n, F.lit(0)))
+        else:
+            earlier = by_t.rangeBetween(-(x.window_us - 1) if x.open else -x.window_us, -1)
+            out = out.withColumn(n, _join("sum", F.sum(x.value).over(earlier), F.sum(x.value).over(same_t)))
+    return out
+
+
+def _by_cell(df: DataFrame, keys: list[str], totals: dict[str, Running | Sliding], t: str, seq: str, slice_width: int) -> DataFrame:
     running = {n: x for n, x in totals.items() if isinstance(x, Running)}
     sliding = {n: x for n, x in totals.items() if isinstance(x, Sliding)}
     how = {n: (x.how if isinstance(x, Running) else "sum") for n, x in totals.items()}

@@ -52,9 +52,9 @@ class Engine:
     @property
     def scanned(self) -> DataFrame:
         """Entries with what each line alone decides."""
-        return self.store.table("scanned", lambda: detect.with_line_rules(parse_lines(self._spread(self.lines), self.config)))
+        return self.store.table("scanned", lambda: detect.with_line_rules(parse_lines(self.spread(self.lines), self.config)))
 
-    def _spread(self, lines: DataFrame) -> DataFrame:
+    def spread(self, lines: DataFrame) -> DataFrame:
         """Input in fewer splits than there are cores is spread before parsing; large input comes in enough splits."""
         cores = self.spark.sparkContext.defaultParallelism
         return lines.repartition(cores) if lines.rdd.getNumPartitions() < cores else lines
