@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from sparkwarden.functions.rounding import fixed
 from sparkwarden.functions.texts import speed_finding, text
-from sparkwarden.operators.detect import has_rule
-from sparkwarden.operators.ordered import SECOND, Running, first_rows, with_totals
+from sparkwarden.operators.detect import has_rule, ip_bound
+from sparkwarden.operators.ordered import SECOND, Bounds, Running, first_rows, largest_key, with_totals
 
 c = F.col
 AUTH_RULES = ("R001", "R002", "R003", "R004", "R014")
@@ -22,14 +22,14 @@ def first_uses(rows: DataFrame, key: str, member: str) -> DataFrame:
             .agg(F.min(F.struct("t", "seq")).alias("p")).select("key", "member", "p.t", "p.seq"))
 
 
-def auth_times(detected: DataFrame) -> DataFrame:
+def auth_times(detected: DataFrame, bounds: Bounds | None = None) -> DataFrame:
     """Authentication alerts of each source with the time since the one before it (null for the first).
 
     Neighbours are found by number, with an equi-join, so a busy source is not walked on one task.
     """
     d = (detected.where((c("source_ip") != "") & has_rule(*AUTH_RULES))
          .select(c("source_ip").alias("key"), "t", "seq"))
-    d = with_totals(d, ["key"], {"n": Running(F.lit(1))})
+    d = with_totals(d, ["key"], {"n": Running(F.lit(1))}, at_most=ip_bound(bounds))
     before = d.select("key", (c("n") + 1).alias("n"), c("t").alias("before"))
     return d.join(before, ["key", "n"], "left").select("key", "t", "seq", "n", (c("t") - c("before")).alias("gap"))
 
@@ -102,14 +102,19 @@ def smallest_members(members: DataFrame, points: DataFrame, k: int = 5) -> DataF
             .agg(F.sort_array(F.collect_list("member")).alias("members")))
 
 
+def _with_points(bounds: Bounds | None, points: DataFrame, key: str) -> int | None:
+    """Bound of a source's entries and of the incidents that ask about it."""
+    return None if bounds is None else bounds.ip + largest_key(points, [key])
+
+
 def source_findings(scanned: DataFrame, detected: DataFrame, updates: DataFrame, incidents: DataFrame,
-                    sources: DataFrame) -> DataFrame:
+                    sources: DataFrame, bounds: Bounds | None = None) -> DataFrame:
     """Findings per incident and source, as of the incident's last update."""
     rows = scanned.where(c("source_ip") != "")
     key = c("source_ip").alias("key")
     events = rows.select(key, *POS, F.lit(1).alias("ev"))
     users = first_uses(rows, "source_ip", "username").withColumn("nu", F.lit(1))
-    auth = auth_times(detected).select("key", *POS, F.lit(1).alias("auth"), F.when(c("gap") < FAST_GAP_US, c("gap")).alias("gap"))
+    auth = auth_times(detected, bounds).select("key", *POS, F.lit(1).alias("auth"), F.when(c("gap") < FAST_GAP_US, c("gap")).alias("gap"))
     blocks = detected.where((c("source_ip") != "") & has_rule("R010")).select(key, *POS, F.lit(1).alias("fw"))
     points = (sources.join(incidents.select("incident_key", "last_pos"), "incident_key")
               .select(c("source_ip").alias("key"), "last_pos.t", "last_pos.seq", F.struct("incident_key", c("first_pos").alias("at"))
@@ -122,7 +127,7 @@ def source_findings(scanned: DataFrame, detected: DataFrame, updates: DataFrame,
         return Running(F.coalesce(name, F.lit(0)))
     d = with_totals(steps, ["key"], {
         "events": count("ev"), "users": count("nu"), "auths": count("auth"), "blocks": count("fw"),
-        "min_gap": Running(c("gap"), "min")})
+        "min_gap": Running(c("gap"), "min")}, at_most=_with_points(bounds, points, "key"))
     asked = d.where("id is not null").select("id", "key", "events", "users", "auths", "blocks", "min_gap")
     members = d.where("member is not null").select("key", "member", c("users").alias("n"))
     wanted = asked.where("users >= 3").select("id", "key", c("users").alias("upto"))
@@ -183,11 +188,12 @@ def service_findings(detected: DataFrame, incidents: DataFrame) -> DataFrame:
              "instability.").alias("finding"))
 
 
-def findings(scanned: DataFrame, detected: DataFrame, updates: DataFrame, incidents: DataFrame, sources: DataFrame) -> DataFrame:
+def findings(scanned: DataFrame, detected: DataFrame, updates: DataFrame, incidents: DataFrame, sources: DataFrame,
+             bounds: Bounds | None = None) -> DataFrame:
     """(incident_key, part, at, i, finding), ordered by (part, at, i) within an incident."""
     speed = incidents.select(
         "incident_key", F.lit(4).alias("part"), F.lit(None).cast("struct<t:bigint,seq:bigint>").alias("at"), F.lit(0).alias("i"),
         speed_finding().alias("finding")).where("finding is not null")
-    return (source_findings(scanned, detected, updates, incidents, sources)
+    return (source_findings(scanned, detected, updates, incidents, sources, bounds)
             .unionByName(user_findings(scanned, incidents)).unionByName(service_findings(detected, incidents))
             .unionByName(speed))

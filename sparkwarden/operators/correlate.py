@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from sparkwarden import dims
 from sparkwarden.config import Config
-from sparkwarden.operators.detect import UNKNOWN, has_rule
-from sparkwarden.operators.ordered import SECOND, Running, Sliding, first_rows, with_totals
+from sparkwarden.operators.detect import UNKNOWN, has_rule, ip_bound
+from sparkwarden.operators.ordered import SECOND, Bounds, Running, Sliding, first_rows, with_totals
 from sparkwarden.schema import SLIM_COLUMNS
 
 FAILURES = ("R001", "R014")
@@ -29,28 +29,29 @@ def _updates(rows: DataFrame, scenario: str, subject: Column, n: Column) -> Data
         *entry, "hits")
 
 
-def failure_scan(detected: DataFrame, config: Config) -> DataFrame:
+def failure_scan(detected: DataFrame, config: Config, bounds: Bounds | None = None) -> DataFrame:
     """Entries with a failure alert and their number in the closed window."""
     d = detected.where(has_rule(*FAILURES)).withColumn("ip", _ip())
-    return with_totals(d, ["ip"], {"n": Sliding(F.lit(1), config.brute_force_window_s * SECOND, open=False)})
+    return with_totals(d, ["ip"], {"n": Sliding(F.lit(1), config.brute_force_window_s * SECOND, open=False)},
+                       at_most=ip_bound(bounds))
 
 
-def brute_force(detected: DataFrame, config: Config) -> DataFrame:
-    d = failure_scan(detected, config).where(F.col("n") >= config.brute_force_min)
+def brute_force(detected: DataFrame, config: Config, bounds: Bounds | None = None) -> DataFrame:
+    d = failure_scan(detected, config, bounds).where(F.col("n") >= config.brute_force_min)
     return _updates(d, "brute_force", F.col("ip"), F.col("n"))
 
 
-def account_compromise(detected: DataFrame, config: Config) -> DataFrame:
+def account_compromise(detected: DataFrame, config: Config, bounds: Bounds | None = None) -> DataFrame:
     """The count a login reports is that of the source's last failure: found by its number, not by a window."""
     def fail_no(*rules: str) -> Column:
         return F.get(F.filter("hits", lambda h: h["rule_id"].isin(*rules)), F.lit(0))["fail_no"]
     logins = detected.where(has_rule("R002")).withColumn("ip", _ip()).withColumn("fail_no", fail_no("R002"))
-    failures = failure_scan(detected, config).select("ip", fail_no(*FAILURES).alias("fail_no"), "n")
+    failures = failure_scan(detected, config, bounds).select("ip", fail_no(*FAILURES).alias("fail_no"), "n")
     d = logins.join(failures, ["ip", "fail_no"], "left")
     return _updates(d, "account_compromise", F.col("ip"), F.coalesce("n", F.lit(0)))
 
 
-def web_recon(scanned: DataFrame, detected: DataFrame, config: Config) -> DataFrame:
+def web_recon(scanned: DataFrame, detected: DataFrame, config: Config, bounds: Bounds | None = None) -> DataFrame:
     """Sources with many distinct paths so far. The first use of a path is marked by a partial minimum per path."""
     web = scanned.where("web_flag").select(*SLIM_COLUMNS)
     other = detected.where(~F.col("web_flag") & has_rule("R015")).select(*SLIM_COLUMNS)
@@ -58,7 +59,7 @@ def web_recon(scanned: DataFrame, detected: DataFrame, config: Config) -> DataFr
     firsts = (rows.groupBy("ip", "path").agg(F.min(F.struct("t", "seq")).alias("p"))
               .select("ip", "p.t", "p.seq", F.lit(1).alias("new")))
     steps = rows.withColumn("new", F.lit(0)).withColumn("real", F.lit(True)).unionByName(firsts, allowMissingColumns=True)
-    counted = with_totals(steps, ["ip"], {"n": Running(F.col("new"))}).where("real")
+    counted = with_totals(steps, ["ip"], {"n": Running(F.col("new"))}, at_most=ip_bound(bounds)).where("real")
     counted = counted.where(F.col("n") >= config.web_paths_min).drop("new", "real")
     d = counted.join(detected.select("seq", "hits"), "seq", "left")
     none = F.array().cast(detected.schema["hits"].dataType)
@@ -71,17 +72,18 @@ def priv_esc(detected: DataFrame) -> DataFrame:
     return _updates(d, "priv_esc", F.coalesce(user, F.lit(UNKNOWN)), F.lit(1))
 
 
-def service_failure(detected: DataFrame, config: Config) -> DataFrame:
+def service_failure(detected: DataFrame, config: Config, bounds: Bounds | None = None) -> DataFrame:
     service = F.when(F.col("service") != "", F.col("service"))
     d = detected.where(has_rule("R013")).withColumn("svc", F.coalesce(service, F.lit(UNKNOWN)))
-    d = with_totals(d, ["svc"], {"n": Sliding(F.lit(1), config.service_window_s * SECOND, open=False)})
+    d = with_totals(d, ["svc"], {"n": Sliding(F.lit(1), config.service_window_s * SECOND, open=False)},
+                    at_most=None if bounds is None else bounds.service)
     return _updates(d.where(F.col("n") >= config.service_min), "service_fail", F.col("svc"), F.col("n"))
 
 
-def incident_updates(scanned: DataFrame, detected: DataFrame, config: Config) -> DataFrame:
-    return (brute_force(detected, config).unionByName(account_compromise(detected, config))
-            .unionByName(web_recon(scanned, detected, config)).unionByName(priv_esc(detected))
-            .unionByName(service_failure(detected, config)))
+def incident_updates(scanned: DataFrame, detected: DataFrame, config: Config, bounds: Bounds | None = None) -> DataFrame:
+    return (brute_force(detected, config, bounds).unionByName(account_compromise(detected, config, bounds))
+            .unionByName(web_recon(scanned, detected, config, bounds)).unionByName(priv_esc(detected))
+            .unionByName(service_failure(detected, config, bounds)))
 
 
 def _text(*parts) -> Column:

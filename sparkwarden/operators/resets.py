@@ -71,10 +71,11 @@ def clearings(candidates: DataFrame, key: str, number: str, gap: int, chunk: int
             .select(key, F.explode(_choose(c("numbers"), c("chunk") * chunk + c("entry"), gap)["chosen"]).alias(number)))
 
 
-def last_cleared(rows: DataFrame, cleared: DataFrame, key: str, number: str, out: str) -> DataFrame:
+def last_cleared(rows: DataFrame, cleared: DataFrame, key: str, number: str, out: str, at_most: int | None = None) -> DataFrame:
     """Adds to rows(key, number, ...) the largest cleared number below or equal to theirs, null if none."""
     both = (rows.withColumn("_cleared", F.lit(None).cast("bigint"))
             .unionByName(cleared.select(key, number, F.col(number).alias("_cleared")), allowMissingColumns=True)
             .withColumn("_row", F.col("_cleared").isNull()))
-    both = with_totals(both, [key], {out: Running(F.col("_cleared"), "max")}, t=number, seq=number, slice_width=CHUNK)
+    both = with_totals(both, [key], {out: Running(F.col("_cleared"), "max")}, t=number, seq=number, slice_width=CHUNK,
+                       at_most=at_most)
     return both.where("_row").drop("_cleared", "_row")
