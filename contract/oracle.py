@@ -429,16 +429,16 @@ CTES["entry_iocs"] = f"""
    SELECT seq, event_id, {_in_order('l')} AS l FROM (
     SELECT seq, event_id, list_filter(list_concat({_FIELDS}, {_text_iocs('raw_log')}), lambda x: coalesce(x.value, '') <> '') AS l FROM entries)))"""
 
-CTES["ticks"] = """
- SELECT seq, ts, ord, ioc_type, value, source_ip, username, hostname, service FROM (
-  SELECT seq, ts, ord, source_ip, username, hostname, service, unnest(['ipv4', 'username', 'hostname', 'service']) AS ioc_type,
-    unnest([source_ip, username, hostname, service]) AS value
-  FROM (SELECT seq, ts, 0 AS ord, source_ip, username, hostname, service FROM entries
-        UNION ALL SELECT seq, ts, ord, source_ip, username, hostname, service FROM updates)) WHERE value <> ''"""
-CTES["links"] = """
- SELECT ioc_type, value, link_type, linked, min(pos1) AS pos1 FROM (
-  SELECT ioc_type, value, pos1, unnest(['ipv4', 'username', 'hostname', 'service']) AS link_type, unnest([source_ip, username, hostname, service]) AS linked
-  FROM (SELECT *, seq * 10 AS pos1 FROM ticks WHERE ord = 0)) WHERE link_type <> ioc_type AND linked <> '' GROUP BY ALL
+_KINDS = [("ipv4", "source_ip"), ("username", "username"), ("hostname", "hostname"), ("service", "service")]
+CTES["tick_rows"] = """
+ SELECT seq, ts, 0 AS ord, source_ip, username, hostname, service FROM entries
+ UNION ALL SELECT seq, ts, ord, source_ip, username, hostname, service FROM updates"""
+CTES["ticks"] = " UNION ALL ".join(
+    f"SELECT seq, ts, ord, '{k}' AS ioc_type, {f} AS value, source_ip, username, hostname, service FROM tick_rows WHERE {f} <> ''"
+    for k, f in _KINDS)
+CTES["links"] = " UNION ALL ".join(
+    f"SELECT ioc_type, value, '{k}' AS link_type, {f} AS linked, min(seq * 10) AS pos1 FROM ticks "
+    f"WHERE ord = 0 AND ioc_type <> '{k}' AND {f} <> '' GROUP BY ALL" for k, f in _KINDS) + """
  UNION ALL SELECT ioc_type, value, 'rule', rule_id, min(seq * 10) FROM ticks JOIN hits USING (seq) WHERE ticks.ord = 0 GROUP BY ALL
  UNION ALL SELECT t.ioc_type, t.value, 'incident', u.incident_key, min(t.seq * 10 + t.ord) FROM ticks t JOIN updates u ON u.seq = t.seq AND u.ord = t.ord GROUP BY ALL"""
 CTES["relationships"] = """

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -306,12 +306,16 @@ def _(e):
 # Correlation.
 
 UPDATE = ["incident_key", "seq", "event_id", "n"]
-for _s in C.dims.SCENARIOS:
-    def _scenario(e, name=_s[0]):
-        return e.updates.where(c("incident_key").startswith(f"{name}:")).select(*UPDATE)
-    query({"brute_force": "incident_brute_force", "account_compromise": "incident_account_compromise",
-           "web_recon": "incident_web_recon", "priv_esc": "incident_priv_esc", "service_fail": "incident_service_failure"}[_s[0]])(
-        lambda e, name=_s[0]: _scenario(e, name))
+SCENARIO_QUERIES = {"incident_brute_force": "brute_force", "incident_account_compromise": "account_compromise",
+                    "incident_web_recon": "web_recon", "incident_priv_esc": "priv_esc", "incident_service_failure": "service_fail"}
+
+
+def _scenario_query(name: str):
+    return lambda e: e.updates.where(c("incident_key").startswith(f"{name}:")).select(*UPDATE)
+
+
+for _name, _scenario in SCENARIO_QUERIES.items():
+    query(_name)(_scenario_query(_scenario))
 
 
 @query("incident_updates")

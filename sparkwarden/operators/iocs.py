@@ -64,15 +64,20 @@ def relationships(scanned: DataFrame, detected: DataFrame, updates: DataFrame, l
     alerts = hits.groupBy(*KEY).agg(F.sum("n").alias("related_alerts"), F.max("at").alias("alert_at"),
                                     F.max_by("n", "at").alias("alert_last"))
 
-    def count(kind: str, early: bool = False) -> Column:
-        cond = c("link_type") == kind
-        return F.count_if(cond & (c("first_pos") < c("last_pos")) if early else cond)
-    linked = (links.join(seen.select(*KEY, "last_pos"), KEY).groupBy(*KEY).agg(
+    def count(kind: str) -> Column:
+        return F.count_if(c("link_type") == kind)
+    # An indicator may have very many links, so they are counted without a join. Each tick adds one incident at most, so
+    # the incidents known before the last tick are all, or all but one.
+    linked = links.groupBy(*KEY).agg(
         count("incident").alias("related_incidents"), count("rule").alias("related_rules"),
         count("username").alias("related_users"), count("service").alias("related_services"),
         count("hostname").alias("related_hosts"), count("ipv4").alias("related_ips"),
-        count("incident", True).alias("_incidents"), count("rule", True).alias("_rules")))
-    d = seen.join(alerts, KEY, "left").join(linked, KEY, "left").na.fill(0)
+        F.max(F.when(c("link_type") == "incident", c("first_pos"))).alias("incident_at"))
+    # Rules per indicator are as few as the rules table.
+    rules = (links.where("link_type = 'rule'").join(seen.select(*KEY, "last_pos"), KEY).groupBy(*KEY)
+             .agg(F.count_if(c("first_pos") < c("last_pos")).alias("_rules")))
+    d = seen.join(alerts, KEY, "left").join(linked, KEY, "left").join(rules, KEY, "left").na.fill(0)
+    d = d.withColumn("_incidents", c("related_incidents") - F.when(c("incident_at") == c("last_pos"), 1).otherwise(0))
     on_last = ((c("last_pos.ord") == 0) & (c("alert_at.t") == c("last_pos.t")) & (c("alert_at.seq") == c("last_pos.seq")))
     earlier = c("related_alerts") - F.when(on_last, c("alert_last")).otherwise(0)
 
