@@ -70,7 +70,7 @@ def entry_detail(entries: DataFrame, alerts: DataFrame, rules: DataFrame, seqs:
 
 
 def sort_incidents(incidents: DataFrame) -> DataFrame:
-    """Lowest severity first, then newest: the list order of the reference API."""
+    """List order: lowest severity first, then newest."""
     return incidents.orderBy(severity_rank(c("severity")).asc(), c("last_seen").desc(), "admitted_pos")
 
 
