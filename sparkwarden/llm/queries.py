@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkwarden.llm import mixing, sharding, url_rules
+from sparkwarden.llm import line_dedup, mixing, sharding, simhash, url_rules
 from sparkwarden.llm.common import table
 
 c = F.col
 SHARDS = 8
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_copies(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mixing.mixed(docs).select("doc_id", "size", "source_size", "target", "taken")
@@ -27,6 +31,11 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
 #: The contract's rules: host, path, verdict.
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
              ("com", "/fr/", "allow"), ("com", "/de/", "block")]
@@ -38,13 +47,31 @@ def op9_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_simhash": op1_simhash,
     "op5_mixing": op5_mixing,
     "op7_sharding": op7_sharding,
+    "op8_line_dedup": op8_line_dedup,
     "op9_url_rules": op9_url_rules,
 }
 
 ORACLE: dict[str, str] = {
     "op5_mixing": mixing.ORACLE,
+    "op8_line_dedup": r"""
+with cut as (
+  select doc_id, row_number() over () as row, string_split(coalesce(text, ''), chr(10)) as lines from documents),
+lines as (
+  select row, unnest(lines) as line, generate_subscripts(lines, 1) as i from cut),
+keyed as (
+  select *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'),
+                      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key from lines),
+common as (select key from keyed where key <> '' group by key having count(distinct row) >= 10),
+flagged as (select k.*, c.key is not null as gone from keyed k left join common c on k.key = c.key),
+kept as (
+  select row, count(*)::bigint as n_lines, count(*) filter (where gone)::bigint as n_dropped,
+         sha256(coalesce(string_agg(line, chr(10) order by i) filter (where not gone), '')) as kept_sha256
+  from flagged group by row)
+select doc_id, n_lines, n_dropped, kept_sha256 from cut join kept using (row)
+""",
     "op9_url_rules": r"""
 with rules(host, path, verdict) as (values ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'),
                                            ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
