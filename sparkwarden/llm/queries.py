@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkwarden.llm import line_dedup, mixing, sharding, simhash, url_rules
-from sparkwarden.llm.common import table
+from sparkwarden.llm import line_dedup, mixing, sharding, simhash, token_files, url_rules
+from sparkwarden.llm.common import fresh, table
 
 c = F.col
 SHARDS = 8
@@ -23,6 +23,14 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    folder = fresh(spark, "tokens")
+    files = token_files.write(table(spark, sf_dir, "documents").select("doc_id", "text"), folder, public_tokenizers.path("word_bpe_49k.json"))
+    return token_files.read(files, folder)
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     docs = table(spark, sf_dir, "documents").select(
@@ -49,6 +57,7 @@ def op9_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op5_mixing": op5_mixing,
+    "op6_token_files": op6_token_files,
     "op7_sharding": op7_sharding,
     "op8_line_dedup": op8_line_dedup,
     "op9_url_rules": op9_url_rules,
