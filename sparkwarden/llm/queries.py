@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkwarden.llm import line_dedup, mixing, sharding, simhash, token_files, url_rules
+from sparkwarden.llm import line_dedup, mixing, resampling, sharding, simhash, tiling, token_files, url_rules
 from sparkwarden.llm.common import fresh, table
 
 c = F.col
@@ -18,6 +18,14 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_copies(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op3_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.classified(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+
+
+def op4_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiling.leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mixing.mixed(docs).select("doc_id", "size", "source_size", "target", "taken")
@@ -56,6 +64,8 @@ def op9_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op3_resampling": op3_resampling,
+    "op4_tiling": op4_tiling,
     "op5_mixing": op5_mixing,
     "op6_token_files": op6_token_files,
     "op7_sharding": op7_sharding,
