@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkwarden.llm import line_dedup, mixing, resampling, sharding, simhash, tiling, token_files, url_rules
+from sparkwarden.llm import chat, hnsw, line_dedup, mixing, resampling, sharding, simhash, tiling, token_files, url_rules
 from sparkwarden.llm.common import fresh, table
 
 c = F.col
@@ -18,6 +18,11 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_copies(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op2_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return hnsw.nearest(rows, rows.where("vec_id % 50 = 0"), 5)
+
+
 def op3_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.classified(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
 
@@ -62,8 +67,13 @@ def op9_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(table(spark, sf_dir, "pages"), rules)
 
 
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.formatted(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op2_hnsw": op2_hnsw,
     "op3_resampling": op3_resampling,
     "op4_tiling": op4_tiling,
     "op5_mixing": op5_mixing,
@@ -71,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_sharding": op7_sharding,
     "op8_line_dedup": op8_line_dedup,
     "op9_url_rules": op9_url_rules,
+    "op10_chat": op10_chat,
 }
 
 ORACLE: dict[str, str] = {

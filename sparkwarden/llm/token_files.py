@@ -11,6 +11,7 @@ tokenizer never joins what a blank separates, so each word's ids are computed on
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
@@ -28,44 +29,77 @@ from sparkwarden.llm.elias_fano import EliasFano
 c = F.col
 MAGIC, END = b"TOKF0001", 1
 HEAD = struct.Struct("<8sBQQQq")
-FILE_ROWS, FILE_BYTES, WORDS = 8192, 32 << 20, 400_000
-_TOKENIZERS: dict[str, tuple] = {}
+FILE_ROWS, FILE_BYTES, WORDS, RUNS = 8192, 32 << 20, 300_000, 800_000
+#: Latin letters, then ASCII signs without the apostrophe (which begins contractions).
+PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+_TOKENIZERS: dict[str, Encoder] = {}
 
 
-def tokenizer(path: str) -> tuple:
+def tokenizer(path: str) -> Encoder:
     """The tokenizer and its memory of words, one of each per worker process."""
     if path not in _TOKENIZERS:
-        from tokenizers import Tokenizer
-
-        t = Tokenizer.from_file(path)
-        _TOKENIZERS[path] = (t, {}, np.uint16 if t.get_vocab_size(with_added_tokens=True) <= 1 << 16 else np.uint32)
+        _TOKENIZERS[path] = Encoder(path)
     return _TOKENIZERS[path]
 
 
-def encode_words(t, known: dict[str, bytes], words: list[str], kind: type) -> None:
-    """Puts the ids of these words into the memory."""
-    for at in range(0, len(words), 4096):
-        part = words[at : at + 4096]
-        e = t.encode(part, is_pretokenized=True, add_special_tokens=False)
-        ids = np.array(e.ids, dtype=kind)
-        ends = np.searchsorted(np.array(e.word_ids, dtype=np.int64), np.arange(len(part)), side="right")
-        data, size, start = ids.tobytes(), ids.itemsize, 0
-        for w, end in zip(part, (ends * size).tolist(), strict=True):
-            known[w] = data[start:end]
-            start = end
-
-
-def encode(path: str, texts: list[str | None], end: int = END) -> list[bytes]:
-    """The ids of each text, with the end id, as little-endian numbers."""
-    t, known, kind = tokenizer(path)
-    cut = [(x or "").replace("\n", " ").split(" ") for x in texts]
-    new = {w for words in cut for w in words if w not in known}
-    if len(known) + len(new) > WORDS:
-        known.clear()
-        new = {w for words in cut for w in words}
-    encode_words(t, known, list(new), kind)
-    tail = np.array([end], dtype=kind).tobytes()
-    return [b"".join(map(known.__getitem__, words)) + tail for words in cut]
+class Encoder:
+    """Encodes texts word by word, with memories of words and of their letter runs.
+
+    Words of Latin letters with ASCII signs behind them are cut here as the tokenizer would cut them, and only new letter runs
+    go through its model; all other new words go through the whole tokenizer."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.t = Tokenizer.from_file(path)
+        self.kind = np.uint16 if self.t.get_vocab_size(with_added_tokens=True) <= 1 << 16 else np.uint32
+        self.words: dict[str, bytes] = {}
+        self.runs: dict[str, bytes] = {"": b""}
+        # Cutting is done here only for a tokenizer seen to cut so.
+        probe = ["Word", "Été,", "naïve...", "x!?", "ÀÖØöøÿß%-"]
+        self.plain = all(self._cut(w) == self._whole([w])[0] for w in probe)
+
+    def _whole(self, words: list[str]) -> list[bytes]:
+        e = self.t.encode(words, is_pretokenized=True, add_special_tokens=False)
+        data, size = np.array(e.ids, dtype=self.kind).tobytes(), np.dtype(self.kind).itemsize
+        ends = (np.searchsorted(np.array(e.word_ids, dtype=np.int64), np.arange(len(words)), side="right") * size).tolist()
+        return [data[i:j] for i, j in zip([0, *ends[:-1]], ends, strict=True)]
+
+    def _run(self, run: str) -> bytes:
+        """A run of letters or of signs, lower case, through the tokenizer's model."""
+        if (ids := self.runs.get(run)) is None:
+            piece = run if run.isascii() else "".join(x for x, _ in self.t.pre_tokenizer.pre_tokenize_str(run))
+            ids = self.runs[run] = np.array([x.id for x in self.t.model.tokenize(piece)], dtype=self.kind).tobytes()
+        return ids
+
+    def _cut(self, word: str) -> bytes | None:
+        m = PLAIN.fullmatch(word)
+        return self._run(m[1].lower()) + self._run(m[2]) if m else None
+
+    def learn(self, words: list[str]) -> None:
+        other = []
+        for w in words:
+            ids = self._cut(w) if self.plain else None
+            if ids is None:
+                other.append(w)
+            else:
+                self.words[w] = ids
+        for at in range(0, len(other), 4096):
+            self.words.update(zip(other[at : at + 4096], self._whole(other[at : at + 4096]), strict=True))
+
+    def encode(self, texts: list[str | None], end: int = END) -> list[bytes]:
+        """The ids of each text, with the end id, as little-endian numbers."""
+        cut = [(x or "").replace("\n", " ").split(" ") for x in texts]
+        known = self.words
+        new = {w for words in cut for w in words if w not in known}
+        if len(known) + len(new) > WORDS:
+            known.clear()
+            new = {w for words in cut for w in words}
+        if len(self.runs) > RUNS:
+            self.runs = {"": b""}
+        self.learn(list(new))
+        tail = np.array([end], dtype=self.kind).tobytes()
+        return [b"".join(map(known.__getitem__, words)) + tail for words in cut]
 
 
 def _encoded(path: str, bounds: list[int]) -> Callable:
@@ -76,7 +110,7 @@ def _encoded(path: str, bounds: list[int]) -> Callable:
             for at in range(0, b.num_rows, 256):
                 rows = b.slice(at, 256)
                 part = np.searchsorted(upto, rows["doc_id"].fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False))
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), rows["doc_id"], pa.array(encode(path, rows["text"].to_pylist()), pa.binary())],
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), rows["doc_id"], pa.array(tokenizer(path).encode(rows["text"].to_pylist()), pa.binary())],
                                                  ["part", "doc_id", "ids"])
 
     return run
@@ -154,7 +188,7 @@ def write(docs: DataFrame, folder: str, path: str, file_rows: int = FILE_ROWS, f
     ids. A null text is empty, and every document ends with id 1. Repeated rows are documents each. No rows write no files.
     Other columns are not read. A part has about `file_rows` rows, and a file is closed at `file_bytes`.
     """
-    size = np.dtype(tokenizer(path)[2]).itemsize
+    size = np.dtype(tokenizer(path).kind).itemsize
     parts = -(-docs.count() // file_rows)
     # Bounds between parts, from the doc_ids alone; equal doc_ids fall into one part.
     bounds = docs.select(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 100 * parts)).first()[0] if parts > 1 else []

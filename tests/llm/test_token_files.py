@@ -11,7 +11,7 @@ from sparkwarden.llm.elias_fano import EliasFano
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 ODD = ["", " ", "\n\n", "a b", "x y\x1cz\x85w", "don't we'll I'M  it's", "ΑΣ ΣΑΣ. ς", "é ́e", "İstanbul ǅ ﬁ", "日本 語。12 345", "<|endoftext|> <|startoftext|>x",
-       "é" * 3000, "word " * 30000, "﻿a​b", "a\x00b"]
+       "é" * 3000, "word " * 30000, "﻿a​b", "a\x00b", "co-op A.B. (x) x's <|endoftext|>, a<|endoftext|> ÷× x÷ ªº aª µ", "ÀÉ ÿß ẞ ſ K Å Œuvre œ"]
 
 
 def want(texts):
@@ -21,7 +21,7 @@ def want(texts):
 
 def test_words_are_encoded_as_whole_texts(sample):
     texts = ODD + [r.text for r in sample.collect()]
-    got = [np.frombuffer(x, np.uint16).astype("<u4").tobytes() for x in T.encode(PATH, texts)]
+    got = [np.frombuffer(x, np.uint16).astype("<u4").tobytes() for x in T.tokenizer(PATH).encode(texts)]
     assert got == want(texts)
 
 
