@@ -77,8 +77,9 @@ def schedule(sources: DataFrame, block: int = BLOCK) -> DataFrame:
             .where(c("upto") > c("rank") * block))
 
 
-def mixed(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, passes: int = PASSES, block: int = BLOCK) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken of every row of `docs` (doc_id, text, source).
+def mixed(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, passes: int = PASSES, block: int = BLOCK,
+          carried: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken (and the columns `carried`) of every row of `docs` (doc_id, text, source).
 
     size counts the words `[^\\x20\\x09-\\x0D]+` of the whole text. taken counts the words of the row that the mix takes;
     it is never above `passes` times size. A document at the edge of a target is taken in part.
@@ -89,7 +90,7 @@ def mixed(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, passe
     in 4096 cells, and blocks are joined by (source, block).
     """
     key = F.md5(F.concat(F.lit(SEED), F.coalesce(c("doc_id").cast("string"), F.lit(""))))
-    slim = staged(docs.select("doc_id", "source", n_words(c("text")).alias("size"), key.alias("key")), "mix-sizes")
+    slim = staged(docs.select("doc_id", "source", n_words(c("text")).alias("size"), key.alias("key"), *carried), "mix-sizes")
     sources = staged(targets(slim, weights, share, passes), "mix-sources")
     rows = slim.join(sources.withColumnRenamed("source", "of"), c("source").eqNullSafe(c("of"))).drop("of")
     rows = rows.withColumn("cell", F.substring("key", 1, 3))
@@ -106,7 +107,26 @@ def mixed(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, passe
             .groupBy("source_no", "cell", "nth")
             .agg(F.sum(F.greatest(F.lit(0), F.least("end", "upto") - F.greatest("begin", c("rank") * block))).alias("taken")))
     return (rows.join(used, ["source_no", "cell", "nth"], "left")
-            .select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken")))
+            .select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"), *carried))
+
+
+def remixed(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, passes: int = PASSES, block: int = BLOCK) -> DataFrame:
+    """The mix itself: the rows of `docs` (doc_id, text, source), each as often as the mix takes it, all columns as they are.
+
+    A row of which the mix takes at least half once more appears once more; only the row at the edge of a source's target is
+    taken in part. Rows without words are not taken. Cases as for mixed(); equal rows are repeated together.
+    """
+    keyed = docs.withColumn("_key", F.xxhash64(*[c(f"`{n}`") for n in docs.columns]))
+    times = F.floor(c("taken") / c("size") + 0.5)
+    plan = (mixed(keyed, weights, share, passes, block, ("_key",)).where("size > 0").groupBy("doc_id", "_key")
+            .agg(F.sum(times).cast("int").alias("_times"), F.count(F.lit(1)).alias("_n")).where("_times > 0"))
+    plan = staged(plan.withColumnRenamed("doc_id", "_id"), "mix-plan")
+    same = c("doc_id").eqNullSafe(c("_id")) & (c("_key") == c("_of"))
+    out = keyed.join(plan.where("_n = 1").withColumnRenamed("_key", "_of"), same)
+    equal = plan.where("_n > 1")
+    if equal.take(1):
+        out = out.unionByName(keyed.join(equal.withColumnRenamed("_key", "_of"), same).dropDuplicates(["_id", "_key"]))
+    return out.withColumn("_times", F.explode(F.sequence(F.lit(1), "_times"))).select(*[c(f"`{n}`") for n in docs.columns])
 
 
 ORACLE = f"""

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from sparkwarden.llm import chat, hnsw, line_dedup, mixing, resampling, sharding, simhash, tiling, token_files, url_rules
 from sparkwarden.llm.common import fresh, table
 
@@ -82,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_url_rules": op9_url_rules,
     "op10_chat": op10_chat,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE: dict[str, str] = {

@@ -190,6 +190,8 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     Of several rows with that id one stays; rows without an id all stay."""
     found = near_copies(docs).select("doc_id", "component_id").where("doc_id = component_id")
     kept = staged(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")), "kept")
-    once = docs.join(kept.where("_n = 1"), "doc_id", "left_semi")
-    several = docs.join(kept.where("_n > 1"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return (once.unionByName(several).unionByName(docs.where("doc_id is null")).select(*[c(f"`{n}`") for n in docs.columns]))
+    out = docs.join(kept.where("_n = 1"), "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
+    several = kept.where("_n > 1")
+    if several.take(1):  # most corpora have no repeated ids, and then need no second join
+        out = out.unionByName(docs.join(several, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    return out.select(*[c(f"`{n}`") for n in docs.columns])
