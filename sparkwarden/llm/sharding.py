@@ -28,7 +28,8 @@ def cell_of(hashed: Column) -> Column:
 def ring(spark, shards: int, points: int = POINTS) -> DataFrame:
     """arc, owner, cell: the places of all shards, numbered clockwise."""
     places = spark.range(shards * points).select(
-        (c("id") % shards).cast("int").alias("owner"), cell_of(F.xxhash64(F.lit(SEED), c("id"))).alias("cell"), "id")
+        "id", (c("id") % shards).cast("int").alias("owner"), F.floor(c("id") / shards).alias("point")).withColumn(
+        "cell", cell_of(F.xxhash64(F.lit(SEED), "owner", "point")))  # a shard's places do not depend on the others
     return places.select(F.row_number().over(Window.orderBy("cell", "id")).alias("arc"), "owner", "cell")
 
 
@@ -70,13 +71,6 @@ def walk(counts: list[tuple[int, int, int]], shards: int) -> list[tuple[int, int
                 first[2] -= n_here
                 if not first[2]:
                     waiting.popleft()
-    # A shard without a place of its own (a cell shared with another) is reached by no arc: what still waits goes there.
-    for arc, lo, n in waiting:
-        for shard in range(shards):
-            if n and room[shard]:
-                n_here = min(n, room[shard])
-                give(arc, lo, n_here, shard)
-                lo, n = lo + n_here, n - n_here
     return out
 
 
@@ -93,8 +87,9 @@ def sharded(docs: DataFrame, shards: int, points: int = POINTS) -> DataFrame:
     hashed = F.xxhash64(F.lit(SEED), c("doc_id"))
     around = arcs(spark, shards, points)
     counts = (docs.select(cell_of(hashed).alias("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
-              .join(F.broadcast(around), "cell").groupBy("arc", "owner").agg(F.sum("n").alias("n")))
-    # At most shards x points rows.
+              .join(F.broadcast(around), "cell").groupBy("arc").agg(F.sum("n").alias("n")))
+    # All places, those without rows too: shards x points numbers.
+    counts = ring(spark, shards, points).join(counts, "arc", "left").select("arc", "owner", F.coalesce("n", F.lit(0)).alias("n"))
     ranges = walk(sorted((r.arc, r.owner, r.n) for r in counts.collect()), shards)
     values = ", ".join(str(r) for r in ranges) or "(0, 0, 0, 0, 0)"
     parts = spark.sql(f"select int(_a) as _arc, bigint(_l) as _from, bigint(_h) as _to, int(_s) as shard, bigint(_b) as _first "
