@@ -251,32 +251,52 @@ CTES["first_updates"] = f"""
  WHERE CASE WHEN incident_type = 'Repeated Service Failure' THEN rn >= 3 WHEN rn = 1 THEN conf >= 40 AND len(rules) > 1 ELSE TRUE END
  GROUP BY ALL"""
 
-CTES["chain_defs"] = ("SELECT * FROM (" + _values([(k, v[0], v[1]) for k, v in dims.CHAIN_OF_TYPE.items()])
-                      + ") c(incident_type, chain, stage) JOIN (SELECT * FROM (VALUES "
-                      + ", ".join(f"({_q(i)}, {_q(n)}, [{', '.join(map(_q, st))}], {_q(o)})" for i, n, st, o in dims.CHAINS)
-                      + ") d(chain, chain_name, stages, objective)) USING (chain)")
-
-# The attacker key of an incident after each of its updates, by plain running windows.
+# Written out here, apart from the tables that the Spark code reads.
+CTES["chain_defs"] = """
+ SELECT * FROM (VALUES
+  ('credential_compromise', 'Credential Compromise Campaign', ['recon', 'brute_force', 'credential_success', 'privilege_escalation', 'persistence'],
+   'Gain persistent privileged access via credential compromise'),
+  ('web_attack', 'Web Application Attack Campaign', ['recon', 'enumeration', 'exploitation', 'data_access', 'exfiltration'],
+   'Exploit web application vulnerabilities for data access'),
+  ('service_disruption', 'Service Disruption Campaign', ['probing', 'resource_exhaustion', 'service_crash', 'denial_of_service'],
+   'Disrupt service availability')) d(chain, chain_name, stages, objective)"""
+
+# The attacker key, the chain and the stage of an incident after each of its updates, by plain running windows. A chain takes
+# an incident by its type or by a rule triggered so far; the first such chain counts, and there the type before the rule.
 CTES["keyed"] = """
- SELECT incident_key, incident_type, seq, ord, concat_ws(':',
-   first_value(source_ip IGNORE NULLS) OVER w, last_value(username IGNORE NULLS) OVER w) AS attacker
- FROM updates WINDOW w AS (PARTITION BY incident_key ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""
+ SELECT incident_key, incident_type, seq, ord, attacker, chain, CASE chain
+   WHEN 'credential_compromise' THEN CASE incident_type WHEN 'Brute Force Attack' THEN 'brute_force' WHEN 'Account Compromise' THEN 'credential_success'
+     WHEN 'Privilege Escalation Sequence' THEN 'privilege_escalation' ELSE CASE r1 WHEN 'R002' THEN 'credential_success' WHEN 'R003' THEN 'recon'
+     WHEN 'R005' THEN 'privilege_escalation' ELSE 'brute_force' END END
+   WHEN 'web_attack' THEN CASE WHEN incident_type = 'Web Reconnaissance' THEN 'enumeration' ELSE CASE r2 WHEN 'R008' THEN 'recon' WHEN 'R006' THEN 'exploitation'
+     ELSE 'enumeration' END END
+   WHEN 'service_disruption' THEN CASE WHEN incident_type = 'Repeated Service Failure' OR r3 = 'R013' THEN 'service_crash' ELSE 'probing' END END AS stage
+ FROM (SELECT *, CASE WHEN incident_type IN ('Brute Force Attack', 'Account Compromise', 'Privilege Escalation Sequence') OR r1 IS NOT NULL THEN 'credential_compromise'
+   WHEN incident_type = 'Web Reconnaissance' OR r2 IS NOT NULL THEN 'web_attack' WHEN incident_type = 'Repeated Service Failure' OR r3 IS NOT NULL THEN 'service_disruption' END AS chain
+  FROM (SELECT incident_key, incident_type, seq, ord,
+    concat_ws(':', first_value(source_ip IGNORE NULLS) OVER w, last_value(username IGNORE NULLS) OVER w) AS attacker,
+    first_value(list_filter(rules, lambda r: r IN ('R001', 'R014', 'R002', 'R003', 'R004', 'R005'))[1] IGNORE NULLS) OVER w AS r1,
+    first_value(list_filter(rules, lambda r: r IN ('R008', 'R015', 'R007', 'R006'))[1] IGNORE NULLS) OVER w AS r2,
+    first_value(list_filter(rules, lambda r: r IN ('R010', 'R013'))[1] IGNORE NULLS) OVER w AS r3
+   FROM updates WINDOW w AS (PARTITION BY incident_key ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)))"""
 
 CTES["seen_stages"] = """
  SELECT chain, attacker, stage, min(seq * 10 + ord) AS pos1, arg_min(incident_key, seq * 10 + ord) AS opener
- FROM keyed JOIN chain_defs USING (incident_type) WHERE attacker <> '' GROUP BY ALL"""
+ FROM keyed WHERE attacker <> '' GROUP BY ALL"""
+
+CTES["last_keyed"] = "SELECT incident_key, arg_max(chain, seq) AS chain, arg_max(stage, seq) AS stage FROM keyed GROUP BY ALL"
 
 CTES["chained"] = """
- SELECT i.*, CASE WHEN seen IS NOT NULL THEN 'CHAIN-' || chain || ':' || attacker END AS chain_id,
-   CASE WHEN seen IS NOT NULL THEN stage ELSE '' END AS chain_stage,
+ SELECT i.*, CASE WHEN seen IS NOT NULL THEN 'CHAIN-' || k.chain || ':' || attacker END AS chain_id,
+   CASE WHEN seen IS NOT NULL THEN k.stage ELSE '' END AS chain_stage,
    CASE WHEN seen IS NOT NULL THEN len(seen) * 100.0 / len(stages) ELSE 0.0 END::DOUBLE AS progress,
    CASE WHEN seen IS NOT NULL THEN list_filter(stages, lambda s: list_contains(seen, s)) ELSE [] END AS done,
    CASE WHEN seen IS NOT NULL THEN list_filter(stages, lambda s: NOT list_contains(seen, s)) ELSE [] END AS todo,
    CASE WHEN seen IS NOT NULL THEN objective ELSE '' END AS objective
- FROM (SELECT *, concat_ws(':', ips[1], target_user) AS attacker FROM inc) i JOIN chain_defs c USING (incident_type)
+ FROM (SELECT *, concat_ws(':', ips[1], target_user) AS attacker FROM inc) i JOIN last_keyed k USING (incident_key) JOIN chain_defs c ON c.chain = k.chain
  LEFT JOIN (SELECT a.incident_key, list(s.stage) AS seen
-            FROM (SELECT incident_key, incident_type, last_seq, ord, concat_ws(':', ips[1], target_user) AS attacker FROM inc) a
-            JOIN chain_defs c USING (incident_type) JOIN seen_stages s ON s.chain = c.chain AND s.attacker = a.attacker
+            FROM (SELECT incident_key, last_seq, ord, concat_ws(':', ips[1], target_user) AS attacker FROM inc) a
+            JOIN last_keyed k USING (incident_key) JOIN seen_stages s ON s.chain = k.chain AND s.attacker = a.attacker
               AND s.pos1 <= a.last_seq * 10 + a.ord GROUP BY ALL) r USING (incident_key)"""
 
 _STAGE = "CASE chain_stage " + " ".join(f"WHEN {_q(k)} THEN {v}" for k, v in dims.STAGE_SCORE.items()) + " ELSE 30 END"
@@ -360,7 +380,8 @@ for _n in ("ev", "obs"):
  SELECT b.*, f.rule_id, r.name AS rule_name, r.severity AS rule_severity, f.counts[1] AS hit_n, f.source_ip, f.username, f.message, f.raw_log, f.service,
    (least(least(events * 5, 40) + least(unique_sources * 10, 20) + least(alerts * 10, 30) + 10, 100))::DOUBLE AS conf
  FROM (SELECT k, count(*) AS events, sum(alert_n)::BIGINT AS alerts, count(DISTINCT source_ip) AS unique_sources, min(ts) AS first_seen,
-         max(ts) AS last_seen, min(seq) AS first_seq FROM {_n}_rows GROUP BY k) b
+         max(ts) AS last_seen, min(seq) AS first_seq, arg_min(source_ip, seq) FILTER (source_ip <> '') AS any_ip,
+         arg_min(username, seq) FILTER (username <> '') AS any_user FROM {_n}_rows GROUP BY k) b
  JOIN (SELECT k, seq AS first_seq, rules[1] AS rule_id, counts, source_ip, username, message, raw_log, service FROM {_n}_rows) f USING (k, first_seq)
  LEFT JOIN rules r ON r.rule_id = f.rule_id"""
 
@@ -487,8 +508,9 @@ CTES["notices"] = """
  SELECT ts, CASE WHEN severity = 'CRITICAL' THEN 'critical' ELSE 'warning' END AS type, 'detection' AS category, severity || ' Alert: ' || rule_name AS title
  FROM alerts WHERE severity IN ('CRITICAL', 'HIGH')
  UNION ALL SELECT ts, CASE severity WHEN 'CRITICAL' THEN 'critical' WHEN 'HIGH' THEN 'warning' ELSE 'info' END, 'incidents',
-   CASE WHEN severity = 'CRITICAL' THEN 'Critical Incident: ' ELSE 'Incident: ' END || incident_type FROM updates
- UNION ALL SELECT ts, 'info', 'evidence', 'Evidence Collected' FROM updates"""
+   CASE WHEN severity = 'CRITICAL' THEN 'Critical Incident: ' ELSE 'Incident: ' END || incident_type FROM updates JOIN first_updates USING (incident_key) WHERE seq >= admitted_seq
+ UNION ALL SELECT ts, 'info', 'evidence', 'Evidence Collected' FROM updates JOIN first_updates USING (incident_key) WHERE seq >= admitted_seq
+ UNION ALL SELECT (SELECT max(ts) FROM entries), 'success', 'detection', 'Observation Promoted' FROM obs_records WHERE events >= 3 OR alerts >= 2"""
 CTES["rolled"] = """
  SELECT type, category, title, min(ts) AS first, max(ts) AS last, sum(n)::BIGINT AS count FROM (
   SELECT *, sum(CASE WHEN prev IS NULL OR date_diff('second', prev, ts) >= 3 THEN 1 ELSE 0 END) OVER (PARTITION BY type, category, title ORDER BY ts
@@ -503,6 +525,7 @@ CTES["auth_seq"] = """
   SELECT DISTINCT source_ip, seq, t FROM alerts WHERE rule_id IN ('R001','R002','R003','R004','R014') AND source_ip <> '')"""
 
 ORDERED = list(CTES)
+SHARED = {"entries", "hits", "updates", "obs_rows", "ticks", "links", "registrations", "edges"}
 
 
 def _needs(sql: str) -> list[str]:
@@ -522,7 +545,8 @@ def _needs(sql: str) -> list[str]:
 def sql(select: str) -> str:
     names = _needs(select)
     more = ",\n" + select[5:] if select.startswith("WITH ") else "\n" + select
-    return "WITH RECURSIVE " + ",\n".join(f"{n} AS ({CTES[n]})" for n in names) + more
+    # Shared expressions are computed once, not once for each use.
+    return "WITH RECURSIVE " + ",\n".join(f"{n} AS {'MATERIALIZED ' if n in SHARED else ''}({CTES[n]})" for n in names) + more
 
 
 def ts(x: str) -> str:
@@ -641,6 +665,7 @@ add("logs_per_minute", f"SELECT {ts(chr(100) + 'ate_trunc(' + _q('minute') + ',
 add("rule_frequency", "SELECT rule_id, rule_name, count(*) AS count FROM alerts GROUP BY ALL ORDER BY count(*) DESC, min(seq * 100 + ord) LIMIT 10")
 add("threat_trend", "SELECT strftime(ts, '%H:%M') AS time, count(*) AS count FROM alerts GROUP BY ALL")
 add("threat_summary", """SELECT (SELECT count(*) FROM listed WHERE status = 'ACTIVE') AS active_threats, (SELECT count(*) FROM listed WHERE severity = 'CRITICAL') AS critical_incidents,
+ (SELECT count(*) FROM alerts) AS extracted_iocs, (SELECT count(*) FROM listed) AS evidence_items,
  (SELECT count(*) FROM listed) AS investigations, (SELECT count(*) FROM alerts) AS open_alerts, 0::BIGINT AS resolved_alerts,
  (SELECT count(DISTINCT x) FROM (SELECT unnest(ips) AS x FROM listed)) AS suspicious_ips, (SELECT count(DISTINCT target_user) FROM listed) AS tracked_users,
  (SELECT count(DISTINCT x) FROM (SELECT unnest(mitre) AS x FROM listed)) AS mitre_techniques""")
@@ -666,7 +691,7 @@ _REL = f"ioc_type, value, {ts('first_seen')} AS first_seen, {ts('last_seen')} AS
 add("ioc_relationships", f"SELECT {_REL} FROM relationships")
 add("ioc_confidence", "SELECT ioc_type, value, confidence FROM relationships")
 add("ioc_links", "SELECT ioc_type, value, link_type, linked FROM links")
-add("incident_iocs", "SELECT ioc_type, value, occurrences FROM relationships WHERE (ioc_type, value) IN (SELECT (ioc_type, value) FROM links WHERE link_type = 'incident' AND linked = 'web_recon:10.0.0.2')")
+add("incident_iocs", "SELECT DISTINCT r.ioc_type, r.value, r.occurrences FROM relationships r JOIN links l ON l.ioc_type = r.ioc_type AND l.value = r.value AND l.link_type = 'incident' AND l.linked = 'web_recon:10.0.0.2'")
 add("evidence", f"""SELECT 'EV-' || k AS evidence_id, k AS incident_key, coalesce(rule_id, '') AS rule_id, coalesce(rule_name, '') AS rule_name, i.severity, {ts('e.first_seen')} AS first_seen, {ts('e.last_seen')} AS last_seen,
  e.events AS event_count, e.alerts AS alert_count, unique_sources AS unique_source_count, conf AS collection_confidence, len(list_filter({_conditions().replace('rule_id', 'e.rule_id')}, lambda c: c.matched)) AS met
  FROM ev_records e JOIN inc i ON i.incident_key = e.k""")
@@ -684,16 +709,20 @@ add("promote_observations", """SELECT 'OBS-' || k AS observation_id, CASE WHEN p
 add("ioc_panel", """SELECT ioc_type, value, 1::BIGINT AS occurrences FROM (SELECT x.ioc_type, x.value, min(x.seq * 1000 + x.i) AS pos1 FROM ev_rows r JOIN entry_iocs x USING (seq)
  WHERE k = 'brute_force:10.0.0.1' GROUP BY ALL) ORDER BY pos1 LIMIT 25""")
 add("investigation_queue", f"""SELECT id, type, rule_name, severity, source_ip, username, event_count, len(list_filter(m, lambda c: c.matched)) AS conditions_met, len(m) AS conditions_total, time_window, confidence FROM (
- SELECT 'EV-' || k AS id, 'evidence' AS type, coalesce(rule_name, '') AS rule_name, i.severity, coalesce(source_ip, '-') AS source_ip, coalesce(username, '-') AS username, e.events AS event_count,
+ SELECT 'EV-' || k AS id, 'evidence' AS type, coalesce(rule_name, '') AS rule_name, i.severity, coalesce(any_ip, '-') AS source_ip, coalesce(any_user, '-') AS username, e.events AS event_count,
   strftime(e.first_seen, '%H:%M:%S') || ' - ' || strftime(e.last_seen, '%H:%M:%S') AS time_window, conf AS confidence FROM ev_records e JOIN inc i ON i.incident_key = k
- UNION ALL SELECT 'OBS-' || k, 'observation', rule_name, rule_severity, coalesce(source_ip, '-'), coalesce(username, '-'), events, strftime(first_seen, '%H:%M:%S') || ' - ' || strftime(last_seen, '%H:%M:%S'), conf
+ UNION ALL SELECT 'OBS-' || k, 'observation', rule_name, rule_severity, coalesce(any_ip, '-'), coalesce(any_user, '-'), events, strftime(first_seen, '%H:%M:%S') || ' - ' || strftime(last_seen, '%H:%M:%S'), conf
  FROM obs_records WHERE NOT (events >= 3 OR alerts >= 2)) JOIN conditions c ON c.evidence_id = id ORDER BY event_count DESC, type, id LIMIT 8""")
 add("session_stats", """SELECT source_file, events, coalesce(alerts, 0) AS alerts, coalesce(incidents, 0) AS incidents FROM (SELECT log_format AS source_file, count(*) AS events FROM entries GROUP BY ALL)
  LEFT JOIN (SELECT log_format AS source_file, count(*) AS alerts FROM alerts GROUP BY ALL) USING (source_file)
  LEFT JOIN (SELECT e.log_format AS source_file, count(*) AS incidents FROM scored JOIN entries e ON e.seq = admitted_seq GROUP BY ALL) USING (source_file)""")
-add("pipeline_health", """SELECT ord::BIGINT AS ord, stage, n AS processed, CASE WHEN n > 0 THEN 'active' ELSE 'idle' END AS status FROM (
- SELECT 1 AS ord, 'parser' AS stage, (SELECT count(*) FROM entries) AS n UNION ALL SELECT 2, 'detection', (SELECT count(*) FROM alerts) UNION ALL SELECT 3, 'correlation', (SELECT count(*) FROM listed)
- UNION ALL SELECT 4, 'analysis', (SELECT count(*) FROM queue) UNION ALL SELECT 5, 'investigation', 0)""")
+add("pipeline_health", """SELECT ord::BIGINT AS ord, stage, CASE WHEN active THEN 'active' ELSE 'idle' END AS status, processed, total FROM (
+ SELECT 0 AS ord, 'monitoring' AS stage, FALSE AS active, (SELECT count(*) FROM entries) AS processed, NULL::BIGINT AS total
+ UNION ALL SELECT 1, 'parser', (SELECT count(*) FROM entries) > 0, (SELECT count(*) FROM entries), NULL
+ UNION ALL SELECT 2, 'detection', (SELECT count(*) FROM alerts) > 0, (SELECT count(*) FROM alerts), NULL
+ UNION ALL SELECT 3, 'correlation', (SELECT count(*) FROM listed) > 0, (SELECT count(*) FROM listed), NULL
+ UNION ALL SELECT 4, 'analysis', (SELECT count(*) FROM queue) > 0, (SELECT count(*) FROM queue), NULL
+ UNION ALL SELECT 5, 'investigation', (SELECT count(*) FROM queue) > 0, (SELECT count(*) FROM queue WHERE status = 'INVESTIGATING'), (SELECT count(*) FROM queue))""")
 add("latest_critical", "SELECT incident_key, incident_type, threat_score, events AS total_events FROM listed WHERE severity = 'CRITICAL' AND status = 'ACTIVE' ORDER BY last_seq DESC, ord DESC LIMIT 1")
 add("confidence", "SELECT incident_key, confidence FROM scored")
 add("risk", "SELECT incident_key, risk FROM scored")
@@ -703,7 +732,7 @@ add("attack_chain", f"""SELECT incident_key, chain_id AS attack_chain_id, chain_
 add("chain_list", f"""SELECT 'CHAIN-' || chain || ':' || attacker AS chain_id, chain_name, chain AS chain_type, {bar('list_filter(stages, lambda s: list_contains(seen, s))')} AS stages_completed,
  {bar('list_filter(stages, lambda s: NOT list_contains(seen, s))')} AS stages_missing, (len(seen) * 100.0 / len(stages))::DOUBLE AS progress, objective, incident_count, {ts('i.first_seen')} AS first_seen FROM (
  SELECT chain, attacker, list(DISTINCT stage) AS seen, any_value(stages) AS stages, any_value(chain_name) AS chain_name, any_value(objective) AS objective, count(DISTINCT incident_key) AS incident_count,
-   arg_min(incident_key, seq * 10 + ord) AS opener FROM keyed JOIN chain_defs USING (incident_type) WHERE attacker <> '' GROUP BY ALL) JOIN inc i ON i.incident_key = opener""")
+   arg_min(incident_key, seq * 10 + ord) AS opener FROM keyed JOIN chain_defs USING (chain) WHERE attacker <> '' GROUP BY ALL) JOIN inc i ON i.incident_key = opener""")
 _TOP5 = "array_to_string((list_sort(list_distinct({})))[1:5], ', ')"
 add("behaviour_findings", f"""WITH f AS (SELECT p.incident_key, p.source_ip AS ip, (SELECT count(*) FROM entries e WHERE e.source_ip = p.source_ip AND e.seq <= p.last_seq) AS events,
   (SELECT list(DISTINCT username) FROM entries e WHERE e.source_ip = p.source_ip AND e.seq <= p.last_seq AND username <> '') AS users,
@@ -788,7 +817,7 @@ add("graph_nodes_edges", "SELECT source, target, type FROM edges")
 add("graph_nodes", "SELECT id, type, label FROM nodes")
 add("graph_neighbors", "SELECT source, target, type FROM edges WHERE source = (SELECT arg_min(event_id, seq) FROM alerts)")
 add("graph_subgraph_nodes", "SELECT id, type, label FROM nodes WHERE id IN (SELECT id FROM reach)")
-add("graph_subgraph_edges", "SELECT source, target, type FROM edges WHERE source IN (SELECT id FROM reach)")
+add("graph_subgraph_edges", "SELECT e.source, e.target, e.type FROM edges e JOIN reach r ON e.source = r.id")
 add("graph_counts", "SELECT 'node' AS kind, type, count(*) AS n FROM nodes GROUP BY ALL UNION ALL SELECT 'edge', type, count(*) FROM edges GROUP BY ALL")
 add("apply_alert_actions", "SELECT alert_id, CASE WHEN rule_id = 'R004' AND seq % 2 = 0 THEN 'RESOLVED' WHEN rule_id = 'R004' THEN 'ACKNOWLEDGED' ELSE 'ACTIVE' END AS status FROM alerts")
 add("rejected_alert_actions", """SELECT alert_id, 'hide' AS action, 'unknown action' AS reason FROM alerts WHERE rule_id = 'R007'

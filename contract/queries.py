@@ -353,12 +353,12 @@ def _(e):
 
 @query("notification_rollup")
 def _(e):
-    return S.notification_rollup(S.notifications(e.alerts, e.updates))
+    return S.notification_rollup(e.notices)
 
 
 @query("notification_center")
 def _(e):
-    return S.notification_center(S.notification_rollup(S.notifications(e.alerts, e.updates)))
+    return S.notification_center(S.notification_rollup(e.notices))
 
 
 # Joins.
@@ -730,7 +730,7 @@ def _(e):
     upload = (e.entries.groupBy("log_format").agg(F.min("timestamp").alias("start_time"), F.count("*").alias("events"))
               .select(F.concat(F.lit("upload-"), "log_format").alias("session_id"), F.lit("upload").alias("source_type"),
                       "start_time", "events"))
-    return S.session_history([monitor, upload])
+    return S.session_history(monitor, upload)
 
 
 @query("graph_nodes_edges")

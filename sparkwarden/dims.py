@@ -114,6 +114,20 @@ CHAIN_OF_TYPE = {
     "Web Reconnaissance": ("web_attack", "enumeration"),
     "Repeated Service Failure": ("service_disruption", "service_crash"),
 }
+CHAIN_OF_RULE = {
+    "R001": ("credential_compromise", "brute_force"),
+    "R014": ("credential_compromise", "brute_force"),
+    "R002": ("credential_compromise", "credential_success"),
+    "R003": ("credential_compromise", "recon"),
+    "R004": ("credential_compromise", "brute_force"),
+    "R005": ("credential_compromise", "privilege_escalation"),
+    "R008": ("web_attack", "recon"),
+    "R015": ("web_attack", "enumeration"),
+    "R007": ("web_attack", "enumeration"),
+    "R006": ("web_attack", "exploitation"),
+    "R010": ("service_disruption", "probing"),
+    "R013": ("service_disruption", "service_crash"),
+}
 # Score of a chain stage; any other stage scores 30.
 STAGE_SCORE = {
     "recon": 20, "brute_force": 40, "enumeration": 35, "credential_success": 70, "exploitation": 75,

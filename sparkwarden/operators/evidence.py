@@ -136,12 +136,14 @@ def _records(rows: DataFrame, scanned: DataFrame, rules: DataFrame) -> DataFrame
     """One row per key: counts, time range, and rule and conditions of the first entry."""
     base = rows.groupBy("evidence_key").agg(
         F.min("timestamp").alias("first_seen"), F.max("timestamp").alias("last_seen"), F.count("*").alias("event_count"),
-        F.sum(F.size("hits")).alias("alert_count"))
+        F.sum(F.size("hits")).alias("alert_count"),
+        # The first source and user that any entry names, not those of the first entry.
+        F.min_by("source_ip", F.when(c("source_ip") != "", F.struct("t", "seq"))).alias("first_ip"),
+        F.min_by("username", F.when(c("username") != "", F.struct("t", "seq"))).alias("first_user"))
     sources = (rows.where(c("source_ip") != "").select("evidence_key", "source_ip").distinct()
                .groupBy("evidence_key").agg(F.count("*").alias("unique_source_count")))
     first = with_texts(first_rows(rows, ["evidence_key"], ["t", "seq"], 1), scanned).select(
-        "evidence_key", F.get("hits", F.lit(0))["rule_id"].alias("rule_id"), matched_conditions().alias("matched_conditions"),
-        F.col("source_ip").alias("first_ip"), F.col("username").alias("first_user"))
+        "evidence_key", F.get("hits", F.lit(0))["rule_id"].alias("rule_id"), matched_conditions().alias("matched_conditions"))
     names = F.broadcast(rules.select("rule_id", c("name").alias("rule_name"), c("severity").alias("rule_severity")))
     d = base.join(sources, "evidence_key", "left").join(first, "evidence_key").join(names, "rule_id", "left")
     d = d.withColumn("unique_source_count", F.coalesce("unique_source_count", F.lit(0)))

@@ -65,8 +65,9 @@ def threat_summary(incidents: DataFrame, sources: DataFrame, alerts: DataFrame)
     one = F.lit(1).alias("one")
     i = incidents.agg(
         F.count_if(c("status") == "ACTIVE").alias("active_threats"), F.count_if(c("severity") == "CRITICAL").alias("critical_incidents"),
-        F.count("*").alias("investigations")).select("*", one)
-    a = alerts.agg(F.count_if(c("status") == "ACTIVE").alias("open_alerts"),
+        F.count("*").alias("investigations"), F.count("*").alias("evidence_items")).select("*", one)
+    # The panel shows the number of alerts under extracted indicators, and that of incidents under evidence.
+    a = alerts.agg(F.count("*").alias("extracted_iocs"), F.count_if(c("status") == "ACTIVE").alias("open_alerts"),
                    F.count_if(c("status") == "RESOLVED").alias("resolved_alerts")).select("*", one)
     ips = sources.join(incidents.select("incident_key"), "incident_key", "left_semi").select("source_ip").distinct().agg(
         F.count("*").alias("suspicious_ips")).select("*", one)
@@ -166,36 +167,56 @@ def session_stats(entries: DataFrame, alerts: DataFrame, updates: DataFrame, inc
     return e.join(a, "source_file", "left").join(i, "source_file", "left").na.fill(0, ["alerts", "incidents"])
 
 
-def session_history(sessions: list[DataFrame], newest: int = 50) -> DataFrame:
-    """Sessions of different kinds in one list; columns a kind does not have are null."""
-    d = sessions[0]
-    for more in sessions[1:]:
+def session_history(monitoring: DataFrame, uploads: DataFrame, others: tuple[DataFrame, ...] = (), newest_uploads: int = 50) -> DataFrame:
+    """Sessions of all kinds in one list; columns a kind does not have are null. Only of uploads just the newest are kept."""
+    d = monitoring.unionByName(uploads.orderBy(c("start_time").desc(), "session_id").limit(newest_uploads), allowMissingColumns=True)
+    for more in others:
         d = d.unionByName(more, allowMissingColumns=True)
-    return d.orderBy(c("start_time").desc(), "session_id").limit(newest)
+    return d
 
 
-def pipeline_health(entries: DataFrame, alerts: DataFrame, incidents: DataFrame) -> DataFrame:
-    """One row per stage: rows out and whether it is active."""
-    def stage(name: str, d: DataFrame, ord_: int) -> DataFrame:
-        return d.agg(F.count("*").alias("processed")).select(F.lit(ord_).alias("ord"), F.lit(name).alias("stage"), "processed")
-    every = (stage("parser", entries, 1).unionByName(stage("detection", alerts, 2)).unionByName(stage("correlation", incidents, 3))
-             .unionByName(stage("analysis", live(incidents), 4))
-             .unionByName(stage("investigation", live(incidents).where(c("status") == "INVESTIGATING"), 5)))
-    return every.withColumn("status", F.when(c("processed") > 0, "active").otherwise("idle")).orderBy("ord")
+def pipeline_health(entries: DataFrame, alerts: DataFrame, incidents: DataFrame, monitoring: bool = False) -> DataFrame:
+    """One row per stage: rows out and whether it is active. monitoring says whether a monitor runs.
 
-
-def notifications(alerts: DataFrame, updates: DataFrame) -> DataFrame:
-    """Notices sent for alerts and incident updates: (ts, type, category, title). Others are not announced."""
+    An investigation is active while there are incidents that are not merged; its rows out are those under investigation,
+    and total has all of them.
+    """
+    def stage(ord_: int, name: str, d: DataFrame, processed: Column | None = None) -> DataFrame:
+        n = F.count(F.lit(1))
+        return d.agg(n.alias("n"), n.alias("processed") if processed is None else processed.alias("processed")).select(
+            F.lit(ord_).alias("ord"), F.lit(name).alias("stage"),
+            F.when((c("n") > 0) & F.lit(ord_ > 0 or monitoring), "active").otherwise("idle").alias("status"), "processed",
+            F.when(F.lit(processed is not None), c("n")).alias("total"))
+    shown = live(incidents)
+    every = stage(0, "monitoring", entries)
+    for row in (stage(1, "parser", entries), stage(2, "detection", alerts), stage(3, "correlation", incidents), stage(4, "analysis", shown),
+                stage(5, "investigation", shown, F.count_if(c("status") == "INVESTIGATING"))):
+        every = every.unionByName(row)
+    return every.orderBy("ord")
+
+
+def notifications(alerts: DataFrame, updates: DataFrame, admitted: DataFrame, promoted: DataFrame | None = None) -> DataFrame:
+    """Notices sent for alerts, incident updates and promotions: (ts, type, category, title). Others are not announced.
+
+    An incident is announced from the update that lets it into the lists on (admitted: incident_key, admitted_pos), so one
+    that the false-positive filter keeps out never is. promoted has the time of each promotion, as ts.
+    """
     a = alerts.where(c("severity").isin("CRITICAL", "HIGH")).select(
         c("timestamp").alias("ts"), F.when(c("severity") == "CRITICAL", "critical").otherwise("warning").alias("type"),
         F.lit("detection").alias("category"), F.concat(c("severity"), F.lit(" Alert: "), c("rule_name")).alias("title"))
     kind = F.when(c("severity") == "CRITICAL", "critical").when(c("severity") == "HIGH", "warning").otherwise("info")
     name = F.when(c("severity") == "CRITICAL", "Critical Incident: ").otherwise("Incident: ")
-    u = updates.select(c("timestamp").alias("ts"), kind.alias("type"), F.lit("incidents").alias("category"),
-                       F.concat(name, "incident_type").alias("title"))
-    e = updates.select(c("timestamp").alias("ts"), F.lit("info").alias("type"), F.lit("evidence").alias("category"),
-                       F.lit("Evidence Collected").alias("title"))
-    return a.unionByName(u).unionByName(e)
+    told = (updates.join(admitted.select("incident_key", "admitted_pos"), "incident_key")
+            .where(F.struct("t", "seq", "ord") >= c("admitted_pos")))
+    u = told.select(c("timestamp").alias("ts"), kind.alias("type"), F.lit("incidents").alias("category"),
+                    F.concat(name, "incident_type").alias("title"))
+    e = told.select(c("timestamp").alias("ts"), F.lit("info").alias("type"), F.lit("evidence").alias("category"),
+                    F.lit("Evidence Collected").alias("title"))
+    out = a.unionByName(u).unionByName(e)
+    if promoted is None:
+        return out
+    return out.unionByName(promoted.select("ts", F.lit("success").alias("type"), F.lit("detection").alias("category"),
+                                           F.lit("Observation Promoted").alias("title")))
 
 
 def notification_rollup(notices: DataFrame, gap_s: int = 3) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sparkwarden.config import Config
 from sparkwarden.functions import scoring as S
 from sparkwarden.functions import texts as T
-from sparkwarden.operators import behaviour, chains, correlate, detect, evidence, graph, iocs, merge, search
+from sparkwarden.operators import behaviour, chains, correlate, detect, evidence, graph, iocs, merge, search, stats
 from sparkwarden.operators.ordered import Bounds, bounds_of
 from sparkwarden.operators.parse import parse_lines
 from sparkwarden.plans.store import Store
@@ -98,16 +98,19 @@ class Engine:
     def _base(self) -> DataFrame:
         return self.store.table("incident_base", lambda: correlate.build_incidents(self.updates, self.config))
 
+    @property
+    def chain_spans(self) -> DataFrame:
+        return self.store.table("chain_spans", lambda: chains.periods(self._base, correlate.incident_rules(self.updates)))
+
     @property
     def chain_stages(self) -> DataFrame:
-        return self.store.table("chain_stages", lambda: chains.chain_stages(
-            self.updates, self._base, chains.types_table(self.spark)))
+        return self.store.table("chain_stages", lambda: chains.chain_stages(self.updates, self._base, self.chain_spans))
 
     @property
     def all_incidents(self) -> DataFrame:
         """Every incident with its scores, also those the false-positive filter keeps out of the lists."""
         def build() -> DataFrame:
-            chained = chains.with_chains(self._base, self.chain_stages, self.chains, chains.types_table(self.spark))
+            chained = chains.with_chains(self._base, self.chain_stages, self.chains, self.chain_spans)
             return (chained.withColumn("confidence", S.confidence()).withColumn("risk", S.risk())
                     .withColumn("threat_score_breakdown", S.threat_breakdown()).withColumn("threat_score", S.threat_score())
                     .join(correlate.admissions(self.updates), "incident_key", "left"))
@@ -201,6 +204,13 @@ class Engine:
         return self.store.table("observations", lambda: evidence.observations(
             self.detected, self.updates, self.scanned, self.rules))
 
+    @property
+    def notices(self) -> DataFrame:
+        """What a user is told. Observations are promoted once, at the end of the batch: at the time of its last line."""
+        end = self.entries.agg(F.max("timestamp").alias("ts")).select("ts", F.lit(True).alias("promoted"))
+        promoted = evidence.promote(self.observations).where("promoted").select("promoted").join(F.broadcast(end), "promoted")
+        return stats.notifications(self.alerts, self.updates, self.incidents, promoted)
+
     @property
     def evidence_context(self) -> DataFrame:
         return self.store.table("evidence_context", lambda: evidence.context_values(self.evidence_rows, self.scanned))
