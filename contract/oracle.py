@@ -63,20 +63,23 @@ def _http(status: str, path: str, agent: str) -> str:
 CTES: dict[str, str] = {}
 
 CTES["lines"] = r"""
- SELECT event_id AS seq, CASE event_type
+ SELECT event_id AS seq, CASE
+  WHEN event_id % 997 = 0 THEN bsd || ' prod-01 kernel: [452.1] Kernel panic - not syncing'
+  WHEN event_id % 991 = 0 THEN bsd || ' prod-01 app[9]: write failed: No space left on device'
+  ELSE CASE event_type
   WHEN 'error' THEN bsd || ' prod-01 sshd[' || pid || ']: Failed password for ' || CASE WHEN event_id % 11 = 0 THEN 'root'
-     WHEN user_id % 7 = 0 THEN 'invalid user ' || acct ELSE acct END || ' from ' || ip || ' port 22 ssh2'
+     WHEN user_id % 7 = 0 THEN 'invalid user ' || acct ELSE acct END || ' from ' || CASE WHEN event_id % 7 = 3 THEN 'gateway' ELSE ip END || ' port 22 ssh2'
   WHEN 'purchase' THEN bsd || ' prod-01 sshd[' || pid || ']: Accepted password for ' || acct || ' from ' || ip || ' port 22 ssh2'
   WHEN 'view' THEN ip || ' - - [' || strftime(t, '%d/%b/%Y:%H:%M:%S') || ' +0000] "GET ' ||
      CASE WHEN event_id % 17 = 0 THEN '/../../etc/passwd' WHEN event_id % 19 = 0 THEN '/login?x=admin''--'
           ELSE '/p' || (event_id % 40) END || ' HTTP/1.1" 404 200 "-" "' ||
      CASE WHEN event_id % 13 = 0 THEN 'sqlmap/1.7.10' ELSE 'Mozilla/5.0' END || '"'
-  WHEN 'click' THEN bsd || ' prod-01 kernel: [UFW BLOCK] IN=eth0 OUT= SRC=' || ip || ' DST=192.168.1.10 PROTO=TCP SPT=40000 DPT='
+  WHEN 'click' THEN bsd || ' prod-01 kernel: [UFW BLOCK] IN=eth0 OUT= SRC=' || CASE WHEN event_id % 2000 < 200 THEN '10.2.0.9' ELSE ip END || ' DST=192.168.1.10 PROTO=TCP SPT=40000 DPT='
      || (20 + event_id % 60)
   ELSE CASE WHEN event_id % 2 = 0
      THEN bsd || ' prod-01 su[' || pid || ']: pam_unix(su:session): session opened for user root by ' || acct
-     ELSE bsd || ' prod-01 svc' || (user_id % 3) || '[77]: worker segfault at 0' END END AS value
- FROM (SELECT *, '10.0.0.' || (user_id % 5 + 1) AS ip, (1000 + event_id % 9000) AS pid, 'acct' || (user_id % 20) AS acct,
+     ELSE bsd || ' prod-01 svc' || (user_id % 3) || '[77]: worker segfault at 0' END END END AS value
+ FROM (SELECT *, CASE WHEN event_id // 1000 % 4 = 3 THEN '10.1.' || (event_id // 1000 % 250) || '.' || (user_id % 2 + 1) ELSE '10.0.0.' || (user_id % 5 + 1) END AS ip, (1000 + event_id % 9000) AS pid, 'acct' || CASE WHEN event_id // 1000 % 4 = 3 THEN event_id // 1000 % 20 ELSE user_id % 20 END AS acct,
          strftime(t, '%b %d %H:%M:%S') AS bsd
        FROM (SELECT event_id, user_id, event_type, TIMESTAMP '2024-01-01 00:00:00' + to_seconds(event_id // 5) AS t FROM events))"""
 

@@ -61,30 +61,40 @@ def _files(spark: SparkSession, path) -> DataFrame:
 
 
 def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Log lines as a projection of the events table: the stand-in for traffic where only tables are given."""
+    """Log lines as a projection of the events table: the stand-in for traffic where only tables are given.
+
+    Five addresses act all the time; in every fourth stretch of 200 seconds two others take their place, aim at one account
+    and are not seen again. Some lines name no address, some are of rare kinds, and some scan ports.
+    """
     e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", "event_type")
     i, u, kind = F.col("event_id"), F.col("user_id"), F.col("event_type")
 
     def num(x: Column) -> Column:
         return x.cast("string")
 
+    stretch = F.floor(i / 1000)
     t = F.timestamp_seconds(F.unix_seconds(F.lit("2024-01-01 00:00:00").cast("timestamp")) + F.floor(i / 5))
-    ip = F.concat(F.lit("10.0.0."), num(u % 5 + 1))
+    ip = (F.when(stretch % 4 == 3, F.concat(F.lit("10.1."), num(stretch % 250), F.lit("."), num(u % 2 + 1)))
+          .otherwise(F.concat(F.lit("10.0.0."), num(u % 5 + 1))))
+    scanner = F.when(i % 2000 < 200, "10.2.0.9").otherwise(ip)
+    origin = F.when(i % 7 == 3, "gateway").otherwise(ip)
     pid = num(1000 + i % 9000)
-    acct = F.concat(F.lit("acct"), num(u % 20))
+    acct = F.concat(F.lit("acct"), num(F.when(stretch % 4 == 3, stretch % 20).otherwise(u % 20)))
     bsd = F.date_format(t, "MMM dd HH:mm:ss")
     who = F.when(i % 11 == 0, "root").when(u % 7 == 0, F.concat(F.lit("invalid user "), acct)).otherwise(acct)
     path = (F.when(i % 17 == 0, "/../../etc/passwd").when(i % 19 == 0, "/login?x=admin'--")
             .otherwise(F.concat(F.lit("/p"), num(i % 40))))
     agent = F.when(i % 13 == 0, "sqlmap/1.7.10").otherwise("Mozilla/5.0")
     line = (
-        F.when(kind == "error", F.concat(bsd, F.lit(" prod-01 sshd["), pid, F.lit("]: Failed password for "), who,
-                                         F.lit(" from "), ip, F.lit(" port 22 ssh2")))
+        F.when(i % 997 == 0, F.concat(bsd, F.lit(" prod-01 kernel: [452.1] Kernel panic - not syncing")))
+        .when(i % 991 == 0, F.concat(bsd, F.lit(" prod-01 app[9]: write failed: No space left on device")))
+        .when(kind == "error", F.concat(bsd, F.lit(" prod-01 sshd["), pid, F.lit("]: Failed password for "), who,
+                                         F.lit(" from "), origin, F.lit(" port 22 ssh2")))
         .when(kind == "purchase", F.concat(bsd, F.lit(" prod-01 sshd["), pid, F.lit("]: Accepted password for "), acct,
                                            F.lit(" from "), ip, F.lit(" port 22 ssh2")))
         .when(kind == "view", F.concat(ip, F.lit(" - - ["), F.date_format(t, "dd/MMM/yyyy:HH:mm:ss"),
                                        F.lit(' +0000] "GET '), path, F.lit(' HTTP/1.1" 404 200 "-" "'), agent, F.lit('"')))
-        .when(kind == "click", F.concat(bsd, F.lit(" prod-01 kernel: [UFW BLOCK] IN=eth0 OUT= SRC="), ip,
+        .when(kind == "click", F.concat(bsd, F.lit(" prod-01 kernel: [UFW BLOCK] IN=eth0 OUT= SRC="), scanner,
                                         F.lit(" DST=192.168.1.10 PROTO=TCP SPT=40000 DPT="), num(20 + i % 60)))
         .when(i % 2 == 0, F.concat(bsd, F.lit(" prod-01 su["), pid,
                                    F.lit("]: pam_unix(su:session): session opened for user root by "), acct))
