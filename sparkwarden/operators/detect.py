@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from sparkwarden import dims
 from sparkwarden.config import Config
 from sparkwarden.functions.parsing import WHITESPACE_ENDS, folded
-from sparkwarden.operators.ordered import SECOND, Bounds, Running, Sliding, with_totals
+from sparkwarden.operators.ordered import SECOND, Running, Sliding, with_totals
 from sparkwarden.operators.resets import clearings, last_cleared
 from sparkwarden.schema import SLIM_COLUMNS
 
@@ -66,15 +66,11 @@ def line_hits(scanned: DataFrame) -> DataFrame:
                     F.lit(None).cast("bigint").alias("fail_no")))
 
 
-def ip_bound(bounds: Bounds | None) -> int | None:
-    return None if bounds is None else bounds.ip
-
-
 def no_cut(name: str, df: DataFrame) -> DataFrame:
     return df
 
 
-def auth_hits(scanned: DataFrame, config: Config, cut=no_cut, bounds: Bounds | None = None) -> DataFrame:
+def auth_hits(scanned: DataFrame, config: Config, cut=no_cut) -> DataFrame:
     """Failed logins within the window, and logins that follow them and clear them.
 
     Only failures and logins are shuffled, with slim columns. fail_no is the number of the source's last failure.
@@ -85,7 +81,7 @@ def auth_hits(scanned: DataFrame, config: Config, cut=no_cut, bounds: Bounds | N
     one = c("is_failure").cast("int")
     auth = with_totals(auth, ["ip"], {
         "fail_no": Running(one),
-        "in_window": Sliding(one, config.auth_window_s * SECOND, open=True)}, at_most=ip_bound(bounds))
+        "in_window": Sliding(one, config.auth_window_s * SECOND, open=True)})
     auth = cut("auth_scan", auth)
     failures = auth.where("is_failure")
     medium = config.auth_failures_medium
@@ -100,13 +96,13 @@ def auth_hits(scanned: DataFrame, config: Config, cut=no_cut, bounds: Bounds | N
     # A login sees the clearings before it; the largest one below its own number.
     before = c("fail_no") - 1
     r002 = last_cleared(candidates.join(cleared, ["ip", "fail_no"]).withColumn("_no", c("fail_no"))
-                        .withColumn("fail_no", before), cleared, "ip", "fail_no", "_last", ip_bound(bounds))
+                        .withColumn("fail_no", before), cleared, "ip", "fail_no", "_last")
     r002 = r002.select("login.*", F.lit("R002").alias("rule_id"),
                        (F.least("in_window", c("_no") - F.coalesce("_last", F.lit(0))) + 1).cast("int").alias("event_count"),
                        c("_no").alias("fail_no"))
 
     counted = last_cleared(failures.where(c("in_window") >= medium).withColumn("_no", c("fail_no"))
-                           .withColumn("fail_no", before), cleared, "ip", "fail_no", "_last", ip_bound(bounds))
+                           .withColumn("fail_no", before), cleared, "ip", "fail_no", "_last")
     counted = counted.withColumn("event_count", F.least("in_window", c("_no") - F.coalesce("_last", F.lit(0))).cast("int"))
     burst = counted.where(c("event_count") >= medium).select(
         *SLIM_COLUMNS, F.when(c("event_count") >= config.auth_failures_high, "R001").otherwise("R014").alias("rule_id"),
@@ -114,10 +110,9 @@ def auth_hits(scanned: DataFrame, config: Config, cut=no_cut, bounds: Bounds | N
     return burst.unionByName(r002)
 
 
-def not_found_hits(scanned: DataFrame, config: Config, bounds: Bounds | None = None) -> DataFrame:
+def not_found_hits(scanned: DataFrame, config: Config) -> DataFrame:
     rows = _slim(scanned.where("is_404"))
-    counted = with_totals(rows, ["ip"], {"n": Sliding(F.lit(1), config.not_found_window_s * SECOND, open=True)},
-                          at_most=ip_bound(bounds))
+    counted = with_totals(rows, ["ip"], {"n": Sliding(F.lit(1), config.not_found_window_s * SECOND, open=True)})
     return counted.where(F.col("n") >= config.not_found_min).select(
         *SLIM_COLUMNS, F.lit("R015").alias("rule_id"), F.col("n").cast("int").alias("event_count"),
         F.lit(None).cast("bigint").alias("fail_no"))
@@ -163,10 +158,10 @@ def _description() -> Column:
         .otherwise(c("rule_description")))
 
 
-def detected_entries(scanned: DataFrame, config: Config, cut=no_cut, bounds: Bounds | None = None) -> DataFrame:
+def detected_entries(scanned: DataFrame, config: Config, cut=no_cut) -> DataFrame:
     """One row per entry with at least one rule hit; hits are in the order of checks (at most one per rule)."""
-    hits = line_hits(scanned).unionByName(auth_hits(scanned, config, cut, bounds)).unionByName(
-        not_found_hits(scanned, config, bounds))
+    hits = line_hits(scanned).unionByName(auth_hits(scanned, config, cut)).unionByName(
+        not_found_hits(scanned, config))
     if config.port_scan_rule:
         hits = hits.unionByName(port_scan_hits(scanned, config))
     order = F.create_map(*[F.lit(x) for pair in dims.RULE_ORD.items() for x in pair])

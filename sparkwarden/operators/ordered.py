@@ -1,15 +1,14 @@
 """Order-dependent totals that do not put a whole hot key on one task.
 
-A plain window by key sends every row of a key to one task. That is the cheapest plan (one shuffle) while keys are small,
-and fails when one source holds a third of the rows. So the largest key is counted first. Beyond PLAIN_ROWS, rows are
-grouped in three steps, each fixed by the data alone (a lost executor recomputes the same groups):
+A plain window by key sends every row of a key to one task, and fails when one source holds a third of the rows. So rows
+are grouped in three steps, each fixed by the data alone (a lost executor recomputes the same groups):
 
   cell   one key, one timestamp, one block of 2^20 seq values   -> window over at most 2^20 rows
   slice  the cells of one key in one span of time               -> window over one row per cell
   key    the slices of one key                                  -> window over one row per slice
 
-Rows are then still shuffled once, by cell. Only the cells (partially aggregated before their shuffle) go further.
-Both ways give the same totals.
+Rows are shuffled once, by cell. Only the cells (partially aggregated before their shuffle) go further. There is one plan
+at every size, and none of it runs while a plan is built. plan="keys" names the plain window instead, for keys known to be small.
 """
 
 from __future__ import annotations
@@ -22,28 +21,6 @@ from pyspark.sql import functions as F
 BLOCK_BITS = 20
 SECOND = 1_000_000
 SLICE_US = 60 * SECOND
-PLAIN_ROWS = 2_000_000
-
-
-@dataclass(frozen=True)
-class Bounds:
-    """Most rows any source, user or service has in a table. Rows derived from it are at most a small multiple."""
-    ip: int
-    user: int
-    service: int
-
-
-def bounds_of(entries: DataFrame) -> Bounds:
-    """One pass that combines before its shuffle; three numbers reach the driver."""
-    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.coalesce(x, F.lit("")).alias("value")) for k, x in
-                      (("ip", "source_ip"), ("user", "username"), ("service", "service"))])
-    counts = entries.select(F.explode(kinds).alias("x")).groupBy("x").count()
-    found = {r.kind: r.n for r in counts.groupBy("x.kind").agg(F.max("count").alias("n")).collect()}
-    return Bounds(found.get("ip", 0), found.get("user", 0), found.get("service", 0))
-
-
-# Rows per key that steps over an entry and its markers add at most.
-MARKERS = 5
 
 
 @dataclass(frozen=True)
@@ -75,23 +52,16 @@ def _join(how: str, a: Column, b: Column) -> Column:
 
 
 def with_totals(df: DataFrame, keys: list[str], totals: dict[str, Running | Sliding], t: str = "t", seq: str = "seq",
-                slice_width: int = SLICE_US, at_most: int | None = None) -> DataFrame:
+                slice_width: int = SLICE_US, plan: str = "cells") -> DataFrame:
     """Adds one column per total, in (t, seq) order within the keys. Keys must not be null.
 
-    Rows with equal (t, seq) count as one step, so all of them see each other. at_most is a known bound of the rows per
-    key; where it is small enough, the largest key need not be counted.
+    Rows with equal (t, seq) count as one step, so all of them see each other. Both plans, cells and keys, give the same.
     """
-    known = at_most is not None and at_most * MARKERS <= PLAIN_ROWS
-    if known or largest_key(df, keys) <= PLAIN_ROWS:
+    if plan == "keys":
         return _by_key(df, keys, totals, t, seq)
     return _by_cell(df, keys, totals, t, seq, slice_width)
 
 
-def largest_key(df: DataFrame, keys: list[str]) -> int:
-    """Rows of the largest key: one number, from a count that combines before its shuffle."""
-    return df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-
-
 def _by_key(df: DataFrame, keys: list[str], totals: dict[str, Running | Sliding], t: str, seq: str) -> DataFrame:
     so_far = Window.partitionBy(*keys).orderBy(t, seq).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     same_t = Window.partitionBy(*keys, t).orderBy(seq).rangeBetween(Window.unboundedPreceding, Window.currentRow)

@@ -11,7 +11,6 @@ from sparkwarden.config import Config
 from sparkwarden.functions import scoring as S
 from sparkwarden.functions import texts as T
 from sparkwarden.operators import behaviour, chains, correlate, detect, evidence, graph, iocs, merge, search, stats
-from sparkwarden.operators.ordered import Bounds, bounds_of
 from sparkwarden.operators.parse import parse_lines
 from sparkwarden.plans.store import Store
 from sparkwarden.schema import ENTRY_COLUMNS
@@ -60,11 +59,6 @@ class Engine:
         cores = self.spark.sparkContext.defaultParallelism
         return lines.repartition(cores) if lines.rdd.getNumPartitions() < cores else lines
 
-    @cached_property
-    def bounds(self) -> Bounds:
-        """Size of the largest source, user and service: decides between plans for order-dependent totals."""
-        return bounds_of(self.scanned)
-
     @property
     def entries(self) -> DataFrame:
         return self.scanned.select(*ENTRY_COLUMNS)
@@ -73,7 +67,7 @@ class Engine:
     def detected(self) -> DataFrame:
         """Entries with rule hits."""
         return self.store.table("detected", lambda: detect.detected_entries(
-            self.scanned, self.config, self._cut, self.bounds))
+            self.scanned, self.config, self._cut))
 
     @property
     def alerts(self) -> DataFrame:
@@ -84,7 +78,7 @@ class Engine:
     @property
     def updates(self) -> DataFrame:
         return self.store.table("updates", lambda: correlate.incident_updates(
-            self.scanned, self.detected, self.config, self.bounds))
+            self.scanned, self.detected, self.config))
 
     @property
     def sources(self) -> DataFrame:
@@ -164,7 +158,7 @@ class Engine:
     @property
     def findings(self) -> DataFrame:
         return self.store.table("findings", lambda: behaviour.findings(
-            self.scanned, self.detected, self.updates, self.all_incidents, self.sources, self.bounds))
+            self.scanned, self.detected, self.updates, self.all_incidents, self.sources))
 
     @property
     def narratives(self) -> DataFrame:

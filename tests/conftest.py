@@ -28,10 +28,3 @@ def lines(spark):
         return spark.createDataFrame(rows, "seq bigint, value string, source_file string").selectExpr(
             "*", "timestamp '2024-06-01 00:00:00' as modified")
     return make
-
-
-@pytest.fixture
-def cells(monkeypatch):
-    """Forces the plan for hot keys on small data."""
-    from sparkwarden.operators import ordered
-    monkeypatch.setattr(ordered, "PLAIN_ROWS", -1)

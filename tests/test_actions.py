@@ -3,18 +3,13 @@
 import datetime as dt
 import random
 
-import pytest
-
-from sparkwarden.operators import ordered
 from sparkwarden.operators.actions import apply_alert_actions, apply_incident_actions
 
 STEP = {"investigate": ("ACTIVE", "INVESTIGATING"), "resolve": ("INVESTIGATING", "RESOLVED"), "close": ("RESOLVED", "CLOSED")}
 BASE = dt.datetime(2024, 1, 1)
 
 
-@pytest.mark.parametrize("plain", [-1, 10**9])
-def test_incident_actions(spark, monkeypatch, plain):
-    monkeypatch.setattr(ordered, "PLAIN_ROWS", plain)
+def test_incident_actions(spark):
     rnd = random.Random(2)
     names = ["investigate", "resolve", "close", "reopen", "Investigate", "dismiss"]
     start = {f"i{k}": rnd.choice(["ACTIVE", "INVESTIGATING", "RESOLVED", "CLOSED"]) for k in range(30)}

@@ -28,7 +28,7 @@ def plain(value):
 
 
 @pytest.mark.parametrize("name", NAMES)
-def test_same_rows(spark, duck, cells, name):
+def test_same_rows(spark, duck, name):
     got = entry.queries()[name](spark, SF)
     columns = sorted(got.columns)
     mine = sorted((tuple(plain(r[c]) for c in columns) for r in got.collect()), key=repr)

@@ -38,7 +38,7 @@ def plain(rows, ips):
 
 
 @pytest.mark.parametrize("seed", [1, 2, 3])
-def test_merge_map(spark, seed, cells):
+def test_merge_map(spark, seed):
     rnd = random.Random(seed)
     rows, ips = [], {}
     for i in range(60):

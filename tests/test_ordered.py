@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkwarden import Config
-from sparkwarden.operators import detect, ordered, resets
+from sparkwarden.operators import detect, resets
 from sparkwarden.operators.ordered import SECOND, Running, Sliding, with_totals
 
 
@@ -26,14 +26,13 @@ def events(seed, keys=4, n=300, failures=0.8):
 SCHEMA = "ip string, t bigint, seq bigint, failed boolean, v int"
 
 
-@pytest.mark.parametrize("plain", [-1, 10**9])
-def test_totals(spark, monkeypatch, plain):
-    monkeypatch.setattr(ordered, "PLAIN_ROWS", plain)
+@pytest.mark.parametrize("plan", ["cells", "keys"])
+def test_totals(spark, plan):
     rows = events(1)
     got = with_totals(spark.createDataFrame(rows, SCHEMA), ["ip"], {
         "total": Running(F.col("v")), "low": Running(F.col("v"), "min"), "high": Running(F.col("v"), "max"),
         "open60": Sliding(F.col("failed").cast("int"), 60 * SECOND, True), "closed60": Sliding(F.lit(1), 60 * SECOND, False),
-        "open30": Sliding(F.lit(1), 30 * SECOND, True)}).collect()
+        "open30": Sliding(F.lit(1), 30 * SECOND, True)}, plan=plan).collect()
     assert len(got) == len(rows)
     by_ip = {}
     for r in sorted(got, key=lambda r: (r.ip, r.t, r.seq)):
@@ -46,7 +45,7 @@ def test_totals(spark, monkeypatch, plain):
         assert r.open30 == sum(1 for x in seen if x.t > r.t - 30 * SECOND)
 
 
-def test_equal_positions_see_each_other(spark, cells):
+def test_equal_positions_see_each_other(spark):
     d = spark.createDataFrame([("a", 5, 1, True, 2), ("a", 5, 1, True, 3), ("a", 5, 2, True, 4)], SCHEMA)
     got = with_totals(d, ["ip"], {"n": Running(F.col("v"))})
     assert sorted(r.n for r in got.collect()) == [5, 5, 9]
@@ -84,9 +83,8 @@ def model(rows):
     return sorted(out)
 
 
-@pytest.mark.parametrize("seed,failures,plain", [(1, 0.8, -1), (2, 0.5, -1), (3, 0.95, -1), (4, 0.7, 10**9)])
-def test_auth_rules(spark, monkeypatch, seed, failures, plain):
-    monkeypatch.setattr(ordered, "PLAIN_ROWS", plain)
+@pytest.mark.parametrize("seed,failures", [(1, 0.8), (2, 0.5), (3, 0.95), (4, 0.7)])
+def test_auth_rules(spark, monkeypatch, seed, failures):
     monkeypatch.setattr(resets, "CHUNK", 16)
     rows = events(seed, failures=failures)
     d = spark.createDataFrame(rows, SCHEMA)
@@ -96,3 +94,14 @@ def test_auth_rules(spark, monkeypatch, seed, failures, plain):
         F.lit(False).alias("web_flag"), F.lit("").alias("path"), F.col("failed").alias("is_failure"), (~F.col("failed")).alias("is_login"))
     got = detect.auth_hits(scanned, Config()).select("seq", "rule_id", "event_count").collect()
     assert sorted(map(tuple, got)) == model(rows)
+
+
+def test_no_job_runs_while_a_plan_is_built(spark):
+    """Totals are declared; their input is read only when a result is asked for."""
+    rows = spark.createDataFrame(events(1), SCHEMA)
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("planning", "planning")
+    with_totals(rows, ["ip"], {"n": Sliding(F.lit(1), 60 * SECOND, True), "m": Running(F.col("v"))})
+    jobs = tracker.getJobIdsForGroup("planning")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert not jobs
