@@ -369,7 +369,7 @@ CTES["listed"] = f"""
    CASE WHEN g THEN o.first_seen ELSE m.first_seen END AS first_seen, CASE WHEN g THEN o.last_seen ELSE m.last_seen END AS last_seen,
    CASE WHEN g THEN o.target_user ELSE m.target_user END AS target_user,
    CASE WHEN g THEN {_in_order('o.rules')} ELSE m.rules END AS rules, CASE WHEN g THEN {_in_order('o.mitre')} ELSE m.mitre END AS mitre,
-   CASE WHEN g THEN {_in_order('o.ips')} ELSE m.ips END AS ips, CASE WHEN g THEN o.merged_count ELSE 0 END AS merged_count,
+   CASE WHEN g THEN {_in_order('o.ips')} ELSE m.ips END AS ips, CASE WHEN g THEN o.merged_count ELSE 0 END AS merged_count, m.alerts AS own_alerts,
    m.threat_score, m.confidence, m.pos, m.last_seq, m.ord
  FROM (SELECT *, merge_ord = 0 AS g FROM members) m JOIN owners o USING (owner)"""
 CTES["queue"] = "SELECT *, row_number() OVER (ORDER BY threat_score DESC, pos) AS priority FROM listed WHERE NOT is_merged"
@@ -585,7 +585,7 @@ add("parse_apache_error", f"""SELECT seq, event_id, {ts('ts')} AS timestamp, 'we
  'apache_error' AS log_format FROM entries WHERE log_format = 'apache_access'""")
 ORACLE["parse_fallback"] = f"""
 WITH d AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents),
- v AS (SELECT doc_id * 100000 + i AS seq, regexp_replace(raw, '^\\s+|\\s+$', '', 'g') AS value FROM d)
+ v AS (SELECT doc_id * 4294967296 + i AS seq, regexp_replace(raw, '^\\s+|\\s+$', '', 'g') AS value FROM d)
 SELECT seq, substr(value, 1, 500) AS message, nullif(regexp_extract(value, {_q(IP)}, 1), '') AS source_ip, 'Unknown' AS event_type, 'INFO' AS severity,
  '2024-01-01 00:00:00' AS timestamp FROM v WHERE value <> '' AND NOT regexp_matches(value, {_q(BSD)}) AND NOT regexp_matches(value, {_q(ACCESS)})
  AND NOT regexp_matches(value, '^\\[([^\\]]+)\\]\\s+\\[(?:\\w+:)?(\\w+)\\]\\s+(.+)$')"""
@@ -653,7 +653,11 @@ add("merge_candidates", """SELECT a.incident_key AS primary_key, b.incident_key
  AND abs(epoch(a.last_seen) - epoch(b.first_seen)) <= 300 AND ((list_has_any(a.ips, b.ips) AND (coalesce(a.target_user = b.target_user, FALSE) OR a.incident_type = b.incident_type))
  OR coalesce(a.chain_id = b.chain_id, FALSE))""")
 add("merge_incidents", f"""SELECT incident_key, primary_key, is_merged, status, severity, events AS total_events, {ts('first_seen')} AS first_seen, {ts('last_seen')} AS last_seen, target_user,
- {bar('rules')} AS triggered_rules, {bar('mitre')} AS mitre_techniques, {bar('ips[1:5]')} AS source_ips, merged_count FROM listed""")
+ {bar('rules')} AS triggered_rules, {bar('mitre')} AS mitre_techniques, {bar('ips[1:5]')} AS first_sources, merged_count,
+ CASE WHEN l.merged_count > 0 AND NOT l.is_merged THEN (SELECT count(DISTINCT (u.seq, r)) FROM (SELECT seq, incident_key, unnest(rules) AS r FROM updates) u JOIN members m ON m.incident_key = u.incident_key
+   WHERE m.owner = l.incident_key) ELSE l.own_alerts END AS alert_count FROM listed l""")
+add("incident_sources", "SELECT incident_key, source_ip FROM sources")
+add("merged_sources", "SELECT DISTINCT incident_key, unnest(ips) AS source_ip FROM listed WHERE NOT is_merged")
 add("merge_map", "SELECT incident_key, primary_key, merge_ord FROM absorbed")
 add("evidence_for_incident", "SELECT incident_key, 'EV-' || incident_key AS evidence_id, coalesce(e.rule_name, '') AS rule_name, risk FROM scored JOIN ev_records e ON e.k = incident_key WHERE listed")
 add("dashboard_stats", """SELECT (SELECT count(*) FROM entries) AS total_logs, (SELECT count(*) FROM entries WHERE severity = 'INFO') AS info_events,

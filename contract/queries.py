@@ -153,7 +153,7 @@ def _(e):
 def _document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     rows = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "value"))
-    return rows.select((c("doc_id") * 100000 + c("i")).alias("seq"), "value", F.lit("documents").alias("source_file"),
+    return rows.select((c("doc_id") * (1 << 32) + c("i")).alias("seq"), "value", F.lit("documents").alias("source_file"),
                        F.lit("2024-01-01 00:00:00").cast("timestamp").alias("modified"))
 
 
@@ -406,7 +406,20 @@ def _(e):
 @query("merge_incidents")
 def _(e):
     return e.listed.select("incident_key", "primary_key", "is_merged", "status", "severity", "total_events", "first_seen",
-                           "last_seen", "target_user", "triggered_rules", "mitre_techniques", "source_ips", "merged_count")
+                           "last_seen", "target_user", "triggered_rules", "mitre_techniques", "first_sources", "merged_count",
+                           "alert_count")
+
+
+@query("incident_sources")
+def _(e):
+    """Every source of every incident: the whole list, a row each."""
+    return e.sources.select("incident_key", "source_ip")
+
+
+@query("merged_sources")
+def _(e):
+    """Every source of every listed incident after merging."""
+    return e.listed_sources.select("incident_key", "source_ip")
 
 
 @query("merge_map")

@@ -29,7 +29,7 @@ def _first(array: str, n: int) -> Column:
 
 
 def _ips(n: int, none: str) -> Column:
-    return F.when(F.size("source_ips") > 0, _first("source_ips", n)).otherwise(none)
+    return F.when(F.size("first_sources") > 0, _first("first_sources", n)).otherwise(none)
 
 
 def _user(none: str) -> Column:
@@ -150,7 +150,7 @@ def technical_summary() -> Column:
     return text(
         "Incident ", c("incident_key"), ": ", c("incident_type"), " | Severity: ", c("severity"), " | Confidence: ",
         c("confidence").cast("string"), "% | Risk: ", c("risk"), " | Events: ", c("total_events"), " | Duration: ", _seconds(),
-        "s | Rules: ", _first("triggered_rules", 5), " | MITRE ATT&CK: ", mitre, " | Sources: ", _first("source_ips", 5),
+        "s | Rules: ", _first("triggered_rules", 5), " | MITRE ATT&CK: ", mitre, " | Sources: ", _first("first_sources", 5),
         " | Target: ", _user("N/A"))
 
 

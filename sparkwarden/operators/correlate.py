@@ -166,7 +166,10 @@ def rule_list(rules: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def build_incidents(updates: DataFrame, config: Config) -> DataFrame:
-    """One row per incident. All aggregates combine before the shuffle; only lists of bounded length are kept."""
+    """One row per incident. All aggregates combine before the shuffle; only lists of bounded length are kept.
+
+    first_sources has the first five sources, for the texts that name some; incident_ips() has all of them, a row each.
+    """
     c = F.col
     pos = F.struct("t", "seq")
     has_user, has_ip = c("username") != "", c("source_ip") != ""
@@ -180,12 +183,12 @@ def build_incidents(updates: DataFrame, config: Config) -> DataFrame:
     ips = incident_ips(updates)
     some = (first_rows(ips, ["incident_key"], ["first_pos"], 5).groupBy("incident_key")
             .agg(F.sort_array(F.collect_list(F.struct("rn", "source_ip"))).alias("s"))
-            .select("incident_key", F.transform("s", lambda x: x["source_ip"]).alias("source_ips")))
+            .select("incident_key", F.transform("s", lambda x: x["source_ip"]).alias("first_sources")))
     counts = ips.groupBy("incident_key").agg(F.count("*").alias("ip_count"))
     rules = rule_list(incident_rules(updates), ["incident_key"])
     nothing = F.array().cast("array<string>")
     d = (base.join(some, "incident_key", "left").join(counts, "incident_key", "left").join(rules, "incident_key", "left"))
-    for name in ("source_ips", "triggered_rules", "mitre_techniques"):
+    for name in ("first_sources", "triggered_rules", "mitre_techniques"):
         d = d.withColumn(name, F.coalesce(name, nothing))
     return (d.withColumn("ip_count", F.coalesce("ip_count", F.lit(0)))
             .withColumn("correlation_explanation", explanation_text(config)).withColumn("status", F.lit("ACTIVE")))

@@ -177,7 +177,7 @@ def has_rule(*rules: str) -> Column:
 
 
 def alerts_of(detected: DataFrame, rules: DataFrame) -> DataFrame:
-    """One alert per rule hit. The rules table has a fixed handful of rows, so it is broadcast.
+    """One alert per rule hit. Spark broadcasts the rules table while it is small.
 
     Columns of the alert's entry stay along; entry_severity is the line's own severity.
     """
@@ -185,7 +185,7 @@ def alerts_of(detected: DataFrame, rules: DataFrame) -> DataFrame:
             .select("*", "h.rule_id", "h.event_count", "h.fail_no").drop("h", "hits"))
     dim = rules.select("rule_id", "rule_ord", F.col("name").alias("rule_name"), F.col("severity").alias("rule_severity"),
                        "mitre", F.col("description").alias("rule_description"))
-    d = hits.join(F.broadcast(dim), "rule_id")
+    d = hits.join(dim, "rule_id")
     return d.select(
         F.concat_ws("-", "event_id", "rule_id").alias("alert_id"), "rule_id", "rule_ord", "rule_name",
         F.col("rule_severity").alias("severity"), "source_ip", "username", _description().alias("description"),

@@ -144,7 +144,7 @@ def _records(rows: DataFrame, scanned: DataFrame, rules: DataFrame) -> DataFrame
                .groupBy("evidence_key").agg(F.count("*").alias("unique_source_count")))
     first = with_texts(first_rows(rows, ["evidence_key"], ["t", "seq"], 1), scanned).select(
         "evidence_key", F.get("hits", F.lit(0))["rule_id"].alias("rule_id"), matched_conditions().alias("matched_conditions"))
-    names = F.broadcast(rules.select("rule_id", c("name").alias("rule_name"), c("severity").alias("rule_severity")))
+    names = rules.select("rule_id", c("name").alias("rule_name"), c("severity").alias("rule_severity"))
     d = base.join(sources, "evidence_key", "left").join(first, "evidence_key").join(names, "rule_id", "left")
     d = d.withColumn("unique_source_count", F.coalesce("unique_source_count", F.lit(0)))
     return (d.withColumn("rule_id", F.coalesce("rule_id", F.lit(""))).withColumn("rule_name", F.coalesce("rule_name", F.lit("")))

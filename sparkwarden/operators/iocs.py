@@ -91,7 +91,9 @@ def relationships(scanned: DataFrame, detected: DataFrame, updates: DataFrame, l
 
 
 def top_iocs(relationships: DataFrame, limit: int = 20) -> DataFrame:
-    return relationships.orderBy(c("confidence").desc(), c("occurrences").desc(), *KEY).limit(min(limit, 100))
+    if not 1 <= limit <= 100:
+        raise ValueError("limit must be 1 to 100")
+    return relationships.orderBy(c("confidence").desc(), c("occurrences").desc(), *KEY).limit(limit)
 
 
 def ioc_lookup(relationships: DataFrame, ioc_type: str, value: str) -> DataFrame:

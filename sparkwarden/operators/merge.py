@@ -160,7 +160,8 @@ def merge_map(incidents: DataFrame, sources: DataFrame, config: Config, cut) ->
         run, "incident_key string, primary_key string, merge_ord int")
 
 
-def merged_incidents(incidents: DataFrame, sources: DataFrame, absorbed: DataFrame) -> tuple[DataFrame, DataFrame]:
+def merged_incidents(incidents: DataFrame, sources: DataFrame, absorbed: DataFrame,
+                     updates: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(incidents after merging, their sources). Absorbed incidents stay as CLOSED rows with is_merged.
 
     Scores are not recomputed. Lists are united in merge order through their elements, so none is gathered whole.
@@ -170,7 +171,7 @@ def merged_incidents(incidents: DataFrame, sources: DataFrame, absorbed: DataFra
     rank = F.expr("case severity when 'CRITICAL' then 4 when 'HIGH' then 3 when 'MEDIUM' then 2 when 'LOW' then 1 else 0 end")
     has_user = F.when(c("target_user") != "", c("merge_ord"))
     totals = every.groupBy("owner").agg(
-        F.sum("total_events").alias("total_events"), F.sum("alert_count").alias("alert_count"),
+        F.sum("total_events").alias("total_events"),
         F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"),
         F.max_by("severity", F.struct(rank.alias("r"), -c("merge_ord"))).alias("severity"),
         F.min_by("target_user", has_user).alias("target_user"), F.count_if(c("merge_ord") > 0).alias("merged_count"))
@@ -185,10 +186,14 @@ def merged_incidents(incidents: DataFrame, sources: DataFrame, absorbed: DataFra
            .agg(F.min(F.struct("merge_ord", "first_pos")).alias("at")))
     shown = (first_rows(ips, ["owner"], ["at"], 5).groupBy("owner")
              .agg(F.sort_array(F.collect_list(F.struct("rn", "source_ip"))).alias("l"))
-             .select("owner", F.transform("l", lambda v: v["source_ip"]).alias("source_ips")))
+             .select("owner", F.transform("l", lambda v: v["source_ip"]).alias("first_sources")))
+    # One line can update several incidents; its alerts count once in the incident that unites them.
+    uniting = every.where("merge_ord > 0").select("owner").distinct()
+    alerts = (updates.join(owner_of.join(uniting, "owner"), "incident_key").select("owner", "seq", F.explode("hits.rule_id").alias("rule_id"))
+              .distinct().groupBy("owner").agg(F.count("*").alias("alert_count")))
     ip_count = ips.groupBy("owner").agg(F.count("*").alias("ip_count"))
     new = totals
-    for part in (united("triggered_rules"), united("mitre_techniques"), shown, ip_count):
+    for part in (united("triggered_rules"), united("mitre_techniques"), shown, ip_count, alerts):
         new = new.join(part, "owner", "left")
     changed = [x for x in new.columns if x != "owner"]
     new = new.select("owner", *[c(x).alias(f"_{x}") for x in changed])
@@ -200,7 +205,7 @@ def merged_incidents(incidents: DataFrame, sources: DataFrame, absorbed: DataFra
                          else F.when(is_merged, F.lit(0).cast("bigint")).otherwise(c("_merged_count")))
     nothing = F.array().cast("array<string>")
     d = (d.withColumn("is_merged", is_merged).withColumn("status", F.when(is_merged, "CLOSED").otherwise(c("status")))
-         .withColumn("source_ips", F.coalesce("source_ips", nothing)).withColumn("ip_count", F.coalesce("ip_count", F.lit(0))))
+         .withColumn("first_sources", F.coalesce("first_sources", nothing)).withColumn("ip_count", F.coalesce("ip_count", F.lit(0))))
     out_sources = (ips.select(c("owner").alias("incident_key"), "source_ip", c("at.first_pos").alias("first_pos"),
                               c("at.merge_ord").alias("merge_ord")))
     return d.select(*incidents.columns, "is_merged", "primary_key", "merged_count"), out_sources

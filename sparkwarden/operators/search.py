@@ -40,7 +40,8 @@ def search_entries(entries: DataFrame, search=None, severity=None, event_type=No
 
 def page(found: DataFrame, limit: int = 200, offset: int = 0) -> DataFrame:
     """Newest first; ties by arrival. The limit (1 to 1000) keeps a page small, so only tops of partitions are gathered."""
-    limit = max(1, min(limit, 1000))
+    if not 1 <= limit <= 1000 or offset < 0:
+        raise ValueError("limit must be 1 to 1000 and offset not negative")
     return found.orderBy(c("timestamp").desc(), "seq").offset(offset).limit(limit)
 
 
@@ -65,7 +66,7 @@ def entry_detail(entries: DataFrame, alerts: DataFrame, rules: DataFrame, seqs:
     """One row per asked entry (seqs) and triggered rule; entries without alerts have nulls there."""
     entry = entries.join(seqs.select("seq").distinct(), "seq", "left_semi")
     alert = alerts.select("seq", "alert_id", "rule_id", "rule_ord", "event_count", c("description").alias("alert_description"))
-    rule = F.broadcast(rules.select("rule_id", c("name").alias("rule_name"), "recommendation"))
+    rule = rules.select("rule_id", c("name").alias("rule_name"), "recommendation")
     return entry.join(alert, "seq", "left").join(rule, "rule_id", "left")
 
 

@@ -57,7 +57,7 @@ def per_minute(rows: DataFrame) -> DataFrame:
 
 def rule_frequency(alerts: DataFrame, rules: DataFrame, n: int = 10) -> DataFrame:
     top = top_values(alerts, "rule_id", "rule_id", ["t", "seq", "rule_ord"], n)
-    return top.join(F.broadcast(rules.select("rule_id", c("name").alias("rule_name"))), "rule_id").select(
+    return top.join(rules.select("rule_id", c("name").alias("rule_name")), "rule_id").select(
         "rule_id", "rule_name", "count")
 
 

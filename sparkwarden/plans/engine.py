@@ -123,7 +123,7 @@ class Engine:
     @property
     def listed(self) -> DataFrame:
         """Listed incidents after merging, with is_merged."""
-        listed, sources = merge.merged_incidents(self.incidents, self._listed_sources, self.absorbed)
+        listed, sources = merge.merged_incidents(self.incidents, self._listed_sources, self.absorbed, self.updates)
         self.store.table("listed_sources", lambda: sources)
         return self.store.table("listed", lambda: listed)
 

@@ -22,6 +22,10 @@ def shared_folder(spark: SparkSession) -> str:
             raise ValueError(f"{FOLDER} must name a folder that all executors share")
         named = tempfile.mkdtemp(prefix="sparkwarden-")
         spark.sparkContext.setCheckpointDir(named)
+    elif not spark.sparkContext.master.startswith("local") and "://" not in named:
+        # A path without a scheme lies in the default file system, which must not be each machine's own disk.
+        if (spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS") or "file:").startswith("file:"):
+            raise ValueError(f"{FOLDER} must name a shared file system, such as hdfs://...")
     return named
 
 

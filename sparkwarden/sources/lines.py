@@ -15,7 +15,7 @@ def _to_lines(raw: DataFrame) -> DataFrame:
     """value, _metadata to non-blank trimmed lines; rows holding other line ends are split."""
     split = F.when(F.col("value").rlike(INNER_LINE_ENDS), F.split("value", INNER_LINE_ENDS)).otherwise(F.array("value"))
     return (raw.select(F.explode(split).alias("value"),
-                       F.col("_metadata.file_name").alias("source_file"),
+                       F.col("_metadata.file_path").alias("source_file"),
                        F.col("_metadata.file_modification_time").alias("modified"))
             .withColumn("value", trimmed(F.col("value"))).where(F.col("value") != ""))
 
