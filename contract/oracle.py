@@ -657,6 +657,10 @@ add("merge_incidents", f"""SELECT incident_key, primary_key, is_merged, status,
  CASE WHEN l.merged_count > 0 AND NOT l.is_merged THEN (SELECT count(DISTINCT (u.seq, r)) FROM (SELECT seq, incident_key, unnest(rules) AS r FROM updates) u JOIN members m ON m.incident_key = u.incident_key
    WHERE m.owner = l.incident_key) ELSE l.own_alerts END AS alert_count FROM listed l""")
 add("incident_sources", "SELECT incident_key, source_ip FROM sources")
+add("merged_timeline", """SELECT owner AS incident_key, CASE WHEN owner <> t.incident_key THEN t.incident_key END AS merged_from, seq, sub::BIGINT AS sub, event_type, description
+ FROM timeline t JOIN members m ON m.incident_key = t.incident_key""")
+add("merged_alerts", "SELECT DISTINCT owner AS incident_key, seq, unnest(u.rules) AS rule_id FROM updates u JOIN members m ON m.incident_key = u.incident_key")
+add("merged_events", "SELECT DISTINCT owner AS incident_key, seq FROM updates u JOIN members m ON m.incident_key = u.incident_key")
 add("merged_sources", "SELECT DISTINCT incident_key, unnest(ips) AS source_ip FROM listed WHERE NOT is_merged")
 add("merge_map", "SELECT incident_key, primary_key, merge_ord FROM absorbed")
 add("evidence_for_incident", "SELECT incident_key, 'EV-' || incident_key AS evidence_id, coalesce(e.rule_name, '') AS rule_name, risk FROM scored JOIN ev_records e ON e.k = incident_key WHERE listed")

@@ -416,6 +416,23 @@ def _(e):
     return e.sources.select("incident_key", "source_ip")
 
 
+@query("merged_timeline")
+def _(e):
+    """Timelines of listed incidents after merging, as text rows in order."""
+    return e.listed_timeline.select("incident_key", "merged_from", "seq", "sub", "event_type", "description").orderBy(
+        "incident_key", "seq", "sub", "merged_from")
+
+
+@query("merged_alerts")
+def _(e):
+    return e.listed_alerts
+
+
+@query("merged_events")
+def _(e):
+    return e.listed_events
+
+
 @query("merged_sources")
 def _(e):
     """Every source of every listed incident after merging."""

@@ -131,6 +131,32 @@ class Engine:
     def _listed_sources(self) -> DataFrame:
         return self.sources.join(self.incidents.select("incident_key"), "incident_key", "left_semi")
 
+    def of_owner(self, d: DataFrame) -> DataFrame:
+        """Rows of listed incidents, under the incident that they were merged into."""
+        owner = self.listed.select("incident_key", F.coalesce("primary_key", "incident_key").alias("_owner"))
+        return d.join(owner, "incident_key").withColumn("merged_from", F.when(c("_owner") != c("incident_key"), c("incident_key"))).withColumn(
+            "incident_key", c("_owner")).drop("_owner")
+
+    @property
+    def listed_timeline(self) -> DataFrame:
+        """Timelines after merging: those of the united incidents as one, in order of time."""
+        return self.of_owner(self.timeline)
+
+    @property
+    def listed_alerts(self) -> DataFrame:
+        """(incident_key, seq, rule_id): the distinct alerts of each listed incident after merging."""
+        own = self.updates.select("incident_key", "seq", F.explode("hits.rule_id").alias("rule_id"))
+        return self.of_owner(own).select("incident_key", "seq", "rule_id").distinct()
+
+    @property
+    def listed_events(self) -> DataFrame:
+        """(incident_key, seq): the distinct entries of each listed incident after merging."""
+        return self.of_owner(self.updates.select("incident_key", "seq")).select("incident_key", "seq").distinct()
+
+    @property
+    def listed_findings(self) -> DataFrame:
+        return self.of_owner(self.findings)
+
     @property
     def listed_sources(self) -> DataFrame:
         _ = self.listed
@@ -228,4 +254,4 @@ class Engine:
 
     @property
     def graph_edges(self) -> DataFrame:
-        return graph.edges(self.detected, self.updates)
+        return self.store.table("graph_edges", lambda: graph.edges(self.detected, self.updates))
