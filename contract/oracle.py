@@ -836,6 +836,9 @@ add("rejected_alert_actions", """SELECT alert_id, 'hide' AS action, 'unknown act
 add("apply_incident_actions", "SELECT incident_key, CASE ord WHEN 1 THEN 'INVESTIGATING' WHEN 2 THEN 'CLOSED' ELSE 'ACTIVE' END AS status FROM inc")
 add("rejected_incident_actions", """SELECT incident_key AS incident_id, 'close' AS action, 'not allowed in status INVESTIGATING' AS reason FROM inc WHERE ord = 1
  UNION ALL SELECT incident_key, 'dismiss', 'unknown action' FROM inc WHERE ord = 5""")
+add("read_lines", "SELECT value FROM lines")
+add("stream_lines", "SELECT value FROM lines")
+add("start_from", "SELECT '2000' AS since, count(*) AS n FROM lines UNION ALL SELECT '2999', 0")
 add("stream_detect", "SELECT seq, rule_id, n AS event_count FROM hits")
 add("stream_correlate", "SELECT incident_key, seq, n FROM updates")
 add("stream_counts", f"""SELECT {ts('m')} AS window_start, '1 minute' AS size, count(*) AS n FROM (SELECT date_trunc('minute', ts) AS m FROM entries) GROUP BY ALL

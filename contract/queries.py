@@ -847,6 +847,37 @@ def _(e):
 
 # Streams: each runs to completion over the same lines, landed as files.
 
+def _text_files(e) -> str:
+    """The engine's lines as text files, written once per engine."""
+    folder = f"{e.store.folder}/text-lines"
+    if "_text_lines" not in e.__dict__:
+        e.lines.select("value").repartition(3).write.mode("overwrite").text(folder)
+        e.__dict__["_text_lines"] = folder
+    return folder
+
+
+@query("read_lines")
+def _(e):
+    """Lines read back from files."""
+    return L.read_lines(e.spark, _text_files(e), glob="*.txt").select("value")
+
+
+@query("start_from")
+def _(e):
+    """Files changed since a time: all since the first, none since a far one."""
+    def since(t: str):
+        return L.read_lines(e.spark, _text_files(e), modified_after=t, glob="*.txt").agg(F.count("*").alias("n")).select(F.lit(t[:4]).alias("since"), "n")
+    return since("2000-01-01T00:00:00").unionByName(since("2999-01-01T00:00:00"))
+
+
+@raw_query("stream_lines")
+def _(spark, sf_dir, e):
+    """Lines of files picked up by a stream; equal lines stay apart."""
+    folder = f"{e.store.folder}/text-stream"
+    J.to_table(L.stream_lines(spark, _text_files(e), glob="*.txt"), "lines", folder)
+    return spark.read.parquet(f"{folder}/lines").dropDuplicates(["seq"]).select("value")
+
+
 @raw_query("stream_detect")
 def _(spark, sf_dir, e):
     return J.run_detect(e).select("seq", "rule_id", "event_count")

@@ -32,12 +32,25 @@ def read_lines(spark: SparkSession, path, modified_after: str | None = None, glo
     return lines.select(F.monotonically_increasing_id().alias("seq"), "value", "source_file", "modified")
 
 
+LINE_BITS = 24
+
+
 def stream_lines(spark: SparkSession, folder: str, start_from: str | None = None, files_per_batch: int = 1000,
                  glob: str = LOG_GLOB) -> DataFrame:
-    """Every new closed file of a folder. The file source does not follow appended bytes: land rolled segments."""
-    raw = (spark.readStream.format("text").option("pathGlobFilter", glob)
+    """Every new closed file of a folder. The file source does not follow appended bytes: land rolled segments.
+
+    A segment is read whole, so a line's number within it is known and equal lines stay apart: seq is made of a hash of the
+    file and of that number. A segment may have 2^24 lines; a longer one is refused.
+    """
+    raw = (spark.readStream.format("text").option("pathGlobFilter", glob).option("wholetext", True)
            .option("maxFilesPerTrigger", files_per_batch).load(folder))
-    lines = _to_lines(raw)
+    cut = F.split(F.regexp_replace("value", "\r\n?", "\n"), INNER_LINE_ENDS + "|\n")
+    lines = raw.select(F.posexplode(cut).alias("n", "value"), F.col("_metadata.file_path").alias("source_file"),
+                       F.col("_metadata.file_modification_time").alias("modified"))
+    number = F.when(F.col("n") < 1 << LINE_BITS, F.col("n")).otherwise(F.raise_error(F.lit("more than 2^24 lines in one segment")).cast("int"))
+    seq = F.shiftleft(F.shiftrightunsigned(F.xxhash64("source_file"), LINE_BITS + 1), LINE_BITS).bitwiseOR(number.cast("bigint"))
+    lines = (lines.withColumn("value", trimmed(F.col("value"))).where(F.col("value") != "")
+             .select(seq.alias("seq"), "value", "source_file", "modified"))
     return lines if start_from is None else lines.where(F.col("modified") >= F.lit(start_from).cast("timestamp"))
 
 

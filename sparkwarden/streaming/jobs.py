@@ -1,7 +1,8 @@
 """Streaming jobs: the same rules over lines as they arrive.
 
-Each job is a query with its own checkpoint. Stateful steps are chained through tables written per batch id, so a batch
-that runs again after a failure replaces its own output.
+Each job is a query with its own checkpoint. Steps that append are chained through file sinks: the sink's log names the
+files of each batch, and the next step's file source follows that log, so a batch that runs again is read once. Results that
+are updated are written per batch id, where a repeated batch replaces its own output, and only read in batches.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from sparkwarden.streaming import state as ST
 c = F.col
 WATERMARK = "2 minutes"
 OUTPUT_MODE, TIMEOUT = "append", "NoTimeout"
+FILES_PER_BATCH = 1000
 
 
 def land(lines: DataFrame, folder: str) -> None:
@@ -26,19 +28,14 @@ def land(lines: DataFrame, folder: str) -> None:
 
 
 def landed_lines(spark: SparkSession, folder: str) -> DataFrame:
-    """seq comes with the lines, as an offset does on a message bus. Text streams have none: see with_text_order."""
-    return spark.readStream.schema(LINES).parquet(folder)
+    """seq comes with the lines, as an offset does on a message bus."""
+    return spark.readStream.schema(LINES).option("maxFilesPerTrigger", FILES_PER_BATCH).parquet(folder)
 
 
 def scan(lines: DataFrame, config: Config) -> DataFrame:
     return detect.with_line_rules(parse_lines(lines, config))
 
 
-def with_text_order(lines: DataFrame) -> DataFrame:
-    """For text streams: ties within one time are ordered by a hash of the line."""
-    return lines.withColumn("seq", F.xxhash64("source_file", "value"))
-
-
 def detect_stream(scanned: DataFrame, config: Config) -> DataFrame:
     """Rule hits: line rules pass straight through, counted rules keep state per source."""
     columns = [*SLIM_COLUMNS]
@@ -98,11 +95,13 @@ def notice_sessions(notices: DataFrame, gap: str = "3 seconds") -> DataFrame:
 
 
 def to_table(stream: DataFrame, name: str, folder: str, mode: str = "append"):
-    """Starts a run over everything that has arrived, and waits for it. One output folder per batch id."""
+    """Starts a run over everything that has arrived, and waits for it.
+
+    Appended rows go to a file sink; updated ones to one folder per batch id."""
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/{name}/batch_id={batch_id}")
-    query = (stream.writeStream.foreachBatch(write).outputMode(mode).queryName(name)
-             .option("checkpointLocation", f"{folder}/_state/{name}").trigger(availableNow=True).start())
+    writer = stream.writeStream.queryName(name).outputMode(mode).option("checkpointLocation", f"{folder}/_state/{name}").trigger(availableNow=True)
+    query = (writer.format("parquet").option("path", f"{folder}/{name}").start() if mode == "append" else writer.foreachBatch(write).start())
     query.awaitTermination()
     return query
 
@@ -140,7 +139,7 @@ class Replay:
         return self
 
     def stored(self, name: str, schema) -> DataFrame:
-        return self.spark.readStream.schema(schema).parquet(f"{self.folder}/{name}")
+        return self.spark.readStream.schema(schema).option("maxFilesPerTrigger", FILES_PER_BATCH).parquet(f"{self.folder}/{name}")
 
     def result(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}")
