@@ -18,7 +18,7 @@ from sparkwarden.llm.common import n_words, placed, staged
 c = F.col
 WEIGHTS = (3, 1, 2)
 SHARE, PASSES, BLOCK, GRID, SEED = 1.5, 2, 1024, 4096, "mix:"
-CHUNK = 1 << 16
+LEAST_CHUNK = 256
 
 
 def golden() -> tuple[float, float]:
@@ -59,6 +59,8 @@ def schedule(sources: DataFrame, block: int = BLOCK) -> DataFrame:
     s = (sources.select("source_no", F.round("target").cast("bigint").alias("quota")).where("quota > 0")
          .withColumn("to", F.sum("quota").over(Window.orderBy("source_no")) / F.sum("quota").over(every))
          .withColumn("from", F.coalesce(F.lag("to").over(Window.orderBy("source_no")), F.lit(0.0))))
+    # Slots are numbered within a source by stretches, as many as keep a hot source spread over the cluster.
+    stretches = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     slots = s.agg(F.coalesce(F.ceil(F.sum("quota") / block), F.lit(0))).first()[0]
     # Cumulative weights are looked up by equality on a grid: a cell holds the few sources whose interval meets it.
     grid = s.withColumn("cell", F.explode(F.sequence(F.floor(c("from") * GRID), F.least(F.floor(c("to") * GRID), F.lit(GRID - 1)))))
@@ -66,7 +68,7 @@ def schedule(sources: DataFrame, block: int = BLOCK) -> DataFrame:
     point = (c("slot") % (1 << 20) * F.lit(step) + F.floor(c("slot") / (1 << 20)) * F.lit(far)) % 1
     taken = (spark.range(0, slots).select(c("id").alias("slot")).withColumn("point", point)
              .withColumn("cell", F.floor(c("point") * GRID)).join(grid, "cell").where("point >= `from` and point < `to`")
-             .withColumn("chunk", F.floor(c("slot") / CHUNK)))
+             .withColumn("chunk", F.floor(c("slot") / max(LEAST_CHUNK, -(-slots // stretches)))))
     ranked = placed(taken.select("source_no", "chunk", "slot"), "source_no", "chunk", [c("slot")], F.lit(1), "rank")
     need = F.ceil(c("quota") / block)
     missing = (s.join(taken.groupBy("source_no").agg(F.count(F.lit(1)).alias("have")), "source_no", "left")
