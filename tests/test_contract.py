@@ -1,10 +1,17 @@
-"""Named queries against their SQL in DuckDB on the smallest tables, with the plan for hot keys forced."""
+"""Named queries against their SQL in DuckDB on the smallest tables, and what is registered."""
+
+import os
+import shutil
+import subprocess
+import sys
 
 import duckdb
 import pytest
 from conftest import SF
 
 import __spark_entry__ as entry
+from contract.oracle import ORACLE
+from contract.queries import QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 NAMES = [
@@ -40,7 +47,18 @@ def test_same_rows(spark, duck, name):
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(QUERIES) == set(ORACLE)
+    assert set(ORACLE) <= set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_entry_without_the_optional_parts(tmp_path):
+    """Without the optional subpackage and the pipeline the entry still imports, with all other queries."""
+    root = os.path.dirname(os.path.abspath(entry.__file__))
+    shutil.copytree(root, tmp_path / "repo", ignore=shutil.ignore_patterns("llm", "corpus_pipeline.py", ".git", "__pycache__"))
+    code = "import __spark_entry__ as e; print(len(e.queries()), sorted(e.queries()) == sorted(e.oracle_sql()))"
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "repo", env=os.environ | {"PYTHONPATH": str(tmp_path / "repo")},
+                         capture_output=True, text=True, check=True)
+    assert out.stdout.split() == [str(len(QUERIES)), "True"]
 
 
 def test_entry(spark):
