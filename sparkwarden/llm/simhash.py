@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from sparkwarden.llm.common import LOWER, UPPER, staged
 from sparkwarden.llm.components import components
+from sparkwarden.llm.similar_sets import roots, sets
 
 c = F.col
 SHINGLE, SEED, RADIUS, SHARD = 3, 42, 2, 4096
@@ -184,12 +185,20 @@ def near_copies(docs: DataFrame) -> DataFrame:
             .select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"))
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
+def deduplicated(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of `docs` that stay: of each group of near copies the one with the smallest doc_id, all columns as they are.
 
+    Near copies are linked where the Jaccard similarity of their sets of `shingle` words in a row is at least `similarity`, and
+    groups are what links connect. A text with fewer words is one shingle; texts without words are copies of each other.
     Of several rows with that id one stays; rows without an id all stay."""
-    found = near_copies(docs).select("doc_id", "component_id").where("doc_id = component_id")
-    kept = staged(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")), "kept")
+    found = staged(sets(docs, shingle), "sets")
+    linked = roots(found, similarity)
+    least = staged(found.groupBy("set").agg(F.min("doc_id").alias("least")), "least-ids")
+    rooted = staged(least.join(linked, least.set == linked.node, "left").select("set", "least", F.coalesce("root", "set").alias("root")), "rooted")
+    names = staged(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "names")
+    # A component's id is the least id of one of its sets, so only that set's rows can stay.
+    kept = staged(rooted.join(names, "root").where("least = component_id").select("set", "component_id"), "stays")
+    kept = staged(found.join(kept, "set").where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")), "kept")
     out = docs.join(kept.where("_n = 1"), "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
     several = kept.where("_n > 1")
     if several.take(1):  # most corpora have no repeated ids, and then need no second join
