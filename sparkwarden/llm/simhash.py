@@ -190,17 +190,22 @@ def deduplicated(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) ->
 
     Near copies are linked where the Jaccard similarity of their sets of `shingle` words in a row is at least `similarity`, and
     groups are what links connect. A text with fewer words is one shingle; texts without words are copies of each other.
-    Of several rows with that id one stays; rows without an id all stay."""
+    Of several rows with that id one stays. Of a group without any id one row stays, of the least text hash in its least set."""
     found = staged(sets(docs, shingle), "sets")
     linked = roots(found, similarity)
     least = staged(found.groupBy("set").agg(F.min("doc_id").alias("least")), "least-ids")
     rooted = staged(least.join(linked, least.set == linked.node, "left").select("set", "least", F.coalesce("root", "set").alias("root")), "rooted")
     names = staged(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "names")
-    # A component's id is the least id of one of its sets, so only that set's rows can stay.
-    kept = staged(rooted.join(names, "root").where("least = component_id").select("set", "component_id"), "stays")
-    kept = staged(found.join(kept, "set").where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")), "kept")
-    out = docs.join(kept.where("_n = 1"), "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
+    # A component's id is the least id of one of its sets, so only that set's rows can stay; without ids its root's rows can.
+    stays = staged(rooted.join(names, "root").where("least = component_id or component_id is null and set = root").select("set", "component_id"), "stays")
+    rows = found.select("doc_id", "mark", "set").join(stays, "set")
+    kept = staged(rows.where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")), "kept")
+    out = docs.join(kept.where("_n = 1"), "doc_id", "left_semi")
     several = kept.where("_n > 1")
     if several.take(1):  # most corpora have no repeated ids, and then need no second join
         out = out.unionByName(docs.join(several, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    marks = staged(rows.where("component_id is null").groupBy("set").agg(F.min("mark").alias("_mark")).select("_mark"), "marks")
+    if marks.take(1):
+        nameless = docs.where("doc_id is null").withColumn("_mark", F.xxhash64(c("text").cast("string")))
+        out = out.unionByName(nameless.join(marks, "_mark", "left_semi").dropDuplicates(["_mark"]).drop("_mark"))
     return out.select(*[c(f"`{n}`") for n in docs.columns])

@@ -70,15 +70,15 @@ def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBa
             found = [shingles(t.as_py(), width) for t in b["text"]]
             ids = np.fromiter((xxhash.xxh64_intdigest(h.tobytes(), SEED) for h in found), np.uint64, len(found))
             yield pa.RecordBatch.from_arrays(
-                [b["doc_id"], pa.array(ids.view(np.int64)), pa.array([len(h) for h in found], pa.int32()),
-                 _lists([bands(h) for h in found]), _lists(found)], ["doc_id", "set", "n", "keys", "hashes"])
+                [b["doc_id"], b["mark"], pa.array(ids.view(np.int64)), pa.array([len(h) for h in found], pa.int32()),
+                 _lists([bands(h) for h in found]), _lists(found)], ["doc_id", "mark", "set", "n", "keys", "hashes"])
 
 
 def sets(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, set (a hash of the whole set), n, keys (the fingerprints), hashes (the members) of every row."""
+    """doc_id, mark (a hash of the text), set (a hash of the whole set), n, keys (the fingerprints), hashes (the members) of every row."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", c("text").cast("string")).mapInArrow(
-        partial(_sets, width=width), f"doc_id {kind}, set bigint, n int, keys array<bigint>, hashes array<bigint>")
+    return docs.select("doc_id", c("text").cast("string"), F.xxhash64(c("text").cast("string")).alias("mark")).mapInArrow(
+        partial(_sets, width=width), f"doc_id {kind}, mark bigint, set bigint, n int, keys array<bigint>, hashes array<bigint>")
 
 
 def verified(pairs: DataFrame, found: DataFrame, similarity: float) -> DataFrame:

@@ -89,3 +89,14 @@ def test_sets_at_the_threshold_share_a_fingerprint():
             a, b = np.sort(drawn[: n + n // 10]), np.sort(drawn[n // 10 : n + n // 5]) if n >= 10 else np.sort(drawn[:4])
             assert len(np.intersect1d(a, b)) / len(np.union1d(a, b)) >= 0.78
             assert (N.bands(a) == N.bands(b)).any()
+
+
+def test_rows_without_id_stay_only_for_groups_without_an_id(docs):
+    base, other = " ".join(f"w{i}" for i in range(100)), " ".join(f"v{i}" for i in range(100))
+    rows = [(7, base, "a"), (None, base, "b"), (None, base + " more", "c"), (None, other, "a"), (None, other, "a"), (None, other.upper(), "b"),
+            (None, other + " more", "a"), (None, None, "a"), (None, "", "a"), (8, "alone among many", "a"), (None, "no copy of it", "a")]
+    got = S.deduplicated(docs(rows)).collect()
+    assert sorted(r.doc_id for r in got if r.doc_id) == [7, 8]
+    texts = [r.text for r in got if r.doc_id is None]
+    assert len(texts) == 3 and "no copy of it" in texts
+    assert sum((t or "").lower().startswith("v0 ") for t in texts) == 1 and sum(not t for t in texts) == 1
