@@ -29,6 +29,32 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def step(df: DataFrame, name: str) -> DataFrame:
+    """staged(), for jobs with much to shuffle: the shuffle files go once the table is written, not when the driver collects garbage."""
+    conf = df.sparkSession.conf
+    before = conf.get(CLEANUP, None)
+    try:
+        conf.set(CLEANUP, "true")
+        return staged(df.select("*"), name)
+    finally:
+        if before is None:
+            conf.unset(CLEANUP)
+        else:
+            conf.set(CLEANUP, before)
+
+
+def removed(*tables: DataFrame) -> None:
+    """Removes the files of staged tables that nothing will read any more."""
+    for df in tables:
+        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+        for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(conf).delete(path, True)
+
+
 def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 

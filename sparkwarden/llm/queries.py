@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sparkwarden.llm import chat, hnsw, line_dedup, mixing, resampling, sharding, simhash, tiling, token_files, url_rules
+from sparkwarden.llm import chat, hnsw, line_dedup, merkle, mixing, resampling, sharding, simhash, tiling, token_files, url_rules
 from sparkwarden.llm.common import fresh, table
 
 c = F.col
@@ -72,6 +72,10 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.formatted(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.audited(merkle.manifest(merkle.tampered(table(spark, sf_dir, "documents"))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_hnsw": op2_hnsw,
@@ -83,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_url_rules": op9_url_rules,
     "op10_chat": op10_chat,
+    "op11_merkle": op11_merkle,
     "pipeline": corpus_pipeline.run,
 }
 

@@ -16,6 +16,7 @@ COLUMNS = {
     "op7_sharding": ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"],
     "op8_line_dedup": ["doc_id", "n_lines", "n_dropped", "kept_sha256"],
     "op9_url_rules": ["page_id", "host", "path", "rule", "verdict"],
+    "op11_merkle": ["doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"],
     "op10_chat": ["conv_id", "turn", "role", "action", "new_role", "inserted", "cost", "piece"],
 }
 
