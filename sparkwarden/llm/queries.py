@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sparkwarden.llm import chat, hnsw, line_dedup, merkle, mixing, resampling, sharding, simhash, tiling, token_files, url_rules
+from sparkwarden.llm import (chat, hnsw, lexical, line_dedup, merkle, mixing, recompression, resampling, sharding, simhash, tiling,
+                             token_files, url_rules)
 from sparkwarden.llm.common import fresh, table
 
 c = F.col
@@ -76,6 +77,15 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.audited(merkle.manifest(merkle.tampered(table(spark, sf_dir, "documents"))))
 
 
+def op12_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = recompression.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(c("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op13_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_hnsw": op2_hnsw,
@@ -88,6 +98,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_url_rules": op9_url_rules,
     "op10_chat": op10_chat,
     "op11_merkle": op11_merkle,
+    "op12_recompression": op12_recompression,
+    "op13_lexical": op13_lexical,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -123,4 +135,24 @@ fits as (
   from cut c left join rules r on (c.host = r.host or ends_with(c.host, '.' || r.host)) and starts_with(c.path, r.path))
 select page_id, host, path, rule, coalesce(verdict, 'allow') as verdict from fits where best = 1
 """,
+    "op12_recompression": r"""
+with cut as (
+  select row_number() over () as row, doc_id,
+         list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') as words from documents),
+starts as (
+  select row, doc_id, unnest(generate_series(1, len(words) - 19)) as i from cut where len(words) >= 20),
+windows as (select s.row, s.doc_id, s.i, sha256(array_to_string(words[s.i:s.i + 19], ' ')) as name from starts s join cut using (row)),
+ordered as (
+  select row, i, (coalesce(doc_id, -9223372036854775808), i) > min((coalesce(doc_id, -9223372036854775808), i)) over (partition by name) as again
+  from windows),
+gone as (select distinct row, unnest(generate_series(i, i + 19)) as i from ordered where again),
+listed as (select row, unnest(words) as word, generate_subscripts(words, 1) as i from cut),
+kept as (
+  select l.row, count(*) filter (where g.i is not null)::bigint as n_removed,
+         coalesce(string_agg(word, ' ' order by l.i) filter (where g.i is null), '') as text
+  from listed l left join gone g on g.row = l.row and g.i = l.i group by l.row)
+select doc_id, len(words)::bigint as n_words, coalesce(n_removed, 0)::bigint as n_removed, sha256(coalesce(text, '')) as kept_sha256
+from cut left join kept using (row)
+""",
+    "op13_lexical": lexical.ORACLE,
 }
