@@ -1,6 +1,6 @@
 """Merkle manifest of a dataset: a tree per source over leaves in doc_id order, and a tree over the sources.
 
-Leaf positions come from bitmaps, not from sorting. Tasks turn their doc_ids into containers (per source and 65536 ids: a
+Leaf positions come from bitmaps, not from sorting. Tasks turn their doc_ids into containers (per source and 8192 ids: a
 sorted list while there are few, else a bitmap), equal containers are merged, and a directory of popcounts is laid out beside
 each bitmap. A leaf's position is the number of rows in the containers before its own plus a rank query in its container.
 Doc_ids that occur several times keep how often; only then are leaves grouped, and ties are placed by leaf.
@@ -26,12 +26,12 @@ from sparkwarden.llm.common import placed, removed, step
 c = F.col
 FAN, LEVELS = 3, 6
 WIDTH = FAN**LEVELS
-BITS = 16
-SPAN, LISTED = 1 << BITS, 1 << 12
+BITS = 13
+SPAN, LISTED = 1 << BITS, 1 << 9
 #: Rows without a doc_id come first: their container lies below all others.
-NO_ID = -(1 << 50)
+NO_ID = -(1 << 52)
 #: A container's rows beyond this (only repeated doc_ids get there) are dealt over several tasks.
-TASK_ROWS = 1 << 17
+TASK_ROWS = 1 << 14
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 
 
@@ -47,7 +47,7 @@ def source_key(source: Column) -> Column:
 
 
 class Container:
-    """Which of 65536 ids are there, and how many rows each repeated one has beyond its first."""
+    """Which of SPAN ids are there, and how many rows each repeated one has beyond its first."""
 
     def __init__(self, ids: np.ndarray, more: np.ndarray):
         self.ids, self.more = ids, more  # ids: sorted and distinct; more: rows (id, count)
