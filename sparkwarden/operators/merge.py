@@ -4,15 +4,12 @@ Two open incidents merge when the last time of the earlier-listed one is within
 other, and they share a source and a user, or a chain, or a source and a type. A merged incident takes part on with its
 grown time range and sources, so the order of the list matters.
 
-Only incidents linked through sources or chains, and not apart in time, can influence each other. Those groups are found
-with joins; the ordered merging then runs per group on slim rows (keys and times; no events or texts).
+The merging runs in rounds of joins on slim rows (keys and times; no events or texts), see merge_map; no group of incidents
+is ever gathered, however long an address is active.
 """
 
 from __future__ import annotations
 
-import heapq
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,107 +54,134 @@ def merge_candidates(incidents: DataFrame, sources: DataFrame, config: Config) -
             .select("primary_key", "secondary_key").distinct())
 
 
-def components(slim: DataFrame, linked: DataFrame, cut) -> DataFrame:
-    """(incident_key, component): smallest label over shared links, with label jumping, until nothing changes.
+def _moment(pos) -> list:
+    """A list position as (t, seq) for ordered totals; members lie behind those who ask at the same position."""
+    return [pos["t"].alias("pt"), ((pos["seq"] * 8 + pos["ord"]) * 2).alias("ps")]
+
+
+def _keys(d: DataFrame, ips: DataFrame, at: list[str], user: str = "target_user") -> DataFrame:
+    """What rows (incident_key, incident_type, user, attack_chain_id) share to be alike: source and user, source and type, chain.
+
+    ips: (incident_key, source_ip, ...). `at` are columns to keep, from either side."""
+    with_ip = d.join(ips, "incident_key")
+    by_type = with_ip.select("incident_key", F.concat_ws("|", F.lit("type"), "source_ip", "incident_type").alias("link"), *at)
+    by_user = with_ip.where(c(user) != "").select("incident_key", F.concat_ws("|", F.lit("user"), "source_ip", user).alias("link"), *at)
+    return by_type.unionByName(by_user)
+
+
+def _roots(parents: DataFrame, cut, name: str) -> DataFrame:
+    """(incident_key, owner) from (incident_key, owner) where an owner may have an owner in turn: paths are halved until none is left."""
+    i = 0
+    while True:
+        up = parents.select(c("incident_key").alias("owner"), c("owner").alias("far"))
+        step = cut(f"{name}_{i}", parents.join(up, "owner", "left").select(
+            "incident_key", F.coalesce("far", "owner").alias("owner"), (F.coalesce("far", "owner") != c("owner")).alias("moved")))
+        parents, i = step.select("incident_key", "owner"), i + 1
+        if not step.where("moved").take(1):
+            return parents
+
+
+def _first_guess(slim: DataFrame, ips: DataFrame, width: int) -> DataFrame:
+    """Each incident with the earliest one that shares a key and ended in the slot of its start or beside it, else with itself."""
+    slot = lambda t, i=0: F.floor(c(t) / width) + i
+    chain = slim.where("attack_chain_id is not null").withColumn("link", F.concat_ws("|", F.lit("chain"), "attack_chain_id"))
+    cols = ["first_t", "last_t", "pos"]
+    keyed = _keys(slim, ips, cols).unionByName(chain.select("incident_key", "link", *cols))
+    earliest = keyed.groupBy("link", slot("last_t").alias("slot")).agg(F.min(F.struct("pos", "incident_key")).alias("a"))
+    asked = keyed.select("incident_key", "pos", "link", F.explode(F.array(*[slot("first_t", i) for i in (-1, 0, 1)])).alias("slot"))
+    best = (asked.join(earliest, ["link", "slot"]).where("a.pos < pos").groupBy("incident_key").agg(F.min("a").alias("a")))
+    return slim.join(best, "incident_key", "left").select("incident_key", F.coalesce("a.incident_key", "incident_key").alias("owner"))
+
 
-    cut(name, df) writes each round as a table, which keeps plans short and survives lost executors. Rounds grow with
-    the logarithm of the longest path. The only value read by the driver is a count.
+def _nodes(lo, hi, levels: int):
+    """The dyadic nodes (level, number) that make up the slots lo to hi: at most two a level."""
+    def of(k: int):
+        width = 1 << k
+        # Of this level are the nodes at the edges of the range that the next level cannot hold.
+        a, b = F.ceil(lo / width), F.floor((hi + 1) / width) - 1
+        whole = [F.when((a <= b) & (F.pmod(a, F.lit(2)) == 1), a), F.when((a <= b) & (F.pmod(b, F.lit(2)) == 0), b)]
+        if k == levels - 1:
+            return F.transform(F.when(a <= b, F.sequence(a, b)).otherwise(F.array().cast("array<bigint>")), lambda x: F.struct(F.lit(k).alias("k"), x.cast("bigint").alias("node")))
+        return F.transform(F.array_compact(F.array_distinct(F.array(*whole))), lambda x: F.struct(F.lit(k).alias("k"), x.cast("bigint").alias("node")))
+    return F.concat(*[of(k) for k in range(levels)])
+
+
+LEVELS = 12
+
+
+def _owners(slim: DataFrame, ips: DataFrame, guess: DataFrame, width: int, cut, name: str) -> DataFrame:
+    """(incident_key, owner): whom the list would give each incident to, were the rest of it merged as guessed.
+
+    Asked is the earliest incident in the list that is its own owner, shares a key with the one asking as of its position (with
+    what it took over before), and ended then within the window of its start. Primaries are found by key and by the slots of
+    time that they hold the key (dyadic ranges, so no two rows meet for being in one hot key); each pair then reads the
+    primary's last time as of the position.
     """
-    labels = slim.select("incident_key", c("incident_key").alias("component"))
-    linked = cut("merge_links", linked)
-    for i in range(64):
-        lowest = linked.join(labels, "incident_key").groupBy("link").agg(F.min("component").alias("low"))
-        offered = linked.join(lowest, "link").groupBy("incident_key").agg(F.min("low").alias("low"))
-        near = labels.join(offered, "incident_key", "left").select(
-            "incident_key", "component", F.least("component", F.coalesce("low", "component")).alias("near"))
-        jump = near.select(c("incident_key").alias("near"), c("near").alias("far"))
-        step = cut(f"merge_labels_{i}", near.join(jump, "near", "left").select(
-            "incident_key", c("component").alias("before"), F.least("near", F.coalesce("far", "near")).alias("component")))
-        labels = step.select("incident_key", "component")
-        if step.where("before <> component").isEmpty():
-            return labels
-    raise RuntimeError("labels did not settle")
-
-
-def _time_groups(slim: DataFrame, config: Config) -> DataFrame:
-    """Splits components where nothing that started earlier reaches within the merge window of what follows."""
-    numbered = slim.withColumn("tie", F.xxhash64("incident_key"))
-    keys = ["component"]
-    d = with_totals(numbered, keys, {"n": Running(F.lit(1)), "reach": Running(c("last_t"), "max")}, t="first_t", seq="tie")
-    before = d.groupBy("component", (c("n") + 1).alias("n")).agg(F.max("reach").alias("before"))
-    gap = c("before").isNotNull() & (c("first_t") > c("before") + config.merge_window_s * SECOND)
-    d = d.join(before, ["component", "n"], "left").withColumn("gap", F.coalesce(gap, F.lit(False)).cast("int")).drop("reach", "n")
-    return with_totals(d, keys, {"part": Running(c("gap"))}, t="first_t", seq="tie").drop("gap", "before", "tie")
-
-
-def _merge_group(rows: pd.DataFrame, ips: pd.DataFrame, window: int) -> pd.DataFrame:
-    """Ordered merging of one group: (incident_key, primary_key, merge_ord)."""
-    rows = rows.sort_values("rank", kind="stable").reset_index(drop=True)
-    place = {k: i for i, k in enumerate(rows["incident_key"])}
-    own_ips: list[set] = [set() for _ in range(len(rows))]
-    at_ip: dict[str, list[int]] = {}
-    for key, ip in zip(ips["incident_key"], ips["source_ip"]):
-        own_ips[place[key]].add(ip)
-        at_ip.setdefault(ip, []).append(place[key])
-    at_chain: dict[str, list[int]] = {}
-    records = list(rows[["incident_type", "target_user", "attack_chain_id", "first_t", "last_t"]].itertuples(index=False))
-    for i, r in enumerate(records):
-        if r.attack_chain_id:
-            at_chain.setdefault(r.attack_chain_id, []).append(i)
-    done: set[int] = set()
-    out = []
-    for i, a in enumerate(records):
-        if i in done:
-            continue
-        sources, user, last = set(own_ips[i]), a.target_user, a.last_t
-        # Later incidents that share a source or the chain, in list order.
-        waiting = [j for ip in sources for j in at_ip[ip] if j > i]
-        waiting += [j for j in at_chain.get(a.attack_chain_id, []) if j > i] if a.attack_chain_id else []
-        heapq.heapify(waiting)
-        at, n = i, 0
-        while waiting:
-            j = heapq.heappop(waiting)
-            if j <= at:
-                continue
-            at = j
-            if j in done:
-                continue
-            b = records[j]
-            if abs(last - b.first_t) > window:
-                continue
-            shared = not sources.isdisjoint(own_ips[j])
-            same_chain = bool(a.attack_chain_id) and a.attack_chain_id == b.attack_chain_id
-            if not (same_chain or (shared and ((user and user == b.target_user) or a.incident_type == b.incident_type))):
-                continue
-            done.add(j)
-            n += 1
-            out.append((rows["incident_key"][j], rows["incident_key"][i], n))
-            last, user = max(last, b.last_t), user or b.target_user
-            for ip in own_ips[j] - sources:
-                sources.add(ip)
-                for k in at_ip[ip]:
-                    if k > at:
-                        heapq.heappush(waiting, k)
-    return pd.DataFrame(out, columns=["incident_key", "primary_key", "merge_ord"])
+    slot = lambda t: F.floor(t / width)
+    members = cut(f"{name}_members", slim.join(guess, "incident_key"))
+    heads = members.where("incident_key = owner").select(c("incident_key").alias("owner"), c("incident_type").alias("type"), c("attack_chain_id").alias("chain"),
+                                                         c("pos").alias("head"), c("last_t").alias("own_last"))
+    mine = members.join(heads.select("owner"), "owner", "left_semi")
+    grown = mine.groupBy("owner").agg(F.max("last_t").alias("end"), F.min(F.when(c("target_user") != "", F.struct("pos", "target_user"))).alias("user"))
+    heads = cut(f"{name}_heads", heads.join(grown, "owner"))
+    held = (mine.select("incident_key", "owner", "pos", "last_t").join(ips, "incident_key").groupBy("owner", "source_ip")
+            .agg(F.min(F.struct("pos", "last_t")).alias("got")))
+    at = ["head", "since", "from_t", "end"]
+    owned = heads.select(c("owner").alias("incident_key"), c("type").alias("incident_type"), "user", "head", "own_last", "end")
+    with_ip = owned.join(held.select(c("owner").alias("incident_key"), "source_ip", "got"), "incident_key").withColumn(
+        "from_t", F.greatest("own_last", "got.last_t"))
+    offers = with_ip.select("incident_key", F.concat_ws("|", F.lit("type"), "source_ip", "incident_type").alias("link"), "head", c("got.pos").alias("since"), "from_t", "end")
+    offers = offers.unionByName(with_ip.where("user is not null").select(
+        "incident_key", F.concat_ws("|", F.lit("user"), "source_ip", "user.target_user").alias("link"), "head",
+        F.greatest("got.pos", "user.pos").alias("since"), "from_t", "end"))
+    offers = offers.unionByName(heads.where("chain is not null").select(
+        c("owner").alias("incident_key"), F.concat_ws("|", F.lit("chain"), "chain").alias("link"), "head", c("head").alias("since"), c("own_last").alias("from_t"), "end"))
+    offers = offers.select(c("incident_key").alias("owner"), "link", *at[:2], F.explode(_nodes(slot(c("from_t")) - 1, slot(c("end")) + 1, LEVELS)).alias("n"))
+    chained = slim.where("attack_chain_id is not null").select("incident_key", F.concat_ws("|", F.lit("chain"), "attack_chain_id").alias("link"), "pos", "first_t")
+    asked = _keys(slim, ips, ["pos", "first_t"]).unionByName(chained)
+    asked = asked.select("incident_key", "link", "pos", "first_t", F.explode(F.array(*[
+        F.struct(F.lit(k).alias("k"), F.floor(slot(c("first_t")) / (1 << k)).cast("bigint").alias("node")) for k in range(LEVELS)])).alias("n"))
+    pairs = (asked.join(offers, ["link", "n"]).where((c("head") < c("pos")) & (c("since") < c("pos")))
+             .select("incident_key", "owner", "pos", "first_t", "head").distinct())
+    told = mine.select(F.lit(None).cast("string").alias("incident_key"), "owner", *_moment(c("pos")), "last_t",
+                       F.lit(None).cast("bigint").alias("first_t"), F.lit(None).cast(dict(slim.dtypes)["pos"]).alias("head"))
+    told = told.withColumn("ps", c("ps") + 1)
+    asking = pairs.select("incident_key", "owner", *_moment(c("pos")), F.lit(None).cast("bigint").alias("last_t"), "first_t", "head")
+    seen = with_totals(cut(f"{name}_asked", told.unionByName(asking)), ["owner"], {"last": Running(c("last_t"), "max")}, t="pt", seq="ps")
+    near = seen.where(c("incident_key").isNotNull() & (F.abs(c("last") - c("first_t")) <= width))
+    found = near.groupBy("incident_key").agg(F.min(F.struct("head", "owner")).alias("a"))
+    return cut(f"{name}_owners", slim.join(found, "incident_key", "left").select("incident_key", F.coalesce("a.owner", "incident_key").alias("owner")))
 
 
 def merge_map(incidents: DataFrame, sources: DataFrame, config: Config, cut) -> DataFrame:
-    """(incident_key, primary_key, merge_ord) of the incidents that were absorbed."""
-    slim = open_incidents(incidents)
-    parts = components(slim, links(slim, sources), cut)
-    sizes = parts.groupBy("component").agg(F.count("*").alias("size")).where("size > 1").select("component")
-    grouped = cut("merge_groups", _time_groups(slim.join(parts, "incident_key").join(sizes, "component", "left_semi"), config))
-    # List order as one number per group member; lists compare by admission.
-    ranked = grouped.withColumn("rank", F.struct("admitted_pos.t", "admitted_pos.seq", "admitted_pos.ord"))
-    ranked = ranked.withColumn("rank", F.format_string("%020d.%020d.%d", "rank.t", "rank.seq", "rank.ord")).drop("admitted_pos")
-    group_ips = sources.select("incident_key", "source_ip").join(
-        grouped.select("incident_key", c("component").alias("ip_component"), c("part").alias("ip_part")), "incident_key")
-    window = config.merge_window_s * SECOND
-
-    def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        return _merge_group(left.astype(object).where(left.notna(), None), right, window)
-    return ranked.groupBy("component", "part").cogroup(group_ips.groupBy("ip_component", "ip_part")).applyInPandas(
-        run, "incident_key string, primary_key string, merge_ord int")
+    """(incident_key, primary_key, merge_ord) of the incidents that were absorbed.
+
+    Where an incident goes depends only on those before it in the list. So a map of owners that gives itself, when every
+    incident is asked again under it, is the list's own: rounds go on from a guess until nothing changes. Each makes at
+    least the first wrong row right, and mostly all of a chain of merges, since owners of owners are followed up.
+    cut(name, df) writes a table. The driver reads whether a row changed, nothing else.
+    """
+    width = config.merge_window_s * SECOND
+    slim = open_incidents(incidents).withColumn("pos", F.struct("admitted_pos.t", "admitted_pos.seq", "admitted_pos.ord")).drop("admitted_pos")
+    own_ips = sources.select("incident_key", "source_ip").distinct()
+    # Only incidents that share a source or a chain with another one can merge.
+    linked = links(slim, own_ips)
+    shared = linked.groupBy("link").agg(F.min("incident_key").alias("a"), F.max("incident_key").alias("b")).where("a <> b")
+    some = linked.join(shared, "link", "left_semi").select("incident_key").distinct()
+    slim = cut("merge_slim", slim.join(some, "incident_key", "left_semi"))
+    ips = cut("merge_ips", own_ips.join(slim.select("incident_key"), "incident_key", "left_semi"))
+    owners = cut("merge_guess", _first_guess(slim, ips, width))
+    n = 0
+    while True:
+        owners = _roots(owners, cut, f"merge_{n}_roots")
+        now = _owners(slim, ips, owners, width, cut, f"merge_{n}")
+        changed = now.join(owners, ["incident_key", "owner"], "left_anti")
+        if not changed.take(1):
+            break
+        owners, n = now, n + 1
+    taken = slim.join(owners.where("incident_key <> owner"), "incident_key").select("incident_key", c("owner").alias("primary_key"), *_moment(c("pos")))
+    return with_totals(taken, ["primary_key"], {"merge_ord": Running(F.lit(1))}, t="pt", seq="ps").select(
+        "incident_key", "primary_key", c("merge_ord").cast("int").alias("merge_ord"))
 
 
 def merged_incidents(incidents: DataFrame, sources: DataFrame, absorbed: DataFrame,

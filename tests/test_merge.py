@@ -37,28 +37,41 @@ def plain(rows, ips):
     return sorted(out)
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
-def test_merge_map(spark, seed):
+def merged(spark, rows, ips):
+    sources = spark.createDataFrame([(k, x) for k, v in ips.items() for x in set(v)], "incident_key string, source_ip string")
+    got = merge.merge_map(spark.createDataFrame(rows, INCIDENT), sources, Config(), lambda n, d: d.checkpoint())
+    return sorted(map(tuple, got.collect()))
+
+
+@pytest.mark.parametrize(("seed", "n", "span", "hosts"), [(1, 60, 6000, 15), (2, 150, 9000, 6), (3, 90, 1500, 40)])
+def test_merge_map(spark, seed, n, span, hosts):
     rnd = random.Random(seed)
     rows, ips = [], {}
-    for i in range(60):
-        first = BASE + dt.timedelta(seconds=rnd.randint(0, 6000))
+    for i in range(n):
+        first = BASE + dt.timedelta(seconds=rnd.randint(0, span))
         key = f"i{i}"
-        rows.append((key, rnd.choice("ABC"), rnd.choice(["u1", "u2", "u3", None]), rnd.choice([None, None, f"c{rnd.randint(0, 8)}"]),
-                     (i * 10, i, 1), first, first + dt.timedelta(seconds=rnd.randint(0, 400)), "ACTIVE"))
-        ips[key] = [f"ip{rnd.randint(0, 14)}" for _ in range(rnd.randint(0, 2))]
-    sources = spark.createDataFrame([(k, x) for k, v in ips.items() for x in set(v)], "incident_key string, source_ip string")
-    incidents = spark.createDataFrame(rows, INCIDENT)
-    got = merge.merge_map(incidents, sources, Config(), lambda n, d: d.checkpoint())
-    assert sorted(map(tuple, got.collect())) == plain(rows, ips)
+        rows.append((key, rnd.choice("ABC"), rnd.choice(["u1", "u2", "u3", None, ""]), rnd.choice([None, None, f"c{rnd.randint(0, 8)}"]),
+                     (i * 10, i, 1), first, first + dt.timedelta(seconds=rnd.randint(0, 400)), rnd.choice(["ACTIVE", "ACTIVE", "INVESTIGATING", "CLOSED"])))
+        ips[key] = [f"ip{rnd.randint(0, hosts)}" for _ in range(rnd.randint(0, 2))]
+    assert merged(spark, rows, ips) == plain([r for r in rows if r[-1] != "CLOSED"], ips)
+
+
+def test_an_address_that_is_active_all_day(spark):
+    # A third of the incidents follow each other from one address, each reaching the next only through those merged before.
+    rnd = random.Random(4)
+    times = [("hot", 240 * i) for i in range(100)] + [(f"ip{rnd.randint(0, 30)}", rnd.randint(0, 24000)) for _ in range(200)]
+    times.sort(key=lambda x: x[1])
+    rows, ips = [], {}
+    for i, (ip, t) in enumerate(times):
+        first = BASE + dt.timedelta(seconds=t)
+        rows.append((f"i{i:03d}", "A" if ip == "hot" else rnd.choice("AB"), None, None, (t, i, 1), first, first + dt.timedelta(seconds=rnd.randint(0, 30)), "ACTIVE"))
+        ips[f"i{i:03d}"] = [ip]
+    got = merged(spark, rows, ips)
+    assert got == plain(rows, ips) and len(got) > 99
 
 
-def test_long_chain_of_links_is_one_component(spark):
-    n = 40
-    slim = spark.createDataFrame([(f"i{i:02d}",) for i in range(n)], "incident_key string")
-    linked = spark.createDataFrame([(f"i{i:02d}", f"l{j}") for i in range(n) for j in (i, i + 1)], "incident_key string, link string")
-    got = merge.components(slim, linked, lambda name, d: d.checkpoint())
-    assert {r.component for r in got.collect()} == {"i00"}
+def test_nothing_to_merge(spark):
+    assert merged(spark, [], {"x": ["ip"]}) == []
 
 
 def test_pairs_near_in_time_only(spark):
