@@ -528,7 +528,7 @@ CTES["auth_seq"] = """
   SELECT DISTINCT source_ip, seq, t FROM alerts WHERE rule_id IN ('R001','R002','R003','R004','R014') AND source_ip <> '')"""
 
 ORDERED = list(CTES)
-SHARED = {"entries", "hits", "updates", "obs_rows", "ticks", "links", "registrations", "edges"}
+SHARED = {"entries", "hits", "updates", "obs_rows", "ticks", "links", "registrations", "edges", "reach"}
 
 
 def _needs(sql: str) -> list[str]:
@@ -828,7 +828,7 @@ add("graph_nodes_edges", "SELECT source, target, type FROM edges")
 add("graph_nodes", "SELECT id, type, label FROM nodes")
 add("graph_neighbors", "SELECT source, target, type FROM edges WHERE source = (SELECT arg_min(event_id, seq) FROM alerts)")
 add("graph_subgraph_nodes", "SELECT id, type, label FROM nodes WHERE id IN (SELECT id FROM reach)")
-add("graph_subgraph_edges", "SELECT e.source, e.target, e.type FROM edges e JOIN reach r ON e.source = r.id")
+add("graph_subgraph_edges", "SELECT source, target, type FROM edges WHERE source IN (SELECT id FROM reach)")
 add("graph_counts", "SELECT 'node' AS kind, type, count(*) AS n FROM nodes GROUP BY ALL UNION ALL SELECT 'edge', type, count(*) FROM edges GROUP BY ALL")
 add("apply_alert_actions", "SELECT alert_id, CASE WHEN rule_id = 'R004' AND seq % 2 = 0 THEN 'RESOLVED' WHEN rule_id = 'R004' THEN 'ACKNOWLEDGED' ELSE 'ACTIVE' END AS status FROM alerts")
 add("rejected_alert_actions", """SELECT alert_id, 'hide' AS action, 'unknown action' AS reason FROM alerts WHERE rule_id = 'R007'

@@ -775,8 +775,7 @@ def _(e):
 
 @query("graph_neighbors")
 def _(e):
-    first = e.detected.agg(F.min_by("event_id", "seq").alias("source"))
-    return e.graph_edges.join(F.broadcast(first), "source").select("source", "target", "type")
+    return G.neighbors(e.graph_edges, e.detected.agg(F.min_by("event_id", "seq").alias("id")))
 
 
 @query("graph_subgraph_nodes")

@@ -47,20 +47,23 @@ def nodes(detected: DataFrame, updates: DataFrame) -> DataFrame:
     return _registrations(detected, updates).select(F.explode(every).alias("n")).select("n.*").distinct()
 
 
-def neighbors(edges: DataFrame, node_id: str, edge_type: str | None = None) -> DataFrame:
-    d = edges.where(c("source") == node_id)
+def neighbors(edges: DataFrame, start: DataFrame, edge_type: str | None = None) -> DataFrame:
+    """The out-edges (of a type) of the nodes start(id)."""
+    d = edges.join(start.select(c("id").alias("source")), "source", "left_semi").select("source", "target", "type")
     return d if edge_type is None else d.where(c("type") == edge_type)
 
 
 def subgraph_from(nodes: DataFrame, edges: DataFrame, start: DataFrame, depth: int = 2) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) within depth hops of start(id) along edge direction; edges are all out-edges of the nodes reached."""
-    reached = start.select("id")
-    links = edges.select(c("source").alias("id"), c("target"))
+    """(nodes, edges) within depth hops of start(id) along edge direction; edges are all out-edges of the nodes reached.
+
+    A round follows the edges of the nodes that the round before it found, not of all found so far.
+    """
+    reached = new = start.select("id").distinct()
+    links = edges.select(c("source").alias("id"), "target")
     for _ in range(depth):
-        step = links.join(reached, "id", "left_semi").select(c("target").alias("id"))
-        reached = reached.unionByName(step).distinct()
-    return (nodes.join(reached, "id", "left_semi"),
-            edges.join(reached.select(c("id").alias("source")), "source", "left_semi").select("source", "target", "type"))
+        new = links.join(new, "id", "left_semi").select(c("target").alias("id")).distinct().join(reached, "id", "left_anti")
+        reached = reached.unionByName(new)
+    return nodes.join(reached, "id", "left_semi"), neighbors(edges, reached)
 
 
 def subgraph(spark: SparkSession, nodes: DataFrame, edges: DataFrame, node_id: str, depth: int = 2) -> tuple[DataFrame, DataFrame]:
