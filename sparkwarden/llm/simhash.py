@@ -17,8 +17,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkwarden.llm.common import LOWER, UPPER, staged
+from sparkwarden.llm.common import LOWER, UPPER, removed, staged, step
 from sparkwarden.llm.components import components
+from sparkwarden.llm.similar_sets import RADIUS as SET_RADIUS
 from sparkwarden.llm.similar_sets import roots, sets
 
 c = F.col
@@ -185,27 +186,30 @@ def near_copies(docs: DataFrame) -> DataFrame:
             .select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"))
 
 
-def deduplicated(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The rows of `docs` that stay: of each group of near copies the one with the smallest doc_id, all columns as they are.
+def deduplicated(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = SET_RADIUS) -> DataFrame:
+    """The rows of `docs` (doc_id, text) that stay, all columns as they are: one of each group of near copies, that with the smallest doc_id.
 
-    Near copies are linked where the Jaccard similarity of their sets of `shingle` words in a row is at least `similarity`, and
-    groups are what links connect. A text with fewer words is one shingle; texts without words are copies of each other.
-    Of several rows with that id one stays. Of a group without any id one row stays, of the least text hash in its least set."""
-    found = staged(sets(docs, shingle), "sets")
-    linked = roots(found, similarity)
-    least = staged(found.groupBy("set").agg(F.min("doc_id").alias("least")), "least-ids")
-    rooted = staged(least.join(linked, least.set == linked.node, "left").select("set", "least", F.coalesce("root", "set").alias("root")), "rooted")
-    names = staged(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "names")
-    # A component's id is the least id of one of its sets, so only that set's rows can stay; without ids its root's rows can.
-    stays = staged(rooted.join(names, "root").where("least = component_id or component_id is null and set = root").select("set", "component_id"), "stays")
-    rows = found.select("doc_id", "mark", "set").join(stays, "set")
-    kept = staged(rows.where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")), "kept")
-    out = docs.join(kept.where("_n = 1"), "doc_id", "left_semi")
-    several = kept.where("_n > 1")
-    if several.take(1):  # most corpora have no repeated ids, and then need no second join
-        out = out.unionByName(docs.join(several, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    marks = staged(rows.where("component_id is null").groupBy("set").agg(F.min("mark").alias("_mark")).select("_mark"), "marks")
-    if marks.take(1):
-        nameless = docs.where("doc_id is null").withColumn("_mark", F.xxhash64(c("text").cast("string")))
-        out = out.unionByName(nameless.join(marks, "_mark", "left_semi").dropDuplicates(["_mark"]).drop("_mark"))
-    return out.select(*[c(f"`{n}`") for n in docs.columns])
+    Near copies are linked where the Jaccard similarity of their sets of `shingle` words in a row is at least `similarity` and
+    their fingerprints differ in at most `radius` bits; groups are what links connect. A text with fewer words is one shingle,
+    null texts and those without words are copies of each other. A row without doc_id stays only where its group has no id.
+    Ties, such as repeated rows or several texts of one doc_id, leave one row: by the least set, then text. Texts are
+    compared whole, however long. No rows give no rows. Columns of any other names are carried along untouched.
+    """
+    found = step(sets(docs, shingle), "sets")
+    linked = roots(docs, found, shingle, similarity, radius)
+    classes = found.groupBy("doc_id", "mark", "set").agg(F.count(F.lit(1)).alias("n"))
+    rooted = step(classes.join(linked.withColumnRenamed("node", "set"), "set", "left").select("doc_id", "mark", "set", "n", F.coalesce("root", "set").alias("root")), "rooted")
+    order = F.struct(c("doc_id").isNull().alias("nameless"), "doc_id", "set", "mark")
+    first = step(rooted.groupBy("root").agg(F.min(order).alias("first")), "first")
+    removed(found)
+    judged = rooted.join(first, "root").select("doc_id", "mark", "n", (order == c("first")).alias("stays"))
+    same = (c("_row_mark") == c("mark")) & c("_row_id").eqNullSafe(c("doc_id"))
+    rows = docs.select(F.struct("*").alias("_row"), c("doc_id").alias("_row_id"), F.xxhash64(c("text").cast("string")).alias("_row_mark"))
+    # Rows that go are few; those that stay are not shuffled where Spark can broadcast the others.
+    gone = step(judged.where("not stays or n > 1"), "gone")
+    removed(rooted, first)
+    out = rows.join(gone.select("doc_id", "mark"), same, "left_anti")
+    twice = gone.where("stays")
+    if twice.take(1):  # of a repeated row that stays, one
+        out = out.unionByName(rows.join(twice.select("doc_id", "mark"), same, "left_semi").dropDuplicates(["_row_id", "_row_mark"]))
+    return out.select(*[c(f"_row.`{n}`") for n in docs.columns])

@@ -1,6 +1,8 @@
 import random
+from functools import partial
 
 import numpy as np
+import pytest
 
 from sparkwarden.llm import similar_sets as N
 from sparkwarden.llm import simhash as S
@@ -81,14 +83,39 @@ def test_a_chain_without_a_common_centre(docs):
     assert kept(docs, rows) == plain_kept(rows)
 
 
-def test_sets_at_the_threshold_share_a_fingerprint():
+def test_recall_at_the_threshold():
+    """Of pairs at a similarity of 0.80 to 0.85, at least 0.97 share a shard and lie within the radius."""
     r = np.random.default_rng(7)
-    for n in (5, 45, 900):
-        for _ in range(100):
-            drawn = r.integers(0, 1 << 64, n + n // 5, dtype=np.uint64)
-            a, b = np.sort(drawn[: n + n // 10]), np.sort(drawn[n // 10 : n + n // 5]) if n >= 10 else np.sort(drawn[:4])
-            assert len(np.intersect1d(a, b)) / len(np.union1d(a, b)) >= 0.78
-            assert (N.bands(a) == N.bands(b)).any()
+    for n in (45, 300, 900):
+        met = 0
+        for _ in range(200):
+            drawn = r.integers(0, 1 << 64, n + n // 9, dtype=np.uint64)
+            a, b = np.sort(drawn[: n + n // 18]), np.sort(drawn[n // 18 :])
+            assert 0.8 <= len(np.intersect1d(a, b)) / len(np.union1d(a, b)) <= 0.91
+            near = ((N.fingerprint(a) ^ N.fingerprint(b)) & (1 << 64) - 1).bit_count() <= N.RADIUS
+            met += near and (N.bands(a) == N.bands(b)).any()
+        assert met >= 194
+
+
+@pytest.mark.parametrize("radius", [0, 2, 12, 20])
+def test_bk_trees_find_all_within_the_radius(radius):
+    r = np.random.default_rng(radius)
+    centres = r.integers(0, 1 << 64, 6, dtype=np.uint64)
+    flips = np.array([int(sum(1 << int(k) for k in r.choice(64, r.integers(0, 14), replace=False))) for _ in range(300)], dtype=np.uint64)
+    values = np.unique(centres[r.integers(0, 6, 300)] ^ flips)
+    r.shuffle(values)
+    who, node, d = N.BKTree(values).near(values[:80], radius)
+    got = sorted(zip(who.tolist(), node.tolist(), d.tolist(), strict=True))
+    want = [(i, j, int(np.bitwise_count(values[i] ^ values[j]))) for i in range(80) for j in range(len(values))]
+    assert got == [x for x in want if x[2] <= radius]
+
+
+def test_large_shards_are_cut_into_pieces(spark, docs, monkeypatch):
+    monkeypatch.setattr(S, "roots", partial(N.roots, shard=7))
+    r = random.Random(8)
+    base = [f"w{i}" for i in range(120)]
+    rows = [(k, " ".join(changed(base, r, 1 + k % 4))) for k in range(60)]
+    assert kept(docs, rows) == plain_kept(rows)
 
 
 def test_rows_without_id_stay_only_for_groups_without_an_id(docs):
