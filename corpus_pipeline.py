@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from sparkwarden.llm import mixing, resampling, sharding, simhash, tiling
-from sparkwarden.llm.common import staged, table
+from sparkwarden.llm.common import removed, step, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 SHARDS = 8
@@ -52,7 +52,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over `documents`: its columns, and shard and slot."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = staged(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        docs = step(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if before is not None:  # the next stage reads what this one wrote
+            removed(before)
+        before = docs
     return docs
