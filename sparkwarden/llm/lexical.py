@@ -23,7 +23,9 @@ from sparkwarden.llm.common import LOWER, UPPER, fresh, lower_ascii, placed, rem
 from sparkwarden.llm.token_files import open_folder
 
 c = F.col
-K, BLOCK, CELLS, SCORES = 20, 1 << 18, 1024, 1 << 21
+K, BLOCK, CELLS = 20, 1 << 18, 1024
+#: Bounds of a task's arrays: scores, and (term of a bag, item) pairs, that are held at once.
+SCORES, MEETINGS = 1 << 20, 1 << 20
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Bytes of terms as they are or lower-cased, all others to blanks.
 TO_TERMS = bytes(ord(chr(i).lower()) if chr(i).isalnum() else 32 for i in range(128)) + bytes(range(128, 256))
@@ -85,6 +87,18 @@ class Postings:
         self.w[ids] = w[order]
         self.items = int(no.max()) + 1 if len(no) else 0
 
+    def cuts(self, bags: list[bytes]) -> list[int]:
+        """Where to cut the bags, so that each part stays within the bounds (one bag at least)."""
+        met = np.concatenate(([0], np.diff(self.at)))
+        cost = [int(met[np.minimum(np.frombuffer(x, "<u4")[: len(x) // 8] + 1, len(met) - 1)].sum()) for x in bags]
+        out, held, rows = [0], 0, max(1, SCORES // self.items)
+        for i, n in enumerate(cost):
+            if i > out[-1] and (held + n > MEETINGS or i - out[-1] >= rows):
+                out.append(i)
+                held = 0
+            held += n
+        return [*out, len(bags)]
+
     def scores(self, bags: list[bytes], m: np.ndarray) -> np.ndarray:
         """A row for each bag, a column for each item."""
         out = np.zeros(len(bags) * self.items, dtype=np.int64)
@@ -108,7 +122,10 @@ class Best:
         self.rows: list[pa.Table] = []
 
     def add(self, scores: np.ndarray, rows: pa.RecordBatch) -> None:
-        row, no = np.nonzero(scores >= self.floor)
+        floor = self.floor
+        if len(scores) > self.k:  # what k of these rows beat need not be looked at
+            floor = np.maximum(floor, np.partition(scores, -self.k, axis=0)[-self.k])
+        row, no = np.nonzero(scores >= floor)
         if len(row):
             t = pa.table(rows.take(pa.array(row)).to_pydict(), schema=rows.schema)
             self.rows.append(t.append_column("no", pa.array(no, pa.int64())).append_column("score", pa.array(scores[row, no], pa.int64())))
@@ -131,10 +148,11 @@ class Best:
 def _scored(folder: str, k: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         postings: Postings = opened(folder, Postings)
-        best, at_once = Best(postings.items, k), max(1, SCORES // max(1, postings.items))
+        best = Best(postings.items, k)
         for b in batches:
-            for at in range(0, b.num_rows if postings.items else 0, at_once):
-                rows = b.slice(at, at_once)
+            cuts = postings.cuts(b["bag"].to_pylist()) if postings.items and b.num_rows else []
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                rows = b.slice(lo, hi - lo)
                 best.add(postings.scores(rows["bag"].to_pylist(), rows["m"].to_numpy()), rows)
         if (t := best.cut()) is not None:
             yield from t.combine_chunks().to_batches()
