@@ -552,6 +552,16 @@ def sql(select: str) -> str:
     return "WITH RECURSIVE " + ",\n".join(f"{n} AS {'MATERIALIZED ' if n in SHARED else ''}({CTES[n]})" for n in names) + more
 
 
+def _first_batch(select: str) -> str:
+    """The statement over the first of two batches of lines."""
+    whole, bound = CTES["lines"], "(SELECT min(event_id) + (max(event_id) - min(event_id)) // 2 + 1 FROM events)"
+    CTES["lines"] = f"SELECT * FROM ({whole}) WHERE seq < {bound}"
+    try:
+        return sql(select)
+    finally:
+        CTES["lines"] = whole
+
+
 def ts(x: str) -> str:
     return f"strftime({x}, '%Y-%m-%d %H:%M:%S')"
 
@@ -573,8 +583,29 @@ add("ingest_batch", "SELECT 'events' AS source_file, (SELECT count(*) FROM entri
 add("export_csv", "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS timestamp, hostname, coalesce(source_ip, '') AS source_ip, "
     "coalesce(username, '') AS username, service, event_type, severity, substr(message, 1, 300) AS message, log_format FROM entries")
 add("export_json", "SELECT rule_id, alert_id FROM alerts ORDER BY seq DESC, ord DESC LIMIT 500")
-add("upsert_incidents", "SELECT incident_key, arg_max(event_id, seq) AS event_id, arg_max(n, seq) AS n FROM updates GROUP BY ALL")
-add("publish_updates", "SELECT seq, event_id FROM entries ORDER BY seq DESC LIMIT 50")
+add("latest_updates", "SELECT incident_key, arg_max(event_id, seq) AS event_id, arg_max(n, seq) AS n FROM updates GROUP BY ALL")
+add("newest_entries", "SELECT seq, event_id FROM entries ORDER BY seq DESC LIMIT 50")
+# Lines arrive in two batches of equal ranges of seq.
+_BATCH = "((seq - (SELECT min(event_id) FROM events)) // (SELECT (max(event_id) - min(event_id)) // 2 + 1 FROM events))::BIGINT"
+add("upsert_incidents", f"""SELECT incident_key, max({_BATCH}) AS batch_id, arg_max(event_id, seq) AS event_id, arg_max(n, seq) AS n, count(*) AS total_events,
+ sum(alert_n)::BIGINT AS alert_count, {ts('min(ts)')} AS first_seen, {ts('max(ts)')} AS last_seen, arg_max(username, seq) FILTER (username <> '') AS target_user,
+ count(DISTINCT nullif(source_ip, '')) AS ip_count FROM updates GROUP BY incident_key""")
+_OBS = f"""SELECT k AS evidence_key, batch, sum(n) OVER w AS e, sum(a) OVER w AS a FROM (SELECT k, {_BATCH} AS batch, count(*) AS n, sum(alert_n) AS a FROM obs_rows GROUP BY ALL)
+ WINDOW w AS (PARTITION BY k ORDER BY batch)"""
+_PROMOTED = "min(batch) FILTER (e >= 3 OR a >= 2)"
+add("stream_promotions", f"SELECT evidence_key, max(e)::BIGINT AS event_count, max(a)::BIGINT AS alert_count, {_PROMOTED} AS promoted_in FROM ({_OBS}) GROUP BY ALL")
+add("publish_updates", f"""SELECT batch_id, 'new_logs' AS slice, event_id AS id FROM (
+  SELECT event_id, {_BATCH} AS batch_id, row_number() OVER (PARTITION BY {_BATCH} ORDER BY seq DESC) AS r FROM entries) WHERE r <= 50
+ UNION ALL SELECT {_BATCH}, 'new_alert', alert_id FROM alerts
+ UNION ALL SELECT DISTINCT {_BATCH} AS b, unnest(['new_incident', 'evidence_created']), unnest([incident_key, 'EV-' || incident_key]) FROM updates u
+  WHERE {_BATCH} >= (SELECT {_BATCH.replace('(seq -', '(admitted_seq -')} FROM first_updates f WHERE f.incident_key = u.incident_key)
+ UNION ALL SELECT promoted_in, 'observation_promoted', 'OBS-' || evidence_key FROM (SELECT evidence_key, {_PROMOTED} AS promoted_in FROM ({_OBS}) GROUP BY ALL)
+  WHERE promoted_in IS NOT NULL
+ UNION ALL SELECT b, 'stats_update', '{{"lines":' || l || ',"alerts":' || coalesce(a, 0) || ',"updates":' || coalesce(u, 0) || '}}'
+  FROM (SELECT {_BATCH} AS b, count(*) AS l FROM entries GROUP BY ALL) LEFT JOIN (SELECT {_BATCH} AS b, count(*) AS a FROM hits GROUP BY ALL) USING (b)
+  LEFT JOIN (SELECT {_BATCH} AS b, count(*) AS u FROM updates GROUP BY ALL) USING (b)""")
+add("stream_merges", f"SELECT 1::BIGINT AS batch_id, incident_key, primary_key, merge_ord FROM absorbed UNION ALL SELECT * FROM ({_first_batch('SELECT 0::BIGINT, incident_key, primary_key, merge_ord FROM absorbed')})")
+add("stream_priorities", f"SELECT 1::BIGINT AS batch_id, incident_key, priority FROM queue UNION ALL SELECT * FROM ({_first_batch('SELECT 0::BIGINT, incident_key, priority FROM queue')})")
 add("detect_format", "SELECT seq, value, log_format FROM matched")
 ENTRY = f"seq, event_id, {ts('ts')} AS timestamp, hostname, source_ip, username, service, process, event_type, message, severity"
 add("parse_lines", f"SELECT {ENTRY}, log_format FROM entries")
@@ -843,5 +874,5 @@ add("stream_detect", "SELECT seq, rule_id, n AS event_count FROM hits")
 add("stream_correlate", "SELECT incident_key, seq, n FROM updates")
 add("stream_counts", f"""SELECT {ts('m')} AS window_start, '1 minute' AS size, count(*) AS n FROM (SELECT date_trunc('minute', ts) AS m FROM entries) GROUP BY ALL
  UNION ALL SELECT {ts('m - to_minutes(b)')}, '5 minutes', count(*) FROM (SELECT date_trunc('minute', ts) AS m, unnest([0, 1, 2, 3, 4]) AS b FROM entries) GROUP BY ALL""")
-add("stream_rate", f"""SELECT k AS batch_id, sum(count(*)) OVER (ORDER BY k)::BIGINT AS lines, {ts('max(max(ts)) OVER (ORDER BY k)')} AS last_event_time FROM (
+add("stream_rate", f"""SELECT k AS batch_id, sum(count(*)) OVER (ORDER BY k)::BIGINT AS lines, {ts('max(max(ts)) OVER (ORDER BY k)')} AS last_event_time, TRUE AS measured FROM (
  SELECT e.ts, ((e.seq - lo) // step)::BIGINT AS k FROM entries e, (SELECT min(seq) AS lo, (max(seq) - min(seq)) // 2 + 1 AS step FROM lines)) GROUP BY k""")

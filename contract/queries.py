@@ -30,6 +30,7 @@ from sparkwarden.operators import stats as S
 from sparkwarden.plans.engine import Engine
 from sparkwarden.sources import lines as L
 from sparkwarden.sources import sinks as K
+from sparkwarden.streaming import batch_end as BE
 from sparkwarden.streaming import jobs as J
 
 c = F.col
@@ -103,16 +104,46 @@ def _(e):
     return K.report_alerts(e.alerts).select(c("rule_id"), c("alert_id"))
 
 
-@query("upsert_incidents")
+@query("latest_updates")
 def _(e):
     return K.latest_update(e.updates).select("incident_key", "event_id", "n")
 
 
-@query("publish_updates")
+@query("newest_entries")
 def _(e):
     return K.newest_entries(e.entries).select("seq", "event_id")
 
 
+# Steps at the end of each micro-batch; the lines arrive in two.
+
+@query("upsert_incidents")
+def _(e):
+    """The incident table after both batches: base and changes merged."""
+    d = J.run_batch_ends(e).merged("incidents", "incident_key")
+    return d.select("incident_key", "batch_id", "event_id", "n", "total_events", "alert_count", "first_seen", "last_seen", "target_user", "ip_count")
+
+
+@query("publish_updates")
+def _(e):
+    return BE.published(J.run_batch_ends(e))
+
+
+@query("stream_promotions")
+def _(e):
+    d = J.run_batch_ends(e).merged("observations", "evidence_key")
+    return d.select("evidence_key", "event_count", "alert_count", "promoted_in")
+
+
+@query("stream_merges")
+def _(e):
+    return J.run_batch_ends(e).log("merges").select("batch_id", "incident_key", "primary_key", "merge_ord")
+
+
+@query("stream_priorities")
+def _(e):
+    return J.run_batch_ends(e).log("queue").select("batch_id", "incident_key", "priority")
+
+
 # Parsing.
 
 @query("detect_format")

@@ -50,16 +50,3 @@ def latest_update(updates: DataFrame) -> DataFrame:
     rest = [x for x in updates.columns if x != "incident_key"]
     return (updates.groupBy("incident_key").agg(F.max_by(F.struct(*rest), F.struct("t", "seq")).alias("u"))
             .select("incident_key", "u.*"))
-
-
-def upsert(old: DataFrame, new: DataFrame, key: str, order: str) -> DataFrame:
-    """old with rows of new replacing those of the same key, the one latest by order winning."""
-    both = old.unionByName(new, allowMissingColumns=True)
-    rest = [x for x in both.columns if x != key]
-    return both.groupBy(key).agg(F.max_by(F.struct(*rest), order).alias("u")).select(key, "u.*")
-
-
-def publish_batch(folder: str, batch_id: int, slices: dict[str, DataFrame]) -> None:
-    """Writes the slices of one micro-batch. A repeated batch overwrites its own folder, so nothing is sent twice."""
-    for name, d in slices.items():
-        d.write.mode("overwrite").parquet(f"{folder}/{name}/batch_id={batch_id}")

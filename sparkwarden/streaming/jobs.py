@@ -7,7 +7,7 @@ are updated are written per batch id, where a repeated batch replaces its own ou
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkwarden.config import Config
@@ -15,6 +15,8 @@ from sparkwarden.operators import detect
 from sparkwarden.operators.parse import parse_lines
 from sparkwarden.schema import LINES, SLIM_COLUMNS
 from sparkwarden.streaming import state as ST
+from sparkwarden.streaming.batch_end import batch_end, together
+from sparkwarden.streaming.tables import BatchTables
 
 c = F.col
 WATERMARK = "2 minutes"
@@ -94,28 +96,42 @@ def notice_sessions(notices: DataFrame, gap: str = "3 seconds") -> DataFrame:
             .agg(F.count("*").alias("count")))
 
 
-def to_table(stream: DataFrame, name: str, folder: str, mode: str = "append"):
+def to_table(stream: DataFrame, name: str, folder: str, mode: str = "append", each=None):
     """Starts a run over everything that has arrived, and waits for it.
 
-    Appended rows go to a file sink; updated ones to one folder per batch id."""
+    Appended rows go to a file sink; updated ones to one folder per batch id, or where `each` (batch, batch_id) puts them."""
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/{name}/batch_id={batch_id}")
-    writer = stream.writeStream.queryName(name).outputMode(mode).option("checkpointLocation", f"{folder}/_state/{name}").trigger(availableNow=True)
+    if each is not None:
+        write, mode = each, "each"
+    writer = stream.writeStream.queryName(name).outputMode("append" if mode == "each" else mode).option("checkpointLocation", f"{folder}/_state/{name}").trigger(availableNow=True)
     query = (writer.format("parquet").option("path", f"{folder}/{name}").start() if mode == "append" else writer.foreachBatch(write).start())
     query.awaitTermination()
     return query
 
 
-def rate(progress: list[dict]) -> list[dict]:
-    """Lines, seconds and lines per second of each batch, from a query's recent progress."""
+VOLUME = "volume"
+
+
+def measured(scanned: DataFrame) -> DataFrame:
+    """The stream with metrics that Spark takes while a batch runs: its lines and the time of its last event."""
+    return scanned.observe(VOLUME, F.count(F.lit(1)).alias("lines"), F.max("timestamp").alias("last_event_time"))
+
+
+def rate(query) -> list[tuple]:
+    """(batch_id, lines, last_event_time, seconds, per_second) of a query's recent batches that had lines."""
     out = []
-    for p in progress:
-        seconds = p["durationMs"].get("triggerExecution", 0) / 1000
-        out.append({"batch_id": p["batchId"], "lines": p["numInputRows"], "seconds": seconds,
-                    "per_second": round(p["numInputRows"] / seconds, 1) if seconds > 0 else 0.0})
+    for p in query.recentProgress:
+        seen = (p.observedMetrics or {}).get(VOLUME)
+        if seen is not None and seen["lines"]:
+            seconds = p.durationMs.get("triggerExecution", 0) / 1000
+            out.append((p.batchId, seen["lines"], str(seen["last_event_time"]), seconds, round(seen["lines"] / seconds, 1) if seconds > 0 else 0.0))
     return out
 
 
+RATE = "batch_id bigint, lines bigint, last_event_time string, seconds double, per_second double"
+
+
 SEGMENTS = 2
 
 
@@ -126,6 +142,7 @@ class Replay:
         self.engine, self.spark, self.config = engine, engine.spark, engine.config
         self.folder = f"{engine.store.folder}/streams/{name}"
         self.landing = f"{self.folder}/landing"
+        self.tables = BatchTables(self.spark, f"{self.folder}/tables")
 
     def run(self, step) -> Replay:
         low, high = self.engine.lines.agg(F.min("seq"), F.max("seq")).first()
@@ -134,7 +151,9 @@ class Replay:
             land(self.engine.lines.where(c("seq").between(low + i * size, low + (i + 1) * size - 1)), self.landing)
             # Lines are parsed once, by a stream of their own; the others read its table.
             scanned = scan(landed_lines(self.spark, self.landing), self.config)
-            to_table(scanned, "scanned", self.folder)
+            query = to_table(measured(scanned), "scanned", self.folder)
+            # One row a batch: what a monitor shows as events per second.
+            self.spark.createDataFrame(rate(query), RATE).withColumn("last_event_time", c("last_event_time").cast("timestamp")).write.mode("overwrite").parquet(f"{self.folder}/rate/segment={i}")
             step(self, self.stored("scanned", scanned.schema))
         return self
 
@@ -151,13 +170,16 @@ def _incident_chain(r: Replay, scanned: DataFrame) -> None:
     stored = r.stored("hits", hits.schema)
     to_table(path_stream(scanned, stored), "paths", r.folder)
     paths = r.stored("paths", "ip string, t bigint, seq bigint, is_new bigint")
-    to_table(correlate_stream(stored, paths, r.config), "updates", r.folder)
+    updates = correlate_stream(stored, paths, r.config)
+    to_table(updates, "updates", r.folder)
+    # No limit of files: a batch takes what the steps before it have written.
+    all_of = lambda name, schema: r.spark.readStream.schema(schema).parquet(f"{r.folder}/{name}")
+    ends = together(all_of("scanned", scanned.schema), all_of("hits", hits.schema), all_of("updates", updates.schema))
+    to_table(ends, "batch-ends", r.folder, each=batch_end(r.tables, r.config))
 
 
 def _volumes(r: Replay, scanned: DataFrame) -> None:
     to_table(minute_counts(scanned), "counts", r.folder, mode="update")
-    progress = scanned.groupBy("source_file").agg(F.count("*").alias("lines"), F.max("timestamp").alias("last_event_time"))
-    to_table(progress, "progress", r.folder, mode="update")
 
 
 def _once(engine, name: str, step) -> Replay:
@@ -184,6 +206,13 @@ def run_counts(engine) -> DataFrame:
 
 
 def run_rate(engine) -> DataFrame:
-    """Lines processed and last event time after each segment."""
-    d = _once(engine, "volumes", _volumes).result("progress")
-    return d.groupBy("batch_id").agg(F.sum("lines").alias("lines"), F.max("last_event_time").alias("last_event_time"))
+    """Lines up to each batch, its last event time, and whether lines per second were measured."""
+    d = _once(engine, "volumes", _volumes).result("rate")
+    so_far = Window.orderBy("batch_id")  # a row for each batch
+    return d.select("batch_id", F.sum("lines").over(so_far).alias("lines"), F.max("last_event_time").over(so_far).alias("last_event_time"),
+                    (c("per_second") > 0).alias("measured"))
+
+
+def run_batch_ends(engine) -> BatchTables:
+    """The tables that the steps at the end of each micro-batch have written."""
+    return _once(engine, "incidents", _incident_chain).tables

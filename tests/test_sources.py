@@ -44,17 +44,3 @@ def test_exports_and_session(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "json" / "alerts")).count() == 6
     nested = json.loads(K.json_rows(e.with_texts(e.incidents)).first().json)
     assert nested["total_events"] == 2 and nested["smart_recommendations"][0]["priority"] == "CRITICAL"
-
-
-def test_upsert(spark):
-    old = spark.createDataFrame([("a", 1, "x"), ("b", 1, "y")], "k string, seq bigint, v string")
-    new = spark.createDataFrame([("b", 2, "z"), ("c", 2, "w")], "k string, seq bigint, v string")
-    got = K.upsert(old, new, "k", "seq").orderBy("k").select(F.concat("k", "v").alias("x")).collect()
-    assert [r.x for r in got] == ["ax", "bz", "cw"]
-
-
-def test_publish_is_repeatable(spark, tmp_path):
-    d = spark.range(3)
-    for _ in range(2):
-        K.publish_batch(str(tmp_path), 7, {"logs": d})
-    assert spark.read.parquet(str(tmp_path / "logs")).count() == 3
