@@ -216,11 +216,12 @@ def ranked(docs: DataFrame, items: DataFrame, k: int = K, block: int = BLOCK) ->
         top = step(ranked_of(["no"], [c("score").desc(), c("least").asc_nulls_last()], k, scored).select("hash", "m", "bag", "no", "score"), "best-classes")
         key = ["hash", "m", "bag"]
         # Written first: a class with very many members is split by the join, and cut to k members a task before it is ranked.
-        members = step(alike.join(top.select(key).distinct(), key, "left_semi"), "members")
+        asked = step(top.select(key).distinct(), "classes-asked")
+        members = step(alike.join(asked, key, "left_semi"), "members")
         few = ranked_of(key, [c("doc_id").asc_nulls_last()], k, members).drop("rank")
         rows = top.join(few, key).select("no", "score", "doc_id")
         best = step(ranked_of(["no"], [c("score").desc(), c("doc_id").asc_nulls_last()], k, rows), "ranked")
-        removed(bags, classes, members, top)
+        removed(bags, classes, asked, members, top)
         named = mine.select("no", "item_id").join(best, "no").select("item_id", c("rank").cast("int").alias("rank"), "doc_id", "score")
         out = named if out is None else out.unionByName(named)
     return out
