@@ -83,7 +83,9 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = DEFAULT) -> DataFra
         "host_key", F.explode(F.sequence(F.lit(0), c("cells") - 1)).alias("cell"), "path", F.lit(None).cast("bigint").alias("row"), "stack")
     sweep = (Window.partitionBy("host_key", "cell").orderBy("path", c("row").asc_nulls_first())
              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    hits = (marked.unionByName(signs).withColumn("stack", F.last("stack", ignorenulls=True).over(sweep)).where("row is not null")
+    # Dealt by both: the joins before leave rows dealt by host alone, which would do for the window but not spread a hot host.
+    dealt = marked.unionByName(signs).repartition("host_key", "cell")
+    hits = (dealt.withColumn("stack", F.last("stack", ignorenulls=True).over(sweep)).where("row is not null")
             .withColumn("hit", F.get(F.filter("stack", lambda r: F.startswith(c("path"), r["path"])), F.lit(0))).where("hit is not null"))
     best = F.max(F.struct(F.length("host_key").alias("host"), c("hit.n"), c("hit.rule"), c("hit.verdict")))
     nothing = F.lit(None).cast("string")
