@@ -118,9 +118,13 @@ def unit_of(vectors: np.ndarray) -> np.ndarray:
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
+def scaled(v: np.ndarray) -> np.ndarray:
+    return np.ldexp(v, -np.frexp(np.abs(v).max(axis=1, keepdims=True))[1])
+
+
 def cosines(vectors: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """In double precision, on the original vectors."""
-    v, w = vectors.astype(np.float64), q.astype(np.float64)
+    """In double precision, on the original vectors: scaled by powers of two, which changes no digit, so that squares stay in range."""
+    v, w = scaled(vectors.astype(np.float64)), scaled(q.astype(np.float64)[None])[0]
     return v @ w / (np.linalg.norm(v, axis=1) * np.linalg.norm(w))
 
 
