@@ -92,11 +92,13 @@ def sharded(docs: DataFrame, shards: int, points: int = POINTS) -> DataFrame:
     counts = ring(spark, shards, points).join(counts, "arc", "left").select("arc", "owner", F.coalesce("n", F.lit(0)).alias("n"))
     ranges = walk(sorted((r.arc, r.owner, r.n) for r in counts.collect()), shards)
     values = ", ".join(str(r) for r in ranges) or "(0, 0, 0, 0, 0)"
-    parts = spark.sql(f"select int(_a) as _arc, bigint(_l) as _from, bigint(_h) as _to, int(_s) as shard, bigint(_b) as _first "
-                      f"from values {values} as t(_a, _l, _h, _s, _b)")
-    kept = docs.drop("shard", "slot")
-    inner = (kept.withColumns({"_hash": hashed, "_cell": cell_of(hashed)})
-             .join(F.broadcast(around.select(c("cell").alias("_cell"), c("arc").alias("_arc"))), "_cell"))
-    ranked = placed(inner, "_arc", "_cell", [c("_hash"), c("doc_id"), F.crc32(F.coalesce("text", F.lit("")).cast("binary"))], F.lit(1), "_rank")
-    return (ranked.join(F.broadcast(parts), "_arc").where("_rank >= _from and _rank < _to")
-            .select(*[c(f"`{n}`") for n in kept.columns], "shard", (c("_first") + c("_rank") - c("_from")).alias("slot")))
+    parts = spark.sql(f"select int(a) as arc, bigint(l) as low, bigint(h) as high, int(s) as shard, bigint(b) as first "
+                      f"from values {values} as t(a, l, h, s, b)")
+    kept = [n for n in docs.columns if n.lower() not in ("shard", "slot")]
+    # The caller's columns travel as one, so none of their names can meet one used here.
+    crc = F.crc32(F.coalesce(c("text").cast("string"), F.lit("")).cast("binary"))
+    inner = (docs.select(F.struct(*[c(f"`{n}`") for n in kept]).alias("row"), hashed.alias("hash"), cell_of(hashed).alias("cell"), "doc_id", crc.alias("crc"))
+             .join(F.broadcast(around.select("cell", "arc")), "cell"))
+    ranked = placed(inner, "arc", "cell", [c("hash"), c("doc_id"), c("crc")], F.lit(1), "rank")
+    return (ranked.join(F.broadcast(parts), "arc").where("rank >= low and rank < high")
+            .select(*[c(f"row.`{n}`") for n in kept], "shard", (c("first") + c("rank") - c("low")).alias("slot")))
