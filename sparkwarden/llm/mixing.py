@@ -81,10 +81,11 @@ def schedule(sources: DataFrame, block: int = BLOCK) -> DataFrame:
 
 def mixed(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, passes: int = PASSES, block: int = BLOCK,
           carried: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken (and the columns `carried`) of every row of `docs` (doc_id, text, source).
+    """doc_id, source, size, source_size, target, taken, slot (and the columns `carried`) of every row of `docs` (doc_id, text, source).
 
     size counts the words `[^\\x20\\x09-\\x0D]+` of the whole text. taken counts the words of the row that the mix takes;
-    it is never above `passes` times size. A document at the edge of a target is taken in part.
+    it is never above `passes` times size. A document at the edge of a target is taken in part. slot is the first place of the
+    schedule that takes from the row: rows in its order are the interleaved mix. It is null where none does.
 
     Null or empty texts have size 0 and nothing taken. A null source is a source, the last one. Equal and null doc_ids are
     told apart by their place in the shuffle; equal rows are taken one after the other, in either order. No documents, or
@@ -105,11 +106,11 @@ def mixed(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, passe
                                             F.explode(F.sequence(F.lit(0), F.lit(passes - 1))).alias("pass"))
               .select("source_no", "cell", "nth", begin.alias("begin"), (begin + c("size")).alias("end"))
               .withColumn("rank", F.explode(F.sequence(F.floor(c("begin") / block), F.floor((c("end") - 1) / block)))))
-    used = (pieces.join(schedule(sources, block), ["source_no", "rank"])
-            .groupBy("source_no", "cell", "nth")
-            .agg(F.sum(F.greatest(F.lit(0), F.least("end", "upto") - F.greatest("begin", c("rank") * block))).alias("taken")))
+    met = F.least("end", "upto") - F.greatest("begin", c("rank") * block)
+    used = (pieces.join(schedule(sources, block), ["source_no", "rank"]).groupBy("source_no", "cell", "nth")
+            .agg(F.sum(F.greatest(F.lit(0), met)).alias("taken"), F.min(F.when(met > 0, c("slot"))).alias("slot")))
     return (rows.join(used, ["source_no", "cell", "nth"], "left")
-            .select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"), *carried))
+            .select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"), "slot", *carried))
 
 
 def remixed(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, passes: int = PASSES, block: int = BLOCK) -> DataFrame:
@@ -118,17 +119,20 @@ def remixed(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, pas
     A row of which the mix takes at least half once more appears once more; only the row at the edge of a source's target is
     taken in part. Rows without words are not taken. Cases as for mixed(); equal rows are repeated together.
     """
-    keyed = docs.withColumn("_key", F.xxhash64(*[c(f"`{n}`") for n in docs.columns]))
+    # The caller's columns travel as one, so none of their names can meet one used here.
+    keyed = docs.select(F.struct(*[c(f"`{n}`") for n in docs.columns]).alias("row"), "doc_id", "text", "source",
+                        F.xxhash64(*[c(f"`{n}`") for n in docs.columns]).alias("mark"))
     times = F.floor(c("taken") / c("size") + 0.5)
-    plan = (mixed(keyed, weights, share, passes, block, ("_key",)).where("size > 0").groupBy("doc_id", "_key")
-            .agg(F.sum(times).cast("int").alias("_times"), F.count(F.lit(1)).alias("_n")).where("_times > 0"))
-    plan = staged(plan.withColumnRenamed("doc_id", "_id"), "mix-plan")
-    same = c("doc_id").eqNullSafe(c("_id")) & (c("_key") == c("_of"))
-    out = keyed.join(plan.where("_n = 1").withColumnRenamed("_key", "_of"), same)
-    equal = plan.where("_n > 1")
+    plan = (mixed(keyed, weights, share, passes, block, ("mark",)).where("size > 0").groupBy(c("doc_id").alias("id"), "mark")
+            .agg(F.sum(times).cast("int").alias("times"), F.count(F.lit(1)).alias("n")).where("times > 0"))
+    plan = staged(plan, "mix-plan")
+    rows = keyed.select("row", c("doc_id").alias("of_id"), c("mark").alias("of_mark"))
+    same = c("of_id").eqNullSafe(c("id")) & (c("of_mark") == c("mark"))
+    out = rows.join(plan.where("n = 1"), same)
+    equal = plan.where("n > 1")
     if equal.take(1):
-        out = out.unionByName(keyed.join(equal.withColumnRenamed("_key", "_of"), same).dropDuplicates(["_id", "_key"]))
-    return out.withColumn("_times", F.explode(F.sequence(F.lit(1), "_times"))).select(*[c(f"`{n}`") for n in docs.columns])
+        out = out.unionByName(rows.join(equal, same).dropDuplicates(["id", "mark"]))
+    return out.withColumn("time", F.explode(F.sequence(F.lit(1), "times"))).select(*[c(f"row.`{n}`") for n in docs.columns])
 
 
 ORACLE = f"""
@@ -148,10 +152,23 @@ aimed as (
            (total - sum(case when stopped then most else 0 end) over ()) * weight
            / sum(case when stopped then 0.0::double else weight end) over () end as target from split),
 laid as (
-  select s.doc_id, s.size, a.source_size, a.target, round(a.target) as quota,
-         coalesce(sum(s.size) over (partition by a.no order by s.key, s.doc_id, s.size rows between unbounded preceding and 1 preceding), 0) as start
-  from sized s join aimed a on s.source is not distinct from a.source)
+  select a.no, s.doc_id, s.size, a.source_size, a.target, round(a.target) as quota,
+         row_number() over () as row, coalesce(sum(s.size) over (partition by a.no order by s.key, s.doc_id, s.size rows between unbounded preceding and 1 preceding), 0) as start
+  from sized s join aimed a on s.source is not distinct from a.source),
+shares as (
+  select no, quota, sum(quota) over (order by no) / sum(quota) over () as upto from (select no, round(target)::bigint as quota from aimed) where quota > 0),
+spans as (select *, coalesce(lag(upto) over (order by no), 0) as since from shares),
+points as (
+  select slot, (slot % 1048576 * {golden()[0]!r}::double + (slot // 1048576) * {golden()[1]!r}::double) % 1 as point
+  from (select unnest(range((select coalesce(ceil(sum(quota) / {BLOCK}), 0)::bigint from spans))) as slot)),
+slots as (
+  select s.no, p.slot, s.quota, row_number() over (partition by s.no order by p.slot) - 1 as rank
+  from points p join spans s on p.point >= s.since and p.point < s.upto),
+passed as (select row, no, size, start + pass * source_size as since from laid, (select unnest([0, 1]) as pass) where size > 0),
+met as (
+  select p.row, min(s.slot) as slot from passed p join slots s on s.no = p.no and s.rank * {BLOCK} < p.since + p.size and (s.rank + 1) * {BLOCK} > p.since
+   and least(p.since + p.size, (s.rank + 1) * {BLOCK}, s.quota) > greatest(p.since, s.rank * {BLOCK}) group by p.row)
 select doc_id, size, source_size, target,
-       (greatest(0, least(start + size, quota) - start) + greatest(0, least(start + source_size + size, quota) - start - source_size))::bigint as taken
-from laid
+       (greatest(0, least(start + size, quota) - start) + greatest(0, least(start + source_size + size, quota) - start - source_size))::bigint as taken, slot
+from laid left join met using (row)
 """

@@ -35,7 +35,7 @@ def op4_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return mixing.mixed(docs).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mixed(docs).select("doc_id", "size", "source_size", "target", "taken", "slot")
 
 
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ COLUMNS = {
     "op2_hnsw": ["query_id", "rank", "vec_id", "score"],
     "op3_resampling": ["doc_id", "log_weight", "drawn"],
     "op4_tiling": ["doc_id", "item_id", "coverage", "n_tiles", "item_words"],
-    "op5_mixing": ["doc_id", "size", "source_size", "target", "taken"],
+    "op5_mixing": ["doc_id", "size", "source_size", "target", "taken", "slot"],
     "op6_token_files": ["doc_id", "start", "n_tokens", "ids_crc32"],
     "op7_sharding": ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"],
     "op8_line_dedup": ["doc_id", "n_lines", "n_dropped", "kept_sha256"],
