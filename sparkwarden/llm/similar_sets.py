@@ -6,7 +6,8 @@ shard a BK-tree over the fingerprints (children keyed by the integer distance to
 within RADIUS. At similarity 0.8 fingerprints differ in 9.7 bits on average with a standard deviation of 2.9, so the radius
 leaves out next to none. What the tree finds is checked on the sets themselves.
 
-Pairs are not formed within a shard. In a round every set asks for its nearest partner (by distance, then by number) of
+Two sets share at most what neither has alone, so sets of a shard that are too far from all others are told by a count (own)
+and ask nobody. Pairs are not formed within a shard. In a round every set asks for its nearest partner (by distance, then by number) of
 another component beyond those that it asked before, and links that hold unite components. Only sets that were refused ask
 again, for MORE times as many; copies of one text are in one component after the first round and never ask again. Shards of
 more than SHARD sets are cut into pieces, and pieces meet two at a time.
@@ -27,7 +28,7 @@ from sparkwarden.llm.common import LOWER, UPPER, removed, step
 from sparkwarden.llm.components import components
 
 c = F.col
-BANDS, ROWS, SEED, AT_ONCE, RADIUS, SHARD, BLOCK, MORE = 36, 8, 42, 1 << 17, 20, 4096, 128, 4
+BANDS, ROWS, SEED, AT_ONCE, RADIUS, SHARD, BLOCK, MORE, LINKS = 36, 8, 42, 1 << 17, 20, 4096, 128, 4, 1 << 20
 TO_LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 _draw = np.random.Generator(np.random.PCG64(SEED))
 FLIPS, FACTORS = (_draw.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32) for _ in range(2))
@@ -133,8 +134,8 @@ class BKTree:
 def wishes(shard: dict[str, np.ndarray], ask: int, similarity: float, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(asker, partner, distance), both as places in the shard: for each open set the next `ask` partners of a lower number.
 
-    shard: tie (the number), fp, n, root, open, and last_d, last_tie (asked so far). A partner's n differs by the factor
-    `similarity` at most."""
+    shard: tie (the number), fp, n, own, root, open, and last_d, last_tie (asked so far). Two sets share at most the members that
+    are not one's own alone; a partner with which that cannot reach the similarity is not asked."""
     order = np.argsort(shard["tie"], kind="stable")
     s = {k: v[order] for k, v in shard.items()}
     askers = np.flatnonzero(s["open"])
@@ -148,7 +149,8 @@ def wishes(shard: dict[str, np.ndarray], ask: int, similarity: float, radius: in
         n = start[node + 1] - start[node]
         i = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start[node], n)
         p, q, d = held[i], block[np.repeat(who, n)], np.repeat(d, n)
-        ok = (s["tie"][p] < s["tie"][q]) & (s["root"][p] != s["root"][q]) & (np.minimum(s["n"][p], s["n"][q]) >= similarity * np.maximum(s["n"][p], s["n"][q]))
+        shared = np.minimum(s["n"][p] - s["own"][p], s["n"][q] - s["own"][q])
+        ok = (s["tie"][p] < s["tie"][q]) & (s["root"][p] != s["root"][q]) & (shared * (1 + similarity) + 1e-9 >= similarity * (s["n"][p] + s["n"][q]))
         ok &= (d > s["last_d"][q]) | ((d == s["last_d"][q]) & (s["tie"][p] > s["last_tie"][q]))
         p, q, d = p[ok], q[ok], d[ok]
         sort = np.lexsort((s["tie"][p], d, q))
@@ -160,13 +162,13 @@ def wishes(shard: dict[str, np.ndarray], ask: int, similarity: float, radius: in
 
 def _asked(batches: Iterator[pa.RecordBatch], ask: int, similarity: float, radius: int) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by (key, x, y); a shard of them has at most two pieces of SHARD sets."""
-    names = ["set", "tie", "fp", "n", "root", "open", "last_d", "last_tie"]
+    names = ["set", "tie", "fp", "n", "own", "root", "open", "last_d", "last_tie"]
 
     def found(shard: pa.Table) -> pa.RecordBatch | None:
         roots = shard["root"].combine_chunks().dictionary_encode().indices.to_numpy()
         if len(roots) < 2 or (roots == roots[0]).all():
             return None
-        a = {k: shard[k].to_numpy() for k in ("tie", "n", "last_d", "last_tie")}
+        a = {k: shard[k].to_numpy() for k in ("tie", "n", "own", "last_d", "last_tie")}
         q, p, d = wishes({**a, "fp": shard["fp"].to_numpy().view(np.uint64), "root": roots, "open": shard["open"].to_numpy()}, ask, similarity, radius)
         if not len(q):
             return None
@@ -206,6 +208,36 @@ def _hashed(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Record
             yield pa.RecordBatch.from_arrays([b["set"], _lists([shingles(t.as_py(), width) for t in b["text"]])], ["set", "hashes"])
 
 
+def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The links of a task as stars: each set with the least one that it reaches over them."""
+    root: dict[bytes, bytes] = {}
+
+    def find(x: bytes) -> bytes:
+        while (up := root.get(x, x)) != x:
+            root[x] = root.get(up, up)
+            x = up
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch["a"].to_pylist(), batch["b"].to_pylist(), strict=True):
+            a, b = find(a), find(b)
+            root[max(a, b)] = min(a, b)
+            root.setdefault(min(a, b), min(a, b))
+    pairs = [(x, r) for x in list(root) if (r := find(x)) != x]
+    yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in pairs], pa.binary()), pa.array([r for _, r in pairs], pa.binary())], ["a", "b"])
+
+
+def united(links: DataFrame) -> DataFrame:
+    """(node, root) of every set of the links (a, b). Tasks of LINKS links each make stars of theirs; where there are several
+    tasks, their stars are joined in rounds."""
+    tasks = max(1, -(-links.count() // LINKS))
+    stars = step(links.repartition(tasks).mapInArrow(_contracted, "a binary, b binary"), "stars")
+    if tasks > 1:
+        return components(stars)
+    found = stars.select(c("a").alias("node"), c("b").alias("root"))
+    return found.unionByName(found.select(c("root").alias("node"), "root").distinct())
+
+
 def roots(docs: DataFrame, found: DataFrame, width: int, similarity: float, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
     """(node, root) of every set of `found`, the sets() of `docs`, that is linked to another: root is the least set reachable."""
     distinct = found.groupBy("set").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("keys").alias("keys"))
@@ -222,17 +254,22 @@ def roots(docs: DataFrame, found: DataFrame, width: int, similarity: float, radi
     named = one.select("set", c("mark").alias("m"), c("doc_id").alias("d"))
     texts = text.join(named, (c("mark") == c("m")) & c("doc_id").eqNullSafe(c("d"))).select("set", "text")
     members = step(texts.mapInArrow(partial(_hashed, width=width), "set binary, hashes array<bigint>").dropDuplicates(["set"]), "members")
-    pieces = several.where(c("size") > shard).select("key", F.ceil(c("size") / shard).cast("int").alias("pieces"))
+    # How many of a set's members no other set in question has. They bound what it can share, so sets far from all others,
+    # which a large group of near copies always has, need not ask them one by one.
     tie = F.conv(F.hex(F.substring("set", 1, 8)), 16, -10).cast("bigint")
-    state = step(one.select("set", tie.alias("tie"), "n", "fp", c("set").alias("root"), F.lit(True).alias("open"), F.lit(-1).alias("last_d"),
-                            F.lit(0).cast("bigint").alias("last_tie")), "asking")
+    alone = members.select(tie.alias("tie"), F.explode("hashes").alias("h")).groupBy("h").agg(F.min("tie").alias("tie"), F.count(F.lit(1)).alias("held")).where("held = 1")
+    alone = step(alone.groupBy("tie").agg(F.count(F.lit(1)).cast("int").alias("own")), "own")
+    pieces = several.where(c("size") > shard).select("key", F.ceil(c("size") / shard).cast("int").alias("pieces"))
+    state = one.select("set", tie.alias("tie"), "n", "fp").join(alone, "tie", "left").withColumn("own", F.coalesce("own", F.lit(0)))
+    state = step(state.select("set", "tie", "n", "own", "fp", c("set").alias("root"), F.lit(True).alias("open"), F.lit(-1).alias("last_d"),
+                              F.lit(0).cast("bigint").alias("last_tie")), "asking")
     now, ask = None, 1
     while True:
         rows = dealt.join(state, "set").join(pieces, "key", "left")
         mine = F.pmod(F.xxhash64("set"), F.coalesce("pieces", F.lit(1)))
         rows = rows.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("pieces", F.lit(1)).cast("bigint") - 1)))
         rows = rows.withColumns({"x": F.least("mine", "other"), "y": F.greatest("mine", "other")})
-        rows = rows.select("key", "x", "y", "set", "tie", "fp", "n", "root", "open", "last_d", "last_tie")
+        rows = rows.select("key", "x", "y", "set", "tie", "fp", "n", "own", "root", "open", "last_d", "last_tie")
         wished = rows.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(
             partial(_asked, ask=ask, similarity=similarity, radius=radius), "set binary, partner binary, d bigint, tie bigint")
         # The same partner can be met in several shards; of all shards' partners the nearest are asked.
@@ -243,16 +280,16 @@ def roots(docs: DataFrame, found: DataFrame, width: int, similarity: float, radi
         links = step(verified(pairs.select(c("set").alias("a"), c("partner").alias("b")), members, similarity), "similar")
         if links.take(1):
             both = links if now is None else now.select(c("node").alias("a"), c("root").alias("b")).unionByName(links)
-            before, now = now, step(components(both), "set-roots")
+            before, now = now, step(united(both), "set-roots")
             removed(links, *([before] if before is not None else []))
         last = pairs.groupBy("set").agg(F.max(F.struct(c("d").cast("int").alias("d"), "tie")).alias("last"), F.count(F.lit(1)).alias("asked"))
-        after = state.select("set", "tie", "n", "fp", "open", "last_d", "last_tie", *(["root"] if now is None else []))
+        after = state.select("set", "tie", "n", "own", "fp", "open", "last_d", "last_tie", *(["root"] if now is None else []))
         if now is not None:
             after = after.join(now.select(c("node").alias("set"), "root"), "set", "left").withColumn("root", F.coalesce("root", "set"))
         after = after.join(last, "set", "left")
-        held, state = state, step(after.select("set", "tie", "n", "fp", "root", (F.coalesce("asked", F.lit(0)) >= ask).alias("open"),
+        held, state = state, step(after.select("set", "tie", "n", "own", "fp", "root", (F.coalesce("asked", F.lit(0)) >= ask).alias("open"),
                                   F.coalesce("last.d", "last_d").alias("last_d"), F.coalesce("last.tie", "last_tie").alias("last_tie")), "asking")
         removed(pairs, held)
         ask *= MORE
-    removed(dealt, several, met, one, members)
+    removed(dealt, several, met, one, members, alone, state)
     return now if now is not None else found.select(c("set").alias("node"), c("set").alias("root")).where("false")

@@ -127,3 +127,17 @@ def test_rows_without_id_stay_only_for_groups_without_an_id(docs):
     texts = [r.text for r in got if r.doc_id is None]
     assert len(texts) == 3 and "no copy of it" in texts
     assert sum((t or "").lower().startswith("v0 ") for t in texts) == 1 and sum(not t for t in texts) == 1
+
+
+@pytest.mark.parametrize("links", [1 << 20, 5])
+def test_links_are_united(spark, monkeypatch, links):
+    monkeypatch.setattr(N, "LINKS", links)
+    r = random.Random(9)
+    pairs = [(f"{r.randrange(60):03d}".encode(), f"{r.randrange(60):03d}".encode()) for _ in range(45)]
+    pairs = [p for p in pairs if p[0] != p[1]]
+    of = {x: x for p in pairs for x in p}
+    for a, b in pairs:
+        lo, hi = sorted((of[a], of[b]))
+        of = {k: lo if v == hi else v for k, v in of.items()}
+    got = N.united(spark.createDataFrame(pairs, "a binary, b binary")).collect()
+    assert {bytes(x.node): bytes(x.root) for x in got} == of and len(got) == len(of)
