@@ -582,7 +582,20 @@ add("ingest_batch", "SELECT 'events' AS source_file, (SELECT count(*) FROM entri
     "(SELECT count(*) FROM scored WHERE listed) AS incidents")
 add("export_csv", "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS timestamp, hostname, coalesce(source_ip, '') AS source_ip, "
     "coalesce(username, '') AS username, service, event_type, severity, substr(message, 1, 300) AS message, log_format FROM entries")
-add("export_json", "SELECT rule_id, alert_id FROM alerts ORDER BY seq DESC, ord DESC LIMIT 500")
+_ISO = lambda x: f"strftime({x}, '%Y-%m-%dT%H:%M:%S')"
+
+
+def _object(fields: dict[str, str]) -> str:
+    return "to_json({" + ", ".join(f"'{k}': {v}" for k, v in fields.items()) + "})::VARCHAR"
+
+
+_ALERT = {x: x for x in ("alert_id", "rule_id", "rule_name", "severity", "source_ip", "username", "description")} | {
+    "matched_event_id": "event_id", "timestamp": _ISO("ts"), "status": "'ACTIVE'", "mitre": "mitre", "event_count": "event_count"}
+_INCIDENT = {x: x for x in ("incident_key", "incident_type", "severity")} | {
+    "status": "'ACTIVE'", "target_user": "target_user", "first_seen": _ISO("first_seen"), "last_seen": _ISO("last_seen"), "total_events": "events",
+    "alert_count": "alerts", "ip_count": "ip_count", "triggered_rules": "rules", "mitre_techniques": "mitre", "correlation_explanation": "why",
+    "confidence": "confidence", "risk": "risk", "threat_score": "threat_score"}
+_STATS = ("total_logs", "info_events", "warning_events", "high_events", "critical_events", "total_alerts", "active_alerts", "total_incidents", "active_incidents")
 add("latest_updates", "SELECT incident_key, arg_max(event_id, seq) AS event_id, arg_max(n, seq) AS n FROM updates GROUP BY ALL")
 add("newest_entries", "SELECT seq, event_id FROM entries ORDER BY seq DESC LIMIT 50")
 # Lines arrive in two batches of equal ranges of seq.
@@ -699,6 +712,13 @@ add("dashboard_stats", """SELECT (SELECT count(*) FROM entries) AS total_logs, (
  (SELECT count(*) FROM entries WHERE severity IN ('MEDIUM', 'LOW')) AS warning_events, (SELECT count(*) FROM entries WHERE severity = 'HIGH') AS high_events,
  (SELECT count(*) FROM entries WHERE severity = 'CRITICAL') AS critical_events, (SELECT count(*) FROM alerts) AS total_alerts, (SELECT count(*) FROM alerts) AS active_alerts,
  (SELECT count(*) FROM listed) AS total_incidents, (SELECT count(*) FROM inc) - (SELECT count(*) FROM listed WHERE is_merged) AS active_incidents""")
+add("export_json", f"""SELECT 'report_metadata' AS part, {_object({'total_entries_analyzed': 'count(*)'})} AS json FROM entries
+ UNION ALL SELECT 'statistics', {_object({x: x for x in _STATS})} FROM ({ORACLE['dashboard_stats'].split(chr(10) + 'SELECT', 1)[1].join(['SELECT', ''])})
+ UNION ALL SELECT 'incidents', {_object(_INCIDENT)} FROM scored
+ UNION ALL SELECT 'alerts', {_object(_ALERT)} FROM (SELECT * FROM alerts ORDER BY seq DESC, ord DESC LIMIT 500)""")
+_FILES = "(VALUES (0, 'auth.log'), (1, 'syslog'), (2, 'messages'), (3, 'app.log'), (4, 'notes'), (5, 'old.txt'), (6, 'kern.log.1'), (7, 'data')) f(k, name)"
+for _n, _kept in (("discover_files", "k < 4"), ("list_log_files", "k < 5 OR k = 7")):
+    add(_n, f"SELECT name, sum(strlen(value) + 1)::BIGINT AS size_bytes FROM lines JOIN {_FILES} ON seq % 8 = k WHERE {_kept} GROUP BY name")
 add("top_source_ips", "SELECT source_ip AS ip, count(*) AS count FROM entries WHERE source_ip <> '' GROUP BY ALL ORDER BY count(*) DESC, min(seq) LIMIT 10")
 add("top_event_types", "SELECT event_type AS type, count(*) AS count FROM entries GROUP BY ALL ORDER BY count(*) DESC, min(seq) LIMIT 10")
 add("severity_distribution", "SELECT s AS severity, count(e.seq) AS count FROM (SELECT unnest(['CRITICAL', 'HIGH', 'MEDIUM', 'LOW', 'INFO']) AS s) LEFT JOIN entries e ON e.severity = s GROUP BY ALL")
@@ -868,7 +888,7 @@ add("apply_incident_actions", "SELECT incident_key, CASE ord WHEN 1 THEN 'INVEST
 add("rejected_incident_actions", """SELECT incident_key AS incident_id, 'close' AS action, 'not allowed in status INVESTIGATING' AS reason FROM inc WHERE ord = 1
  UNION ALL SELECT incident_key, 'dismiss', 'unknown action' FROM inc WHERE ord = 5""")
 add("read_lines", "SELECT value FROM lines")
-add("stream_lines", "SELECT value FROM lines")
+add("stream_lines", "SELECT value, 1::BIGINT AS n FROM lines")
 add("start_from", "SELECT '2000' AS since, count(*) AS n FROM lines UNION ALL SELECT '2999', 0")
 add("stream_detect", "SELECT seq, rule_id, n AS event_count FROM hits")
 add("stream_correlate", "SELECT incident_key, seq, n FROM updates")

@@ -28,6 +28,7 @@ from sparkwarden.operators import parse
 from sparkwarden.operators import search as Q
 from sparkwarden.operators import stats as S
 from sparkwarden.plans.engine import Engine
+from sparkwarden.sources import follow as W
 from sparkwarden.sources import lines as L
 from sparkwarden.sources import sinks as K
 from sparkwarden.streaming import batch_end as BE
@@ -98,10 +99,41 @@ def _(e):
     return K.csv_rows(e.entries)
 
 
+REPORT_ALERT = ["alert_id", "rule_id", "rule_name", "severity", "source_ip", "username", "description", "matched_event_id", "timestamp", "status",
+                "mitre", "event_count"]
+REPORT_INCIDENT = ["incident_key", "incident_type", "severity", "status", "target_user", "first_seen", "last_seen", "total_events", "alert_count", "ip_count",
+                   "triggered_rules", "mitre_techniques", "correlation_explanation", "confidence", "risk", "threat_score"]
+
+
 @query("export_json")
 def _(e):
-    """Lines of the alert part of the report."""
-    return K.report_alerts(e.alerts).select(c("rule_id"), c("alert_id"))
+    """The whole report, as the texts of its objects."""
+    alerts = e.alerts.select(*REPORT_ALERT, "seq", "rule_ord")
+    parts = K.report_parts(S.dashboard_stats(e.entries, e.alerts, e.incidents, e.every_after_merge), e.entries, e.all_incidents.select(*REPORT_INCIDENT), alerts)
+    return K.report_rows(parts | {"alerts": parts["alerts"].drop("seq", "rule_ord")})
+
+
+#: Names of files that hold the lines, by seq modulo their number.
+FILES = ["auth.log", "syslog", "messages", "app.log", "notes", "old.txt", "kern.log.1", "data"]
+
+
+def _named_files(e: Engine) -> str:
+    folder = f"{e.store.folder}/named-files"
+    if "_named_files" not in e.__dict__:
+        name = F.get(F.array(*[F.lit(x) for x in FILES]), F.pmod("seq", F.lit(len(FILES))).cast("int"))
+        K.named_texts(e.lines.select(name.alias("file"), "seq", "value"), folder)
+        e.__dict__["_named_files"] = folder
+    return folder
+
+
+@query("discover_files")
+def _(e):
+    return L.discover_files(e.spark, _named_files(e)).select("name", "size_bytes")
+
+
+@query("list_log_files")
+def _(e):
+    return L.list_log_files(e.spark, [_named_files(e)]).select("name", "size_bytes")
 
 
 @query("latest_updates")
@@ -633,7 +665,7 @@ def _(e):
 
 @query("observation_iocs")
 def _(e):
-    return E.evidence_iocs(e.observation_rows, e.scanned).select("evidence_key", "ioc_type", "value", "source_event_id")
+    return E.evidence_iocs(e.observation_rows, e.facts).select("evidence_key", "ioc_type", "value", "source_event_id")
 
 
 @query("collection_confidence")
@@ -900,12 +932,20 @@ def _(e):
     return since("2000-01-01T00:00:00").unionByName(since("2999-01-01T00:00:00"))
 
 
+FILE_LINES = 1 << 14
+
+
 @raw_query("stream_lines")
 def _(spark, sf_dir, e):
-    """Lines of files picked up by a stream; equal lines stay apart."""
-    folder = f"{e.store.folder}/text-stream"
-    J.to_table(L.stream_lines(spark, _text_files(e), glob="*.txt"), "lines", folder)
-    return spark.read.parquet(f"{folder}/lines").dropDuplicates(["seq"]).select("value")
+    """Log files that grow are followed: each has half of its lines at first, and all of them when the stream goes on."""
+    folder = f"{e.store.folder}/growing"
+    low = e.lines.agg(F.min("seq")).first()[0] or 0
+    at = c("seq") - low
+    rows = e.lines.select(F.format_string("lines-%06d.log", F.floor(at / FILE_LINES)).alias("file"), "seq", "value")
+    for part in (rows.where(at % FILE_LINES < FILE_LINES // 2), rows):
+        K.named_texts(part, folder)
+        J.to_table(W.follow_lines(spark, folder, f"{folder}-register.json"), "followed", f"{folder}-stream")
+    return spark.read.parquet(f"{folder}-stream/followed").groupBy("seq").agg(F.first("value").alias("value"), F.count("*").alias("n")).select("value", "n")
 
 
 @raw_query("stream_detect")

@@ -35,24 +35,31 @@ def with_texts(rows: DataFrame, scanned: DataFrame) -> DataFrame:
     return rows.join(scanned.select("seq", *TEXTS), "seq")
 
 
-def _source_text() -> Column:
-    return F.when(c("raw_log") != "", c("raw_log")).otherwise(c("message"))
+def line_facts(scanned: DataFrame) -> DataFrame:
+    """What evidence needs of a line's text, for lines that can alert: seq, port, request, command, tool, iocs.
 
+    One narrow pass; evidence, observations and their indicators join these few small columns, not the text."""
+    source = F.when(c("raw_log") != "", c("raw_log")).otherwise(c("message"))
+    can_alert = (F.size("line_rules") > 0) | c("is_failure") | c("is_login") | c("is_404") | c("web_flag") | F.contains("message", F.lit("DPT="))
+    return scanned.where(can_alert).select(
+        "seq", F.regexp_extract(source, r"(?U)DPT=(\d+)", 1).alias("port"), F.substring("message", 1, 80).alias("request"),
+        F.regexp_extract(source, r"(?mdU)COMMAND=(.+?)$", 1).alias("command"),
+        F.regexp_extract("message", r"(?iU)(sqlmap|nikto|nmap|dirbuster|gobuster|wfuzz|hydra|medusa)", 1).alias("tool"), entry_iocs().alias("iocs"))
 
-def context_values(rows: DataFrame, scanned: DataFrame) -> DataFrame:
+
+def context_values(rows: DataFrame, facts: DataFrame) -> DataFrame:
     """Distinct (evidence_key, kind, value) with the position of the first use. Combines before the shuffle."""
-    d = with_texts(rows, scanned).withColumn("port", F.regexp_extract(_source_text(), r"(?U)DPT=(\d+)", 1))
+    d = rows.join(facts.select("seq", "port"), "seq")
     values = F.array(*[F.struct(F.lit(k).alias("kind"), c(f).alias("value")) for k, f in CONTEXT])
     return (d.select("evidence_key", "t", "seq", F.explode(values).alias("x"))
             .where(c("x.value") != "").groupBy("evidence_key", c("x.kind").alias("kind"), c("x.value").alias("value"))
             .agg(F.min(F.struct("t", "seq")).alias("first_pos")))
 
 
-def evidence_iocs(rows: DataFrame, scanned: DataFrame) -> DataFrame:
+def evidence_iocs(rows: DataFrame, facts: DataFrame) -> DataFrame:
     """Distinct indicators per key, with the event that showed each first."""
-    fields = scanned.select("seq", *TEXTS, "destination_ip")
-    d = rows.select("evidence_key", "t", "seq", "event_id", "source_ip", "username", "hostname", "service", "process")
-    found = d.join(fields, "seq").select("evidence_key", "t", "seq", "event_id", F.posexplode(entry_iocs()).alias("i", "x"))
+    d = rows.select("evidence_key", "t", "seq", "event_id").join(facts.select("seq", "iocs"), "seq")
+    found = d.select("evidence_key", "t", "seq", "event_id", F.posexplode("iocs").alias("i", "x"))
     return (found.groupBy("evidence_key", c("x.ioc_type").alias("ioc_type"), c("x.value").alias("value"))
             .agg(F.min(F.struct("t", "seq", "i", "event_id")).alias("f"))
             .select("evidence_key", "ioc_type", "value", c("f.event_id").alias("source_event_id"),
@@ -85,15 +92,12 @@ def _cond(name, matched, value) -> Column:
 
 
 def matched_conditions() -> Column:
-    """Conditions of a record's first entry by its first alert. Names and texts are fixed values."""
+    """Conditions of a record's first entry, with its facts, by its first alert. Names and texts are fixed values."""
     hit = F.get("hits", F.lit(0))
     rule, n = hit["rule_id"], hit["event_count"]
     ip, user = F.coalesce("source_ip", F.lit("")), F.coalesce("username", F.lit(""))
     has_ip, has_user = ip != "", user != ""
-    request = F.substring("message", 1, 80)
-    command = F.regexp_extract(_source_text(), r"(?mdU)COMMAND=(.+?)$", 1)
-    port = F.regexp_extract(_source_text(), r"(?U)DPT=(\d+)", 1)
-    tool = F.regexp_extract("message", r"(?iU)(sqlmap|nikto|nmap|dirbuster|gobuster|wfuzz|hydra|medusa)", 1)
+    request, command, port, tool = c("request"), c("command"), c("port"), c("tool")
     source = _cond("Source IP", has_ip, ip)
     external = _cond("External source", has_ip, ip)
     same_ip = _cond("Same source IP", has_ip, ip)
@@ -132,7 +136,7 @@ def collection_confidence(events: Column, sources: Column, alerts: Column) -> Co
                    F.lit(100)).cast("double")
 
 
-def _records(rows: DataFrame, scanned: DataFrame, rules: DataFrame) -> DataFrame:
+def _records(rows: DataFrame, facts: DataFrame, rules: DataFrame) -> DataFrame:
     """One row per key: counts, time range, and rule and conditions of the first entry."""
     base = rows.groupBy("evidence_key").agg(
         F.min("timestamp").alias("first_seen"), F.max("timestamp").alias("last_seen"), F.count("*").alias("event_count"),
@@ -142,7 +146,7 @@ def _records(rows: DataFrame, scanned: DataFrame, rules: DataFrame) -> DataFrame
         F.min_by("username", F.when(c("username") != "", F.struct("t", "seq"))).alias("first_user"))
     sources = (rows.where(c("source_ip") != "").select("evidence_key", "source_ip").distinct()
                .groupBy("evidence_key").agg(F.count("*").alias("unique_source_count")))
-    first = with_texts(first_rows(rows, ["evidence_key"], ["t", "seq"], 1), scanned).select(
+    first = first_rows(rows, ["evidence_key"], ["t", "seq"], 1).join(facts.select("seq", "request", "command", "port", "tool"), "seq").select(
         "evidence_key", F.get("hits", F.lit(0))["rule_id"].alias("rule_id"), matched_conditions().alias("matched_conditions"))
     names = rules.select("rule_id", c("name").alias("rule_name"), c("severity").alias("rule_severity"))
     d = base.join(sources, "evidence_key", "left").join(first, "evidence_key").join(names, "rule_id", "left")
@@ -152,8 +156,8 @@ def _records(rows: DataFrame, scanned: DataFrame, rules: DataFrame) -> DataFrame
                         collection_confidence(c("event_count"), c("unique_source_count"), c("alert_count"))))
 
 
-def evidence(updates: DataFrame, scanned: DataFrame, incidents: DataFrame, rules: DataFrame) -> DataFrame:
-    d = _records(incident_rows(updates), scanned, rules)
+def evidence(updates: DataFrame, facts: DataFrame, incidents: DataFrame, rules: DataFrame) -> DataFrame:
+    d = _records(incident_rows(updates), facts, rules)
     own = incidents.select(c("incident_key").alias("evidence_key"), "severity")
     return d.join(own, "evidence_key").select(
         F.concat(F.lit("EV-"), "evidence_key").alias("evidence_id"), c("evidence_key").alias("incident_key"), "rule_id",
@@ -161,9 +165,9 @@ def evidence(updates: DataFrame, scanned: DataFrame, incidents: DataFrame, rules
         "unique_source_count", F.lit(0).alias("unique_dest_count"), "collection_confidence", "first_ip", "first_user")
 
 
-def observations(detected: DataFrame, updates: DataFrame, scanned: DataFrame, rules: DataFrame) -> DataFrame:
+def observations(detected: DataFrame, updates: DataFrame, facts: DataFrame, rules: DataFrame) -> DataFrame:
     """All observations, before promotion."""
-    d = _records(observation_rows(detected, updates), scanned, rules)
+    d = _records(observation_rows(detected, updates), facts, rules)
     return d.select(
         F.concat(F.lit("OBS-"), "evidence_key").alias("observation_id"), "evidence_key", F.lit("OPEN").alias("status"),
         "rule_id", "rule_name", c("rule_severity").alias("severity"), "matched_conditions", "first_seen", "last_seen",

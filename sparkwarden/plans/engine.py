@@ -214,15 +214,19 @@ class Engine:
     def observation_rows(self) -> DataFrame:
         return evidence.observation_rows(self.detected, self.updates)
 
+    @property
+    def facts(self) -> DataFrame:
+        return self.store.table("line_facts", lambda: evidence.line_facts(self.scanned))
+
     @property
     def evidence(self) -> DataFrame:
         return self.store.table("evidence", lambda: evidence.evidence(
-            self.updates, self.scanned, self.all_incidents, self.rules))
+            self.updates, self.facts, self.all_incidents, self.rules))
 
     @property
     def observations(self) -> DataFrame:
         return self.store.table("observations", lambda: evidence.observations(
-            self.detected, self.updates, self.scanned, self.rules))
+            self.detected, self.updates, self.facts, self.rules))
 
     @property
     def notices(self) -> DataFrame:
@@ -233,11 +237,11 @@ class Engine:
 
     @property
     def evidence_context(self) -> DataFrame:
-        return self.store.table("evidence_context", lambda: evidence.context_values(self.evidence_rows, self.scanned))
+        return self.store.table("evidence_context", lambda: evidence.context_values(self.evidence_rows, self.facts))
 
     @property
     def evidence_iocs(self) -> DataFrame:
-        return self.store.table("evidence_iocs", lambda: evidence.evidence_iocs(self.evidence_rows, self.scanned))
+        return self.store.table("evidence_iocs", lambda: evidence.evidence_iocs(self.evidence_rows, self.facts))
 
     @property
     def ioc_links(self) -> DataFrame:

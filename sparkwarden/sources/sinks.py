@@ -8,6 +8,23 @@ from pyspark.sql import functions as F
 c = F.col
 
 
+def named_texts(rows: DataFrame, folder: str) -> None:
+    """Writes rows (file, seq, value) as one text file for each `file`, under that very name, in order of seq.
+
+    Each file is written by one task beside the folder and then moved, which replaces a file of that name."""
+    spark = rows.sparkSession
+    spare = f"{folder}-spare"
+    (rows.repartition("file").sortWithinPartitions("file", "seq").select("file", "value").write.partitionBy("file").mode("overwrite").text(spare))
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(path(folder))
+    for f in fs.globStatus(path(f"{spare}/file=*/part-*")):
+        to = path(f"{folder}/{f.getPath().getParent().getName().removeprefix('file=')}")
+        fs.delete(to, False)
+        if not fs.rename(f.getPath(), to):
+            raise OSError(f"{to} could not be written")
+
+
 def csv_rows(entries: DataFrame) -> DataFrame:
     """Columns of the CSV export: no nulls, ISO times, messages cut to 300 characters."""
     iso = F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss")
@@ -29,16 +46,35 @@ def report_alerts(alerts: DataFrame, n: int = 500) -> DataFrame:
     return last.orderBy("seq", "rule_ord")
 
 
+#: Times in JSON, as ISO text.
+ISO = {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss"}
+
+
+def report_parts(stats: DataFrame, entries: DataFrame, incidents: DataFrame, alerts: DataFrame) -> dict[str, DataFrame]:
+    """The four parts of the report: metadata, statistics, incidents (all columns given) and the last alerts."""
+    meta = entries.agg(F.count("*").alias("total_entries_analyzed"))
+    return {"report_metadata": meta, "statistics": stats, "incidents": incidents, "alerts": report_alerts(alerts)}
+
+
 def write_json_report(path: str, stats: DataFrame, entries: DataFrame, incidents: DataFrame, alerts: DataFrame) -> None:
-    """The report as four JSON tables: metadata, statistics, incidents and the last alerts."""
-    meta = entries.agg(F.count("*").alias("total_entries_analyzed")).withColumn("generated_at", F.current_timestamp())
-    for name, d in (("report_metadata", meta), ("statistics", stats), ("incidents", incidents), ("alerts", report_alerts(alerts))):
+    """The report as four JSON tables; the metadata tell when it was written."""
+    for name, d in report_parts(stats, entries, incidents, alerts).items():
+        d = d.withColumn("generated_at", F.current_timestamp()) if name == "report_metadata" else d
         d.write.mode("overwrite").option("ignoreNullFields", False).json(f"{path}/{name}")
 
 
 def json_rows(d: DataFrame) -> DataFrame:
-    """Nested rows as one JSON text each."""
-    return d.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("json"))
+    """Nested rows as one JSON text each, nulls included."""
+    return d.select(F.to_json(F.struct("*"), ISO).alias("json"))
+
+
+def report_rows(parts: dict[str, DataFrame]) -> DataFrame:
+    """(part, json): the whole report, a text for each of its objects."""
+    out = None
+    for name, d in parts.items():
+        rows = json_rows(d).select(F.lit(name).alias("part"), "json")
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 def newest_entries(entries: DataFrame, n: int = 50) -> DataFrame:

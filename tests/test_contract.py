@@ -19,6 +19,7 @@ NAMES = [
     "fp_filter", "merge_map", "merge_incidents", "rank_priority", "behaviour_findings", "ioc_relationships", "evidence",
     "matched_conditions", "observations", "graph_nodes_edges", "timeline_gaps", "notification_rollup", "auth_gap",
     "search_evidence_keyword", "dashboard_stats", "apply_incident_actions", "extract_iocs",
+    "export_json", "discover_files", "list_log_files", "stream_lines",
     "stream_rate", "upsert_incidents", "publish_updates", "stream_promotions", "stream_merges", "stream_priorities", "graph_subgraph_edges",
 ]
 
