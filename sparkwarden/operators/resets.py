@@ -6,8 +6,9 @@ w(p) >= 3 and p >= r + 3, where r is the failure number at the last clearing. So
 of numbers p at least 3 apart among the candidates {p : w(p) >= 3, a login follows failure p}.
 
 The choice inside a chunk of numbers depends on earlier chunks only through how many of its first numbers are barred
-(0, 1 or 2). Chunks are therefore summed up as maps from 3 entry states to 3 exit states, maps are composed over
-chunks and over groups of chunks, and the entry states are handed back down. All groups are bounded by CHUNK.
+(0, 1 or 2). Chunks are therefore summed up as maps from 3 entry states to 3 exit states, maps are composed over a tree whose
+nodes have FAN children, and the entry states are handed back down. A row of any level holds at most FAN numbers or maps,
+so the work is linear in the candidates, and a level has a 32nd of the rows of the one below.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 from sparkwarden.operators.ordered import Running, with_totals
 
-CHUNK = 4096
+CHUNK, FAN = 4096, 32
 
 
 def _choose(candidates: Column, start: Column, gap: int) -> Column:
@@ -30,8 +31,17 @@ def _choose(candidates: Column, start: Column, gap: int) -> Column:
     return F.aggregate(candidates, zero, step)
 
 
-def _walk(maps: Column, first: Column, entry: Column) -> Column:
-    """Follow sorted (i, exits) maps from entry: struct(next i, state, array of (i, entry state)). A missing i frees all."""
+def _follow(maps: Column, first: Column, entry: Column, last: Column) -> Column:
+    """The state behind `last` of sorted (i, exits) maps, entered before `first`. A missing i frees all."""
+    def step(s: Column, m: Column) -> Column:
+        state = F.when(s["i"] == m["i"], s["state"]).otherwise(0)
+        return F.struct((m["i"] + 1).alias("i"), F.element_at(m["exits"], state + 1).alias("state"))
+    end = F.aggregate(maps, F.struct(first.alias("i"), entry.cast("int").alias("state")), step)
+    return F.when(end["i"] == last, end["state"]).otherwise(0)
+
+
+def _entries(maps: Column, first: Column, entry: Column) -> Column:
+    """(i, entry state) of each of at most FAN maps."""
     zero = F.struct(first.alias("i"), entry.cast("int").alias("state"),
                     F.array().cast("array<struct<i:bigint,state:int>>").alias("seen"))
 
@@ -39,36 +49,31 @@ def _walk(maps: Column, first: Column, entry: Column) -> Column:
         state = F.when(s["i"] == m["i"], s["state"]).otherwise(0)
         return F.struct((m["i"] + 1).alias("i"), F.element_at(m["exits"], state + 1).alias("state"),
                         F.concat(s["seen"], F.array(F.struct(m["i"].alias("i"), state.alias("state")))).alias("seen"))
-    return F.aggregate(maps, zero, step)
-
-
-def _exit(walked: Column, last: Column) -> Column:
-    return F.when(walked["i"] == last, walked["state"]).otherwise(0)
+    return F.aggregate(maps, zero, step)["seen"]
 
 
-def clearings(candidates: DataFrame, key: str, number: str, gap: int, chunk: int = CHUNK,
+def clearings(candidates: DataFrame, key: str, number: str, gap: int, chunk: int = FAN,
               cut=lambda name, df: df) -> DataFrame:
-    """candidates(key, number), one row each, to the chosen (key, number)."""
+    """candidates(key, number), one row each, to the chosen (key, number). cut(name, df) writes a level of the tree as a table."""
     c = F.col
-    chunks = (candidates.groupBy(key, F.floor(c(number) / chunk).alias("chunk"))
-              .agg(F.sort_array(F.collect_list(number)).alias("numbers")))
-    end = (c("chunk") + 1) * chunk
-    exits = F.array(*[F.greatest(F.lit(0), (_choose(c("numbers"), c("chunk") * chunk + d, gap)["free"] - end)).cast("int")
+    chunks = candidates.groupBy(key, F.floor(c(number) / chunk).alias("i")).agg(F.sort_array(F.collect_list(number)).alias("numbers"))
+    exits = F.array(*[F.greatest(F.lit(0), (_choose(c("numbers"), c("i") * chunk + d, gap)["free"] - (c("i") + 1) * chunk)).cast("int")
                       for d in range(gap)])
-    chunks = cut("clearing_chunks", chunks.withColumn("exits", exits).withColumn("super", F.floor(c("chunk") / chunk)))
-    supers = (chunks.groupBy(key, "super")
-              .agg(F.sort_array(F.collect_list(F.struct(c("chunk").alias("i"), "exits"))).alias("maps")))
-    first, last = c("super") * chunk, (c("super") + 1) * chunk
-    supers = supers.withColumn("exits", F.array(*[_exit(_walk(c("maps"), first, F.lit(d)), last) for d in range(gap)]))
-    per_key = (supers.groupBy(key)
-               .agg(F.sort_array(F.collect_list(F.struct(c("super").alias("i"), "exits"))).alias("maps"))
-               .select(key, F.explode(_walk(c("maps"), F.lit(0).cast("bigint"), F.lit(0))["seen"]).alias("x"))
-               .select(key, c("x.i").alias("super"), c("x.state").alias("entry")))
-    per_super = (supers.join(per_key, [key, "super"])
-                 .select(key, F.explode(_walk(c("maps"), first, c("entry"))["seen"]).alias("x"))
-                 .select(key, c("x.i").alias("chunk"), c("x.state").alias("entry")))
-    return (chunks.join(per_super, [key, "chunk"])
-            .select(key, F.explode(_choose(c("numbers"), c("chunk") * chunk + c("entry"), gap)["chosen"]).alias(number)))
+    levels = [cut("clearing_chunks", chunks.withColumn("exits", exits))]
+    top = levels[0].agg(F.max("i")).first()[0] or 0
+    while top:
+        top //= chunk
+        maps = (levels[-1].groupBy(key, F.floor(c("i") / chunk).alias("up"))
+                .agg(F.sort_array(F.collect_list(F.struct("i", "exits"))).alias("maps")).withColumnRenamed("up", "i"))
+        first, last = c("i") * chunk, (c("i") + 1) * chunk
+        levels.append(cut(f"clearing_level_{len(levels)}", maps.withColumn(
+            "exits", F.array(*[_follow(c("maps"), first, F.lit(d), last) for d in range(gap)]))))
+    entries = levels[-1].select(key, "i", F.lit(0).alias("entry"))
+    for level in reversed(levels[1:]):
+        seen = level.join(entries, [key, "i"]).select(key, F.explode(_entries(c("maps"), c("i") * chunk, c("entry"))).alias("x"))
+        entries = seen.select(key, c("x.i").alias("i"), c("x.state").alias("entry"))
+    return (levels[0].join(entries, [key, "i"])
+            .select(key, F.explode(_choose(c("numbers"), c("i") * chunk + c("entry"), gap)["chosen"]).alias(number)))
 
 
 def last_cleared(rows: DataFrame, cleared: DataFrame, key: str, number: str, out: str) -> DataFrame:

@@ -68,6 +68,17 @@ def test_clearings(spark, chunk):
     assert sorted(map(tuple, got.collect())) == sorted(want)
 
 
+def test_clearings_of_one_source_with_very_many_failures(spark):
+    n = 200_000
+    got = resets.clearings(spark.range(3, n).selectExpr("'hot' as ip", "id as n").where("n % 7 <> 0"), "ip", "n", 3, cut=lambda name, d: d.checkpoint())
+    want, free = [], 0
+    for i in range(3, n):
+        if i % 7 and i >= free:
+            want.append(i)
+            free = i + 3
+    assert sorted(r.n for r in got.collect()) == want
+
+
 def model(rows):
     """The rules as one pass over the events of each source."""
     out, kept = [], {}
