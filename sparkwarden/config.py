@@ -35,6 +35,3 @@ class Config:
 
     merge_window_s: int = 300
     raw_refs: int = 50
-    latest_logs: int = 100_000
-    latest_alerts: int = 5_000
-    latest_incidents: int = 1_000

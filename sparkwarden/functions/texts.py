@@ -183,10 +183,6 @@ def duration_label(a: Column, b: Column) -> Column:
             .otherwise(text(h, "h ", m % 60, "m")))
 
 
-def cut(x: Column, n: int) -> Column:
-    return F.when(F.length(x) <= n, x).otherwise(text(F.substring(x, 1, n), "…"))
-
-
 def affected_services(description: Column) -> Column:
     """Known services named in timeline texts. All texts of an incident name the same subject, so one stands for all."""
     names = F.array(*[F.lit(s) for s in dims.TIMELINE_SERVICES])

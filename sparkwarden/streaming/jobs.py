@@ -89,13 +89,6 @@ def minute_counts(scanned: DataFrame) -> DataFrame:
     return placed.groupBy(F.window("timestamp", "1 minute").alias("w"), "size", "back").agg(F.count("*").alias("n"))
 
 
-def notice_sessions(notices: DataFrame, gap: str = "3 seconds") -> DataFrame:
-    """Equal notices folded while they keep coming, for streams; batches use the running totals of the panel."""
-    marked = notices.withWatermark("ts", WATERMARK)
-    return (marked.groupBy("type", "category", "title", F.session_window("ts", gap).alias("w"))
-            .agg(F.count("*").alias("count")))
-
-
 def to_table(stream: DataFrame, name: str, folder: str, mode: str = "append", each=None):
     """Starts a run over everything that has arrived, and waits for it.
 

@@ -6,6 +6,8 @@ is kept as (time, count) pairs, so a burst within one second is one pair.
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -14,26 +16,38 @@ PAIRS = "array<bigint>"
 
 
 class Window:
+    """Times in order with how often each is there, and their running total. A row costs what it drops."""
+
     def __init__(self, times=(), counts=()):
-        self.times, self.counts = list(times), list(counts)
+        self.times, self.counts = deque(times), deque(counts)
+        self.n = sum(self.counts)
 
     def add(self, t: int, width: int, is_open: bool) -> int:
         """Adds t, drops what is out of the window ending at t, and returns the number left."""
-        if self.times and self.times[-1] == t:
-            self.counts[-1] += 1
+        self.n += 1
+        if self.times and self.times[-1] >= t:
+            at = bisect_left(self.times, t)  # a late row goes to its place
+            if self.times[at] == t:
+                self.counts[at] += 1
+            else:
+                self.times.insert(at, t)
+                self.counts.insert(at, 1)
         else:
             self.times.append(t)
             self.counts.append(1)
         low = t - width
-        keep = [i for i, x in enumerate(self.times) if (x > low if is_open else x >= low)]
-        self.times, self.counts = [self.times[i] for i in keep], [self.counts[i] for i in keep]
-        return self.total()
+        while self.times[0] < low or is_open and self.times[0] == low:
+            self.times.popleft()
+            self.n -= self.counts.popleft()
+        return self.n
 
     def total(self) -> int:
-        return sum(self.counts)
+        return self.n
 
     def clear(self) -> None:
-        self.times, self.counts = [], []
+        self.times.clear()
+        self.counts.clear()
+        self.n = 0
 
 
 def _in_order(frames: Iterator[pd.DataFrame]) -> pd.DataFrame:
@@ -62,7 +76,7 @@ def auth_and_404(config, columns: list[str]):
                 n = misses.add(t, miss_w, True)
                 if n >= config.not_found_min:
                     out.append((i, "R015", n))
-        state.update((fails.times, fails.counts, misses.times, misses.counts))
+        state.update(tuple(list(x) for x in (fails.times, fails.counts, misses.times, misses.counts)))
         hits = rows[columns].iloc[[o[0] for o in out]].copy()
         hits["rule_id"] = [o[1] for o in out]
         hits["event_count"] = [o[2] for o in out]
@@ -104,7 +118,7 @@ def incident_windows(config):
                 n = seen.add(t, failure_w, False)
                 if n >= config.brute_force_min:
                     out.append((f"brute_force:{subject}", seq, t, n))
-        state.update((seen.times, seen.counts, paths))
+        state.update((list(seen.times), list(seen.counts), paths))
         yield pd.DataFrame(out, columns=["incident_key", "seq", "t", "n"])
     return run
 

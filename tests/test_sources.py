@@ -1,7 +1,5 @@
 import json
 
-from pyspark.sql import functions as F
-
 from sparkwarden.plans.engine import Engine
 from sparkwarden.sources import lines as L
 from sparkwarden.sources import sinks as K

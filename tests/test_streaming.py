@@ -1,7 +1,10 @@
 """A stream over landed segments gives what the batch gives."""
 
+import random
+
 from sparkwarden import Engine
 from sparkwarden.streaming import jobs as J
+from sparkwarden.streaming.state import Window
 
 
 def test_stream_is_batch(spark, lines):
@@ -27,6 +30,22 @@ def test_stream_is_batch(spark, lines):
     assert {r["rule_id"] for r in J.run_detect(e).select("rule_id").collect()} >= {"R002", "R013", "R014", "R015"}
 
 
+def test_windows_hold_what_lies_within():
+    draw, kept = random.Random(1), []
+    for is_open in (True, False):
+        w, kept = Window(), []
+        for i in range(3000):
+            t = i // 3 + draw.randrange(-5, 5)
+            kept = [x for x in [*kept, t] if (x > t - 20 if is_open else x >= t - 20)]
+            assert w.add(t, 20, is_open) == len(kept) == w.total()
+            if i % 500 == 499:
+                w = Window(list(w.times), list(w.counts))
+            if i % 777 == 776:
+                w.clear()
+                kept = []
+        assert sorted(w.times) == list(w.times)
+
+
 def test_equal_lines_stay_apart_and_are_read_once(spark, tmp_path):
     """A text stream gives every line of a file once, equal ones too, however often its batches are run."""
     from sparkwarden.sources.lines import stream_lines
