@@ -1,4 +1,9 @@
-"""From raw documents to shards of a training mix: five stages, each written as Parquet and read again by the next."""
+"""From raw documents to shards of a training mix: five stages, each written as Parquet and read again by the next.
+
+In every stage rows keep all their columns as they are, whatever these are called; rows without a doc_id take part; null and
+empty texts are texts without words; texts of any length are read whole; no rows give no rows. What is special to a
+stage is said there.
+"""
 
 from __future__ import annotations
 
@@ -14,27 +19,31 @@ SHARDS = 8
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the draw by importance weights rejects go."""
+    """Documents that the draw by importance weights rejects go. Rows without words are like any other; repeated rows and ties at
+    the cut are decided alike, row by row. Labels of ids that no document has are not used."""
     return resampling.drawn(docs, table(spark, sf_dir, "labels"))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest doc_id stays."""
+    """Of each group of near copies the document with the smallest doc_id stays: one row of it, if it is repeated. A row without
+    doc_id stays only where its group has no id. All texts without words are one group."""
     return simhash.deduplicated(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain a benchmark item go."""
+    """Documents that contain a benchmark item go, repeated rows and all. Texts without words contain none; no items, no leaks."""
     return tiling.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are repeated or left out so that the sources meet their targets."""
+    """Documents are repeated or left out so that the sources meet their targets. A null source is a source. Rows without words are
+    left out; repeated rows count each and are repeated together."""
     return mixing.remixed(docs)
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document gets its shard and its slot there."""
+    """Every document gets its shard and its slot there. Repeated rows are counted each; ties are ordered by the text's crc32.
+    Columns named shard or slot are replaced."""
     return sharding.sharded(docs, SHARDS)
 
 
