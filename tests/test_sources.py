@@ -1,5 +1,8 @@
 import json
 
+from pyspark.sql import functions as F
+
+from sparkwarden.operators.parse import detect_format
 from sparkwarden.plans.engine import Engine
 from sparkwarden.sources import lines as L
 from sparkwarden.sources import sinks as K
@@ -42,3 +45,19 @@ def test_exports_and_session(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "json" / "alerts")).count() == 6
     nested = json.loads(K.json_rows(e.with_texts(e.incidents)).first().json)
     assert nested["total_events"] == 2 and nested["smart_recommendations"][0]["priority"] == "CRITICAL"
+
+
+def test_event_lines_of_any_id(spark, tmp_path):
+    """Times of large ids are beyond what a timestamp holds; each row gives a line all the same."""
+    last = ((1 << 63) - 1) // 1_000_000
+    edge = (last - 1704067200) * 5
+    ids = [-7, 0, 7, 5 * 10**13, edge, edge + 5, (1 << 63) - 1, -(1 << 63)]
+    kinds = ["error", "purchase", "view", "click", "signup"]
+    rows = [(i, k, kind) for i in ids for k, kind in enumerate(kinds)]
+    spark.createDataFrame(rows, "event_id bigint, user_id bigint, event_type string").write.parquet(str(tmp_path / "events.parquet"))
+    lines = L.event_lines(spark, str(tmp_path))
+    seconds = {r.seq: r.s for r in lines.select("seq", F.unix_seconds("modified").alias("s")).collect()}
+    assert [seconds[i] - 1704067200 for i in (-7, 0, 7)] == [-2, 0, 1] and seconds[edge] == last
+    assert all(0 <= seconds[i] < 1 << 32 for i in ids if i > edge or i < -(1 << 60)) and set(seconds) == set(ids)
+    assert detect_format(lines).groupBy("seq").count().where("count = 5").count() == len(ids)
+    assert Engine(spark, lines).entries.count() == len(rows)
