@@ -29,7 +29,7 @@ from sparkwarden.llm.elias_fano import EliasFano
 c = F.col
 MAGIC, END = b"TOKF0001", 1
 HEAD = struct.Struct("<8sBQQQq")
-FILE_ROWS, FILE_BYTES, WORDS, RUNS = 8192, 32 << 20, 300_000, 800_000
+FILE_ROWS, FILE_BYTES, WORDS, RUNS = 8192, 32 << 20, 100_000, 400_000
 #: Latin letters, then ASCII signs without the apostrophe (which begins contractions).
 PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 _TOKENIZERS: dict[str, Encoder] = {}
@@ -128,7 +128,7 @@ def packed_file(doc_ids: list[int | None], ids: list[bytes], size: int) -> bytes
 class TokenFile:
     """A file's content: numbers of documents and ids, boundaries by index, and the ids of a document."""
 
-    def __init__(self, data: bytes):
+    def __init__(self, data: bytes | pa.Buffer):
         view = memoryview(data)
         magic, self.size, self.n_docs, self.n_ids, self.bare, self.least = HEAD.unpack_from(view)
         if magic != MAGIC:
@@ -200,7 +200,7 @@ def write(docs: DataFrame, folder: str, path: str, file_rows: int = FILE_ROWS, f
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for name, content in zip(b["path"], b["content"], strict=True):
-            f = TokenFile(content.as_buffer().to_pybytes())
+            f = TokenFile(content.as_buffer())
             part, piece = (int(x) for x in name.as_py().rsplit("/", 1)[1].removesuffix(".ids").split("-"))
             ends = f.ends.all()
             starts = np.concatenate(([0], ends[:-1]))

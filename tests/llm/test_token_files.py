@@ -25,6 +25,16 @@ def test_words_are_encoded_as_whole_texts(sample):
     assert got == want(texts)
 
 
+def test_memory_of_words_is_bounded():
+    """An executor has a worker or more for each core, and each has a memory of its own."""
+    e = T.Encoder(PATH)
+    for k in range(0, 440_000, 20_000):
+        texts = [" ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676 % 26)}{chr(97 + i // 17576)}" for i in range(k, k + 20_000))]
+        got = e.encode(texts)
+        assert len(e.words) <= 100_000 and len(e.runs) <= 420_001
+    assert np.frombuffer(got[0], np.uint16).astype("<u4").tobytes() == want(texts)[0]
+
+
 @pytest.mark.parametrize("rows,size", [(8192, 32 << 20), (7, 32 << 20), (50, 400)])
 def test_files_give_back_every_document(spark, docs, sample, tmp_path, rows, size):
     given = [(r.doc_id, r.text) for r in sample.collect()] + [(10_000 + i, x) for i, x in enumerate(ODD)]
