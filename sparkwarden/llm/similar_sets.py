@@ -7,7 +7,9 @@ within RADIUS. At similarity 0.8 fingerprints differ in 9.7 bits on average with
 leaves out next to none. What the tree finds is checked on the sets themselves.
 
 Two sets share at most what neither has alone, so sets of a shard that are too far from all others are told by a count (own)
-and ask nobody. Pairs are not formed within a shard. In a round every set asks for its nearest partner (by distance, then by number) of
+and ask nobody. Each set also has an odd sketch: SKETCH bits, each flipped by every member that falls on it. Members in common
+cancel, so two sketches never differ in more bits than the sets do in members; partners whose sketches differ in too many are
+passed over, and that loses no link. Pairs are not formed within a shard. In a round every set asks for its nearest partner (by distance, then by number) of
 another component beyond those that it asked before, and links that hold unite components. Only sets that were refused ask
 again, for MORE times as many; copies of one text are in one component after the first round and never ask again. Shards of
 more than SHARD sets are cut into pieces, and pieces meet two at a time.
@@ -28,7 +30,7 @@ from sparkwarden.llm.common import LOWER, UPPER, removed, step
 from sparkwarden.llm.components import components
 
 c = F.col
-BANDS, ROWS, SEED, AT_ONCE, RADIUS, SHARD, BLOCK, MORE, LINKS = 36, 8, 42, 1 << 17, 20, 4096, 128, 4, 1 << 20
+BANDS, ROWS, SEED, AT_ONCE, RADIUS, SHARD, BLOCK, MORE, LINKS, SKETCH, PAIRS = 36, 8, 42, 1 << 17, 20, 4096, 128, 4, 1 << 20, 1024, 1 << 15
 TO_LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 _draw = np.random.Generator(np.random.PCG64(SEED))
 FLIPS, FACTORS = (_draw.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32) for _ in range(2))
@@ -73,6 +75,11 @@ def fingerprint(hashes: np.ndarray) -> int:
     return int(np.packbits(out * 2 > len(hashes), bitorder="little").view(np.int64)[0])
 
 
+def sketch(hashes: np.ndarray) -> bytes:
+    """The parity of the number of members on each of SKETCH bits."""
+    return np.packbits((np.bincount((hashes >> np.uint64(40)).astype(np.int64) % SKETCH, minlength=SKETCH) & 1).astype(np.uint8)).tobytes()
+
+
 def _lists(parts: list[np.ndarray]) -> pa.Array:
     offsets = np.concatenate(([0], np.cumsum([len(p) for p in parts]))).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts).view(np.int64)))
@@ -86,14 +93,15 @@ def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBa
             ids = [xxhash.xxh3_128_digest(h.tobytes()) for h in found]
             yield pa.RecordBatch.from_arrays(
                 [b["doc_id"], b["mark"], pa.array(ids, pa.binary()), pa.array([len(h) for h in found], pa.int32()),
-                 pa.array([fingerprint(h) for h in found], pa.int64()), _lists([bands(h) for h in found])], ["doc_id", "mark", "set", "n", "fp", "keys"])
+                 pa.array([fingerprint(h) for h in found], pa.int64()), pa.array([sketch(h) for h in found], pa.binary()), _lists([bands(h) for h in found])],
+                ["doc_id", "mark", "set", "n", "fp", "odd", "keys"])
 
 
 def sets(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, mark (a hash of the text), set (a 128-bit hash of the whole set), n, fp (the fingerprint), keys of every row."""
+    """doc_id, mark (a hash of the text), set (a 128-bit hash of the whole set), n, fp (the fingerprint), odd (its sketch), keys of every row."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", c("text").cast("string"), F.xxhash64(c("text").cast("string")).alias("mark")).mapInArrow(
-        partial(_sets, width=width), f"doc_id {kind}, mark bigint, set binary, n int, fp bigint, keys array<bigint>")
+        partial(_sets, width=width), f"doc_id {kind}, mark bigint, set binary, n int, fp bigint, odd binary, keys array<bigint>")
 
 
 class BKTree:
@@ -131,11 +139,17 @@ class BKTree:
         return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
+def _apart(odd: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """In how many bits the sketches differ."""
+    return np.bitwise_count(odd[p] ^ odd[q]).sum(axis=1, dtype=np.int64)
+
+
 def wishes(shard: dict[str, np.ndarray], ask: int, similarity: float, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(asker, partner, distance), both as places in the shard: for each open set the next `ask` partners of a lower number.
 
-    shard: tie (the number), fp, n, own, root, open, and last_d, last_tie (asked so far). Two sets share at most the members that
-    are not one's own alone; a partner with which that cannot reach the similarity is not asked."""
+    shard: tie (the number), fp, n, own, odd (sketches, as rows of words), root, open, and last_d, last_tie (asked so far). Two sets
+    share at most the members that are not one's own alone, and differ in at least the bits their sketches do; a partner with
+    which that cannot reach the similarity is not asked."""
     order = np.argsort(shard["tie"], kind="stable")
     s = {k: v[order] for k, v in shard.items()}
     askers = np.flatnonzero(s["open"])
@@ -153,6 +167,9 @@ def wishes(shard: dict[str, np.ndarray], ask: int, similarity: float, radius: in
         ok = (s["tie"][p] < s["tie"][q]) & (s["root"][p] != s["root"][q]) & (shared * (1 + similarity) + 1e-9 >= similarity * (s["n"][p] + s["n"][q]))
         ok &= (d > s["last_d"][q]) | ((d == s["last_d"][q]) & (s["tie"][p] > s["last_tie"][q]))
         p, q, d = p[ok], q[ok], d[ok]
+        ok = np.concatenate([_apart(s["odd"], p[k : k + PAIRS], q[k : k + PAIRS]) * (1 + similarity) <=
+                             (s["n"][p[k : k + PAIRS]] + s["n"][q[k : k + PAIRS]]) * (1 - similarity) + 1e-9 for k in range(0, len(p), PAIRS)] or [np.zeros(0, bool)])
+        p, q, d = p[ok], q[ok], d[ok]
         sort = np.lexsort((s["tie"][p], d, q))
         p, q, d = p[sort], q[sort], d[sort]
         first = np.arange(len(q)) - np.searchsorted(q, q) < ask
@@ -162,14 +179,15 @@ def wishes(shard: dict[str, np.ndarray], ask: int, similarity: float, radius: in
 
 def _asked(batches: Iterator[pa.RecordBatch], ask: int, similarity: float, radius: int) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by (key, x, y); a shard of them has at most two pieces of SHARD sets."""
-    names = ["set", "tie", "fp", "n", "own", "root", "open", "last_d", "last_tie"]
+    names = ["set", "tie", "fp", "n", "own", "odd", "root", "open", "last_d", "last_tie"]
 
     def found(shard: pa.Table) -> pa.RecordBatch | None:
         roots = shard["root"].combine_chunks().dictionary_encode().indices.to_numpy()
         if len(roots) < 2 or (roots == roots[0]).all():
             return None
         a = {k: shard[k].to_numpy() for k in ("tie", "n", "own", "last_d", "last_tie")}
-        q, p, d = wishes({**a, "fp": shard["fp"].to_numpy().view(np.uint64), "root": roots, "open": shard["open"].to_numpy()}, ask, similarity, radius)
+        odd = np.frombuffer(b"".join(shard["odd"].to_pylist()), np.uint64).reshape(len(roots), -1)
+        q, p, d = wishes({**a, "fp": shard["fp"].to_numpy().view(np.uint64), "odd": odd, "root": roots, "open": shard["open"].to_numpy()}, ask, similarity, radius)
         if not len(q):
             return None
         sets_ = shard["set"].combine_chunks()
@@ -248,8 +266,8 @@ def roots(docs: DataFrame, found: DataFrame, width: int, similarity: float, radi
     removed(keyed)
     met = step(dealt.select("set").distinct(), "met")
     # One text for each set in question, and its hashes; no others are computed again.
-    one = found.join(met, "set", "left_semi").groupBy("set").agg(F.min(F.struct("mark", "doc_id")).alias("at"), F.first("n").alias("n"), F.first("fp").alias("fp"))
-    one = step(one.select("set", "n", "fp", "at.mark", "at.doc_id"), "sets-met")
+    one = found.join(met, "set", "left_semi").groupBy("set").agg(F.min(F.struct("mark", "doc_id")).alias("at"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("odd").alias("odd"))
+    one = step(one.select("set", "n", "fp", "odd", "at.mark", "at.doc_id"), "sets-met")
     text = docs.select("doc_id", c("text").cast("string").alias("text"), F.xxhash64(c("text").cast("string")).alias("mark"))
     named = one.select("set", c("mark").alias("m"), c("doc_id").alias("d"))
     texts = text.join(named, (c("mark") == c("m")) & c("doc_id").eqNullSafe(c("d"))).select("set", "text")
@@ -260,8 +278,8 @@ def roots(docs: DataFrame, found: DataFrame, width: int, similarity: float, radi
     alone = members.select(tie.alias("tie"), F.explode("hashes").alias("h")).groupBy("h").agg(F.min("tie").alias("tie"), F.count(F.lit(1)).alias("held")).where("held = 1")
     alone = step(alone.groupBy("tie").agg(F.count(F.lit(1)).cast("int").alias("own")), "own")
     pieces = several.where(c("size") > shard).select("key", F.ceil(c("size") / shard).cast("int").alias("pieces"))
-    state = one.select("set", tie.alias("tie"), "n", "fp").join(alone, "tie", "left").withColumn("own", F.coalesce("own", F.lit(0)))
-    state = step(state.select("set", "tie", "n", "own", "fp", c("set").alias("root"), F.lit(True).alias("open"), F.lit(-1).alias("last_d"),
+    state = one.select("set", tie.alias("tie"), "n", "fp", "odd").join(alone, "tie", "left").withColumn("own", F.coalesce("own", F.lit(0)))
+    state = step(state.select("set", "tie", "n", "own", "odd", "fp", c("set").alias("root"), F.lit(True).alias("open"), F.lit(-1).alias("last_d"),
                               F.lit(0).cast("bigint").alias("last_tie")), "asking")
     now, ask = None, 1
     while True:
@@ -269,7 +287,7 @@ def roots(docs: DataFrame, found: DataFrame, width: int, similarity: float, radi
         mine = F.pmod(F.xxhash64("set"), F.coalesce("pieces", F.lit(1)))
         rows = rows.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("pieces", F.lit(1)).cast("bigint") - 1)))
         rows = rows.withColumns({"x": F.least("mine", "other"), "y": F.greatest("mine", "other")})
-        rows = rows.select("key", "x", "y", "set", "tie", "fp", "n", "own", "root", "open", "last_d", "last_tie")
+        rows = rows.select("key", "x", "y", "set", "tie", "fp", "n", "own", "odd", "root", "open", "last_d", "last_tie")
         wished = rows.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(
             partial(_asked, ask=ask, similarity=similarity, radius=radius), "set binary, partner binary, d bigint, tie bigint")
         # The same partner can be met in several shards; of all shards' partners the nearest are asked.
@@ -283,11 +301,11 @@ def roots(docs: DataFrame, found: DataFrame, width: int, similarity: float, radi
             before, now = now, step(united(both), "set-roots")
             removed(links, *([before] if before is not None else []))
         last = pairs.groupBy("set").agg(F.max(F.struct(c("d").cast("int").alias("d"), "tie")).alias("last"), F.count(F.lit(1)).alias("asked"))
-        after = state.select("set", "tie", "n", "own", "fp", "open", "last_d", "last_tie", *(["root"] if now is None else []))
+        after = state.select("set", "tie", "n", "own", "odd", "fp", "open", "last_d", "last_tie", *(["root"] if now is None else []))
         if now is not None:
             after = after.join(now.select(c("node").alias("set"), "root"), "set", "left").withColumn("root", F.coalesce("root", "set"))
         after = after.join(last, "set", "left")
-        held, state = state, step(after.select("set", "tie", "n", "own", "fp", "root", (F.coalesce("asked", F.lit(0)) >= ask).alias("open"),
+        held, state = state, step(after.select("set", "tie", "n", "own", "odd", "fp", "root", (F.coalesce("asked", F.lit(0)) >= ask).alias("open"),
                                   F.coalesce("last.d", "last_d").alias("last_d"), F.coalesce("last.tie", "last_tie").alias("last_tie")), "asking")
         removed(pairs, held)
         ask *= MORE

@@ -23,7 +23,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkwarden.llm.common import placed, staged
+from sparkwarden.llm.common import placed, step
 from sparkwarden.llm.elias_fano import EliasFano
 
 c = F.col
@@ -193,7 +193,7 @@ def write(docs: DataFrame, folder: str, path: str, file_rows: int = FILE_ROWS, f
     # Bounds between parts, from the doc_ids alone; equal doc_ids fall into one part.
     bounds = docs.select(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 100 * parts)).first()[0] if parts > 1 else []
     ids = docs.select("doc_id", c("text").cast("string")).mapInArrow(_encoded(path, sorted(set(bounds or []))), "part bigint, doc_id bigint, ids binary")
-    return staged(ids.repartition(max(1, parts), "part").sortWithinPartitions("part", "doc_id", "ids").mapInArrow(
+    return step(ids.repartition(max(1, parts), "part").sortWithinPartitions("part", "doc_id", "ids").mapInArrow(
         _written(folder, size, file_bytes), "part bigint, piece bigint, n_docs bigint, n_ids bigint"), "token-files")
 
 

@@ -141,3 +141,30 @@ def test_links_are_united(spark, monkeypatch, links):
         of = {k: lo if v == hi else v for k, v in of.items()}
     got = N.united(spark.createDataFrame(pairs, "a binary, b binary")).collect()
     assert {bytes(x.node): bytes(x.root) for x in got} == of and len(got) == len(of)
+
+
+def test_sketches_differ_in_no_more_bits_than_sets_do_in_members():
+    r = np.random.default_rng(10)
+    for n, other in [(0, 5), (1, 1), (60, 3), (60, 40), (900, 120), (9000, 4000)]:
+        drawn = r.integers(0, 1 << 64, n + 2 * other, dtype=np.uint64)
+        a, b = np.sort(drawn[: n + other]), np.sort(np.concatenate((drawn[:n], drawn[n + other :])))
+        bits = sum((x ^ y).bit_count() for x, y in zip(N.sketch(a), N.sketch(b), strict=True))
+        assert bits <= 2 * other and len(N.sketch(a)) == N.SKETCH // 8
+        assert n > 900 or bits > 1.5 * other or other < 4
+
+
+def test_sets_that_are_too_far_apart_are_not_asked_one_by_one(docs, monkeypatch):
+    """A large group: its sets share every shingle with some others, but most are like none of them."""
+    asked, verified = [], N.verified
+    monkeypatch.setattr(N, "verified", lambda pairs, *rest: asked.append(pairs.count()) or verified(pairs, *rest))
+    r, base = random.Random(11), [f"w{i}" for i in range(300)]
+    rows = []
+    for k in range(80):
+        words = list(base)
+        for i in range(0, 300, 10):
+            words[i] += r.choice(["", "x"])
+        rows.append((k, " ".join(words)))
+    rows += [(100 + k, f"{rows[k][1]} end{k}") for k in range(20)]
+    want = plain_kept(rows)
+    assert kept(docs, rows) == want and 60 < len(want) <= 80
+    assert sum(asked) < 200
