@@ -179,6 +179,7 @@ def _once(engine, name: str, step) -> Replay:
     done = engine.__dict__.setdefault("_replays", {})
     if name not in done:
         done[name] = Replay(engine, name).run(step)
+        engine.store.keep(done[name].folder)
     return done[name]
 
 
