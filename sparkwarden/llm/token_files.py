@@ -14,6 +14,7 @@ from __future__ import annotations
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 from urllib.parse import urlparse
 
@@ -55,6 +56,9 @@ class Encoder:
         self.kind = np.uint16 if self.t.get_vocab_size(with_added_tokens=True) <= 1 << 16 else np.uint32
         self.words: dict[str, bytes] = {}
         self.runs: dict[str, bytes] = {"": b""}
+        self.model, self.code = self.t.model, "H" if self.kind is np.uint16 else "I"
+        # What the tokenizer makes of a letter beyond ASCII before its model sees it.
+        self.marks = {x: "".join(y for y, _ in self.t.pre_tokenizer.pre_tokenize_str(chr(x))) for x in range(0xC0, 0x100)}
         # Cutting is done here only for a tokenizer seen to cut so.
         probe = ["Word", "Été,", "naïve...", "x!?", "ÀÖØöøÿß%-"]
         self.plain = all(self._cut(w) == self._whole([w])[0] for w in probe)
@@ -68,8 +72,8 @@ class Encoder:
     def _run(self, run: str) -> bytes:
         """A run of letters or of signs, lower case, through the tokenizer's model."""
         if (ids := self.runs.get(run)) is None:
-            piece = run if run.isascii() else "".join(x for x, _ in self.t.pre_tokenizer.pre_tokenize_str(run))
-            ids = self.runs[run] = np.array([x.id for x in self.t.model.tokenize(piece)], dtype=self.kind).tobytes()
+            piece = run if run.isascii() else run.translate(self.marks)
+            ids = self.runs[run] = array(self.code, [x.id for x in self.model.tokenize(piece)]).tobytes()
         return ids
 
     def _cut(self, word: str) -> bytes | None:
@@ -77,13 +81,15 @@ class Encoder:
         return self._run(m[1].lower()) + self._run(m[2]) if m else None
 
     def learn(self, words: list[str]) -> None:
-        other = []
+        other, known, runs, cut = [], self.words, self.runs, PLAIN.fullmatch
         for w in words:
-            ids = self._cut(w) if self.plain else None
-            if ids is None:
+            if not self.plain or (m := cut(w)) is None:
                 other.append(w)
-            else:
-                self.words[w] = ids
+                continue
+            letters, signs = m.groups()
+            letters = letters.lower()
+            ids = runs[letters] if letters in runs else self._run(letters)
+            known[w] = ids + (runs[signs] if signs in runs else self._run(signs)) if signs else ids
         for at in range(0, len(other), 4096):
             self.words.update(zip(other[at : at + 4096], self._whole(other[at : at + 4096]), strict=True))
 
@@ -91,10 +97,10 @@ class Encoder:
         """The ids of each text, with the end id, as little-endian numbers."""
         cut = [(x or "").replace("\n", " ").split(" ") for x in texts]
         known = self.words
-        new = {w for words in cut for w in words if w not in known}
+        seen = set().union(*cut)
+        new = seen.difference(known)
         if len(known) + len(new) > WORDS:
-            known.clear()
-            new = {w for words in cut for w in words}
+            known = self.words = {w: known[w] for w in seen.intersection(known)}
         if len(self.runs) > RUNS:
             self.runs = {"": b""}
         self.learn(list(new))

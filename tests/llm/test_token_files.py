@@ -35,6 +35,24 @@ def test_memory_of_words_is_bounded():
     assert np.frombuffer(got[0], np.uint16).astype("<u4").tobytes() == want(texts)[0]
 
 
+def test_memory_keeps_the_words_in_use(monkeypatch):
+    """A full memory forgets what the present texts don't hold, and learns no word twice that it has kept."""
+    monkeypatch.setattr(T, "WORDS", 40)
+    e, learned = T.Encoder(PATH), []
+    learn = e.learn
+    monkeypatch.setattr(e, "learn", lambda words: (learned.extend(words), learn(words)))
+    texts = [" ".join(["Été,", "often", "naïve..."] + [f"{chr(97 + i)}{chr(97 + j)}ÿ" for i in range(15)]) for j in range(26)]
+    got = [e.encode([x])[0] for x in texts]
+    assert [np.frombuffer(x, np.uint16).astype("<u4").tobytes() for x in got] == want(texts)
+    assert len(e.words) <= 40 and learned.count("often") == learned.count("Été,") == 1
+
+
+def test_every_letter_is_cut_as_the_tokenizer_cuts_it():
+    letters = [chr(x) for x in range(0xC0, 0x100)]
+    texts = [*letters, "".join(letters), *("a" + x + "b" + y for x in letters for y in letters[::7])]
+    assert [np.frombuffer(x, np.uint16).astype("<u4").tobytes() for x in T.Encoder(PATH).encode(texts)] == want(texts)
+
+
 @pytest.mark.parametrize("rows,size", [(8192, 32 << 20), (7, 32 << 20), (50, 400)])
 def test_files_give_back_every_document(spark, docs, sample, tmp_path, rows, size):
     given = [(r.doc_id, r.text) for r in sample.collect()] + [(10_000 + i, x) for i, x in enumerate(ODD)]
