@@ -1,11 +1,13 @@
 import os
 import shutil
+import time
+from concurrent.futures import ThreadPoolExecutor
 from types import SimpleNamespace
 
 import pytest
 
 from contract.queries import QUERIES, engine
-from sparkwarden.plans.store import shared_folder
+from sparkwarden.plans.store import Store, shared_folder
 
 
 def test_shared_folder_on_a_cluster():
@@ -47,3 +49,16 @@ def test_queries_survive_a_cleared_shared_folder(spark, tmp_path):
     assert result("classify_event") == first[0]
     events(80)
     assert len(result("detect_format")) == 80 and result("classify_event") != first[0]
+
+
+def test_queries_at_once_write_a_table_once(spark, tmp_path):
+    store, built = Store(spark, str(tmp_path)), []
+
+    def build():
+        built.append(1)
+        time.sleep(1)
+        return store.table("inner", lambda: spark.range(7)).selectExpr("id + 1 as id")
+
+    with ThreadPoolExecutor(3) as pool:
+        rows = list(pool.map(lambda _: store.table("outer", build).count(), range(3)))
+    assert rows == [7, 7, 7] and len(built) == 1
